@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import langid, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.query,
+        "op2_langid": langid.query,
     }
 
 

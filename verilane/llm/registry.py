@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, simhash
+from . import langid, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.query,
         "op2_langid": langid.query,
+        "op3_sharding": sharding.query,
     }
 
 

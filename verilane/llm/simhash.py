@@ -23,7 +23,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import golay
@@ -96,17 +96,12 @@ def _keyed(batches):
 
 def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs (a, b) of different fingerprints whose links connect all that the definition connects. distinct: one column fp."""
+    # one shuffle by key; what shares no key, nearly all, ends there
     keyed = map_batches(distinct.select("fp"), _keyed, "key long, fp long")
-    shared = (
-        keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-        .where("n > 1")
-    )
-    shared = checkpointed(shared)
-    two = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    busy = keyed.join(shared.where("n > 2").select("key", "n"), "key")
+    busy = checkpointed(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
     mild = busy.where(F.col("n") <= hot)
-    pairs = mild.select("key", F.col("fp").alias("a")).join(mild.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b")
-    near = two.unionByName(pairs).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
+    pairs = mild.select("key", F.col("fp").alias("a")).join(mild.select("key", F.col("fp").alias("b")), "key").where("a < b")
+    near = pairs.select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
     crowd = busy.where(F.col("n") > hot).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(BITS)])
     ball = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, sharding, simhash
+from . import bpe, langid, packing, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash": simhash.query,
         "op2_langid": langid.query,
         "op3_sharding": sharding.query,
+        "op4_toxicity": toxicity.query,
         "op7_packing": packing.query,
         "op8_bpe": bpe.query,
     }

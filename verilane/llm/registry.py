@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, quality, sharding, simhash, toxicity
+from . import audio, bpe, langid, packing, quality, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.query,
         "op7_packing": packing.query,
         "op8_bpe": bpe.query,
+        "op9_audio": audio.query,
         "op10_quality": quality.query,
     }
 

@@ -53,6 +53,25 @@ def runs(text: str) -> list[str]:
     return text.split()
 
 
+def encoder_pieces(path: str):
+    """A function that cuts a run into lower-case pieces by the file's pattern; None for what only the library may cut."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+    special = [t["content"] for t in spec["added_tokens"]]
+
+    def cut(run: str) -> list[str] | None:
+        if not run.isascii():
+            if max(run) > _LATIN:
+                return None
+            run = unicodedata.normalize("NFC", run)
+        if "<" in run and any(x in run for x in special):
+            return None
+        return pattern.findall(run.lower())
+
+    return cut
+
+
 class Memo(dict):
     """Remembers what make gives, up to a bound; the frequent keys, which come early, stay."""
 

@@ -15,19 +15,23 @@ in each class. A lost task is run again on the same rows in the same order and g
 from __future__ import annotations
 
 import zlib
-from array import array
+from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo, default_vocabulary, encoder, runs
+from tokenizers import Tokenizer
+
+from .bpe import default_vocabulary, encoder_pieces, runs
 from .common import map_batches, table
 
 CAPACITY, END = 2048, 1
 #: Runs of text whose ids a worker remembers here.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _TYPES = pa.schema([(f.split()[0], pa.int64()) for f in SCHEMA.split(", ")])
 
@@ -84,19 +88,75 @@ class Bins:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_TYPES)
 
 
+class RunIds:
+    """The ids of runs between white space, as little-endian 32-bit bytes, by the tokenizers library.
+
+    All runs of a batch that aren't remembered are looked up at once: their pieces go to the library as one text, whose ids
+    fall apart again at the ends of words. Runs beyond plain Latin go to it as they are.
+    """
+
+    def __init__(self, path: str, bound: int = REMEMBERED):
+        self.library, self.split, self.bound = Tokenizer.from_file(path), encoder_pieces(path), bound
+        self.library.no_truncation()
+        self.library.no_padding()
+        names = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.runs: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.fresh: list[str] = []
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, wanted: set[str]) -> None:
+        cut = {r: self.split(r) for r in wanted}
+        fresh = self.fresh = list({p for own in cut.values() if own is not None for p in own if p not in self.pieces})
+        for at in range(0, len(fresh), 4096):
+            some = fresh[at : at + 4096]
+            ids = self._whole(" ".join(some))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the library cut a piece")
+            data, start = ids.tobytes(), 0
+            for piece, end in zip(some, ends.tolist(), strict=True):
+                self.pieces[piece] = data[4 * start : 4 * end]
+                start = end
+        for run, own in cut.items():
+            self.runs[run] = self._whole(run).tobytes() if own is None else b"".join([self.pieces[p] for p in own])
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text of a batch."""
+        look = self.runs.get
+        cut = [runs(t) for t in texts]
+        found = [list(map(look, own)) for own in cut]
+        gaps = [[k for k, x in enumerate(ids) if x is None] for ids in found]
+        unknown = {own[k] for own, at in zip(cut, gaps, strict=True) for k in at}
+        full = len(self.runs) > self.bound
+        self._learn(unknown)
+        for own, ids, at in zip(cut, found, gaps, strict=True):
+            for k in at:
+                ids[k] = self.runs[own[k]]
+            yield b"".join(ids)
+        if full:  # the frequent runs came early and stay
+            for run in unknown:
+                del self.runs[run]
+        if len(self.pieces) > self.bound:
+            for piece in self.fresh:
+                del self.pieces[piece]
+
+
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all rows of docs, with their places."""
     path = path or default_vocabulary()
 
     def apply(batches):
-        enc = encoder(path)
-        memo = Memo(lambda run: array("I", enc.run(run)).tobytes(), REMEMBERED)
-        look, bins = memo.__getitem__, Bins(TaskContext.get().partitionId(), capacity)
-        last = array("I", [END]).tobytes()
+        known, bins = run_ids(path), Bins(TaskContext.get().partitionId(), capacity)
+        last = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1), strict=True):
-                data = b"".join(map(look, runs(value.as_py() or ""))) + last
-                key, total, at = key.as_py(), len(data) // 4, 0
+            for key, data in zip(batch.column(0).to_pylist(), known.of([x.as_py() or "" for x in batch.column(1)]), strict=True):
+                data, at = data + last, 0
+                total = len(data) // 4
                 for length in piece_lengths(total, capacity):
                     bins.add((key, at, length, zlib.crc32(data[4 * at : 4 * (at + length)]), total))
                     at += length
@@ -109,5 +169,11 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), apply, SCHEMA)
 
 
+@cache
+def run_ids(path: str) -> RunIds:
+    """One for each worker process."""
+    return RunIds(path)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, langid, packing, quality, sharding, simhash, toxicity
+from . import audio, bpe, html_text, langid, packing, quality, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_langid": langid.query,
         "op3_sharding": sharding.query,
         "op4_toxicity": toxicity.query,
+        "op5_html": html_text.query,
         "op7_packing": packing.query,
         "op8_bpe": bpe.query,
         "op9_audio": audio.query,

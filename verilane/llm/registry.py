@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, html_text, langid, packing, quality, sharding, simhash, toxicity
+from . import audio, bpe, html_text, kdtree, langid, packing, quality, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_sharding": sharding.query,
         "op4_toxicity": toxicity.query,
         "op5_html": html_text.query,
+        "op6_topk": kdtree.query,
         "op7_packing": packing.query,
         "op8_bpe": bpe.query,
         "op9_audio": audio.query,
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """Learned models, tokenizers, XXH64 with a seed, trees and media have no DuckDB form; tests hold these to brute force."""
-    return {}
+    return {"op6_topk": kdtree.ORACLE_SQL}

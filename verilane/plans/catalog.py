@@ -1,11 +1,13 @@
-"""Every query over the driver tables, with its DuckDB twin."""
+"""Every query over the driver tables and over inline fixtures, with its DuckDB twin."""
 
 from __future__ import annotations
 
+from . import tables
+
 
 def queries() -> dict:
-    return {}
+    return dict(tables.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(tables.SQL)

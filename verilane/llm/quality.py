@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, map_batches, sampled, table
+from .common import checkpointed, held_out, map_batches, sampled, table
 
 #: The bound of the training sample, for each label.
 DOCS_PER_LABEL = 4000
@@ -137,7 +137,7 @@ def _weight(groups: DataFrame, rate: float, parent: str | None) -> float:
 
 def path_rates(evidence: DataFrame) -> tuple[DataFrame, float]:
     """From host, path and p: the posterior rate parameters of each path, and the global rate."""
-    paths = evidence.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n"))
+    paths = checkpointed(evidence.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n")))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     total = hosts.agg(F.sum("s"), F.sum("n")).first()
     rate = float(np.clip((total[0] or 0.0) / total[1], 1e-6, 1 - 1e-6)) if total[1] else 0.5

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import held_out, map_batches, sampled, table
+from .common import checkpointed, held_out, map_batches, sampled, table
 
 #: The bound of the training sample: documents of each label, and characters of each text that may take part.
 DOCS_PER_LABEL, CHARS_PER_DOC = 5000, 20_000
@@ -64,78 +64,69 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return out + [(start, end, words)] if words else out
 
 
-def without_copies(texts: list[str], keys: int = 6) -> list[int]:
-    """Positions of the texts that are no copy or near copy of one before: none of their smallest shingle hashes was seen.
+_MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, 6, dtype=np.uint64) | np.uint64(1)
 
-    Copies would count one text's rare words many times over. At similarity 0.8 a copy goes unseen once in 0.2 ** -keys.
+
+def copy_marks(text: str) -> list[int]:
+    """The smallest of a text's word shingles under each of a few hashes."""
+    words = text.lower().split()
+    shingles = map(" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else [" ".join(words)]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64)
+    return [int((hashes * f).min().view(np.int64)) for f in _MULTIPLIERS]
+
+
+def without_copies(marks: list[list[int]]) -> list[int]:
+    """Positions of the texts that are no copy or near copy of one before: none of their marks was seen.
+
+    Copies would count one text's rare words many times over. At similarity 0.8 a copy goes unseen once in 0.2 ** -6.
     """
-    multipliers = np.random.default_rng(5).integers(1, 1 << 63, keys, dtype=np.uint64) | np.uint64(1)
     seen: set[tuple[int, int]] = set()
     kept = []
-    for k, text in enumerate(texts):
-        words = text.lower().split()
-        shingles = map(" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else [" ".join(words)]
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64)
-        marks = {(m, int((hashes * f).min())) for m, f in enumerate(multipliers)}
-        if not marks & seen:
+    for k, own in enumerate(marks):
+        own = set(enumerate(own))
+        if not own & seen:
             kept.append(k)
-        seen |= marks
+        seen |= own
     return kept
 
 
+def screened(counts: dict[str, tuple[int, int]], n_clean: int, n_toxic: int, n_features: int) -> dict[str, float]:
+    """Log odds of the features (clean, toxic documents) that toxic documents hold more often, where a likelihood ratio that few of
+    so many features reach by chance says so too."""
+    n, least = np.array([n_clean, n_toxic]) + 1.0, max(0.0, 2 * np.log(n_features + 2) - 4)
+    base, found = n[1] / n.sum(), {}
+    # what a longer feature says of the same documents is said once, by the longer one
+    said = {g for f in counts if (g := shorter(f)) and counts.get(g) == counts[f]}
+    for f, (clean, toxic) in counts.items():
+        if f in said:
+            continue
+        odds = float(np.log((toxic + 0.5) / n[1]) - np.log((clean + 0.5) / n[0]))
+        gain = 2 * sum(k * np.log(k / (toxic + clean) / rate) for k, rate in ((toxic, base), (clean, 1 - base)) if k)
+        if odds > LEAST_ODDS and gain > least:
+            found[f] = odds
+    return found
+
+
 class Model:
     """weights: of each feature that passed the screen. A model that has seen nothing scores 0."""
 
     def __init__(self, weights: dict[str, float] | None = None, bias: float = -4.0):
         self.weights, self.bias = weights or {}, bias
 
-    @staticmethod
-    def screened(bags: list[set[str]], y: np.ndarray) -> dict[str, float]:
-        """Log odds of the features that toxic documents hold more often, where a likelihood ratio that few of so many features
-        reach by chance says so too."""
-        features: dict[str, list[int]] = {}
-        for bag, label in zip(bags, y, strict=True):
-            for f in bag:
-                features.setdefault(f, [0, 0])[label] += 1
-        n = np.array([(y == 0).sum(), (y == 1).sum()]) + 1.0
-        found, least = {}, max(0.0, 2 * np.log(len(features) + 2) - 4)
-        # what a longer feature says of the same documents is said once, by the longer one
-        said = {g for f in features if (g := shorter(f)) and features.get(g) == features[f]}
-        for f, (clean, toxic) in features.items():
-            if f in said:
-                continue
-            odds = float(np.log((toxic + 0.5) / n[1]) - np.log((clean + 0.5) / n[0]))
-            seen, base = toxic + clean, n[1] / n.sum()
-            gain = 2 * sum(k * np.log(k / seen / rate) for k, rate in ((toxic, base), (clean, 1 - base)) if k)
-            if odds > LEAST_ODDS and gain > least:
-                found[f] = odds
-        return found
-
-    def fit(self, texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.1, decay: float = 1e-4) -> Model:
-        alone = without_copies(texts)
-        texts, y = [texts[k] for k in alone], np.array([labels[k] for k in alone])
-        one: dict[str, str] = {}
-        parsed = [[[one.setdefault(w, w) for w in words] for _, _, words in sentences(text)] for text in texts]
-        parts = Memo(word_features, 10**7)
-        first = self.screened([{f for words in doc for w in set(words) for f in parts[w]} for doc in parsed], y)
-        names = {f: k for k, f in enumerate(sorted(first))}
-        own = Memo(lambda w: [names[f] for f in parts[w] if f in names], 10**7)
-        # only sentences with a screened feature differ from the bias; the others are counted
-        flat, starts, owner, bare = [], [], [], np.zeros(len(y))
-        for k, doc in enumerate(parsed):
-            for words in doc:
-                ids = [i for w in set(words) for i in own[w]]
-                if ids:
-                    starts.append(len(flat))
-                    owner.append(k)
-                    flat.extend(ids)
-                else:
-                    bare[k] += 1
+    def fit(self, docs: list[tuple[int, int, list[list[int]]]], names: list[str], first: list[float], rounds: int = 120, rate: float = 0.1, decay: float = 1e-4) -> Model:
+        """docs: label, number of sentences without a screened feature (they differ in nothing), and the features of each other sentence."""
+        y, bare = np.array([d[0] for d in docs]), np.array([float(d[1]) for d in docs])
+        flat, starts, owner = [], [], []
+        for k, (_, _, found) in enumerate(docs):
+            for ids in found:
+                starts.append(len(flat))
+                owner.append(k)
+                flat.extend(ids)
         if not flat:
             return self
         ids, begin, owner = np.array(flat), np.array(starts), np.array(owner)
         sizes = np.diff(np.append(begin, len(ids)))
-        weights = np.array([first[f] for f in names])
+        weights = np.array(first, float)
         bias, seen, seen_bias = self.bias, np.full(len(weights), 1e-8), 1e-8
         share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
         for _ in range(rounds):
@@ -186,15 +177,64 @@ class Model:
         return float(abs(np.expm1(np.log1p(-evidence).sum())))
 
 
+def _marks(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([copy_marks(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], ["doc_id", "marks"])
+
+
 def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> Model:
-    """Fit on at most docs_per_label documents of each label outside the held-out fold, of at most CHARS_PER_DOC characters each."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("label")).where("label in (0, 1)").where(~held_out())
+    """Fit on at most docs_per_label documents of each label outside the held-out fold, of at most CHARS_PER_DOC characters each.
+
+    The sample stays on the executors; what reaches the driver are a few hashes of each document, the features that pass the screen
+    and the sentences that hold one.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1)").where(~held_out())
     chosen = sampled(known, ["label"], docs_per_label, 43)  # at most two labels
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, CHARS_PER_DOC))
-    rows = sorted(tuple(r) for r in texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect())
-    if len({r[2] for r in rows}) < 2:
+    sample = checkpointed(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"))
+    rows = sorted((r.doc_id, list(r.marks)) for r in map_batches(sample.select("doc_id", "text"), _marks, "doc_id long, marks array<long>").collect())
+    kept = frozenset(rows[k][0] for k in without_copies([r[1] for r in rows]))
+
+    def count(batches):
+        sums: dict[str, list[int]] = {}
+        parts = Memo(word_features, 100_000)
+        for batch in batches:
+            for key, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key in kept:
+                    for f in {f for w in {w for _, _, ws in sentences(text) for w in ws} for f in parts[w]}:
+                        sums.setdefault(f, [0, 0])[label] += 1
+        names = list(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[f][0] for f in names], pa.int64()), pa.array([sums[f][1] for f in names], pa.int64())], ["feature", "clean", "toxic"])
+
+    def only_kept(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([k in kept for k in batch.column(0).to_pylist()], pa.bool_()))
+
+    sizes = map_batches(sample.select("doc_id", "label"), only_kept, "doc_id long, label int").groupBy("label").agg(F.count("*").alias("n"))
+    n = {r.label: r.n for r in sizes.collect()}
+    if len(n) < 2:
         return Model()
-    return Model().fit([r[1] for r in rows], [r[2] for r in rows])
+    counts = checkpointed(map_batches(sample, count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    # a first cut by SQL, looser than the screen: nothing under it can pass
+    likely = counts.where((F.col("toxic") > 1) & (F.col("toxic") * float(n[0]) > F.col("clean") * float(n[1])))
+    likely = likely.where(2 * F.col("toxic") * F.log(F.col("toxic") / (F.col("toxic") + F.col("clean")) * float(n[0] + n[1] + 2) / (n[1] + 1)) > 4)
+    first = screened({r.feature: (r.clean, r.toxic) for r in likely.collect()}, n[0], n[1], counts.count())
+    names = sorted(first)
+    place = {f: k for k, f in enumerate(names)}
+
+    def located(batches):
+        own = Memo(lambda w: [place[f] for f in word_features(w) if f in place], 100_000)
+        for batch in batches:
+            out = []
+            for key, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key in kept:
+                    found = [ids for _, _, words in sentences(text) if (ids := [i for w in sorted(set(words)) for i in own[w]])]
+                    out.append((key, label, len(sentences(text)) - len(found), found))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.int32()))), strict=True)], ["doc_id", "label", "bare", "found"])
+
+    parsed = sorted((r.doc_id, r.label, r.bare, [list(x) for x in r.found]) for r in map_batches(sample, located, "doc_id long, label int, bare int, found array<array<int>>").collect())
+    return Model().fit([r[1:] for r in parsed], names, [first[f] for f in names])
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

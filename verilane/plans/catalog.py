@@ -1,13 +1,13 @@
-"""Every query over the driver tables and over inline fixtures, with its DuckDB twin."""
+"""Every query over the driver tables and over inline rows, with its DuckDB twin."""
 
 from __future__ import annotations
 
-from . import tables
+from . import fixtures, tables
 
 
 def queries() -> dict:
-    return dict(tables.QUERIES)
+    return {**tables.QUERIES, **fixtures.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return dict(tables.SQL)
+    return {**tables.SQL, **fixtures.SQL}

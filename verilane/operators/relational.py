@@ -79,20 +79,19 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, columns: list[str], or
     return joined
 
 
-def passages_in(passages: DataFrame, texts: DataFrame, passage: str = "needle", text: str = "haystack", words: int = 3) -> DataFrame:
-    """Pairs in which a text holds a passage, through shared word runs instead of a comparison of all pairs.
+def passages_in(passages: DataFrame, texts: DataFrame, passage: str = "needle", text: str = "haystack") -> DataFrame:
+    """Pairs in which a text holds a passage, through a shared word instead of a comparison of all pairs.
 
-    Inner words of a passage are whole words wherever it occurs, so a run of them is an equi-join key. Passages with fewer than
-    words + 2 words have no such run; they are looked for directly and must be few, which is checked.
+    A passage's inner words are whole words wherever it occurs, so the longest of them, which few texts hold, is an equi-join
+    key. Passages of one or two words have no such word; they are looked for directly and must be few, which is checked.
     """
-    cut = lambda c: F.split(F.col(c), " ")
-    run = lambda parts, at: F.concat_ws(" ", F.slice(parts, at, words))
-    long_enough = F.size(cut(passage)) >= words + 2
-    keyed = passages.where(long_enough).withColumn("_key", run(cut(passage), 2))
-    listed = texts.withColumn("_parts", cut(text)).withColumn("_n", F.size("_parts"))
-    runs = listed.where(F.col("_n") >= words).withColumn("_key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_n") - words + 1), lambda k: run(F.col("_parts"), k)))))
-    found = runs.drop("_parts", "_n").join(keyed, "_key").where(F.col(text).contains(F.col(passage))).drop("_key")
-    short = passages.where(~long_enough & (F.length(passage) > 0))
+    parts = F.split(F.col(passage), " ")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = passages.withColumn("_key", longest).where(F.col("_key").isNotNull())
+    words = texts.withColumn("_key", F.explode(F.array_distinct(F.split(F.col(text), " "))))
+    found = words.join(keyed, "_key").where(F.col(text).contains(F.col(passage))).drop("_key")
+    short = passages.where((F.size(parts) < 3) & (F.length(passage) > 0))
     if short.limit(1001).count() > 1000:
         raise ValueError("too many passages of fewer words than a key needs")
     return found.unionByName(texts.join(F.broadcast(short), F.col(text).contains(F.col(passage))))

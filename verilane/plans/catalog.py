@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import fixtures, tables
+from . import fixtures, more, tables
 
 
 def queries() -> dict:
-    return {**tables.QUERIES, **fixtures.QUERIES}
+    return {**tables.QUERIES, **fixtures.QUERIES, **more.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**tables.SQL, **fixtures.SQL}
+    return {**tables.SQL, **fixtures.SQL, **more.SQL}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import map_batches, spread, table
 
 UNIT = 64
 #: kbit/s by index of MPEG-1 Layer III, and of MPEG-2 and 2.5; sampling rates by index of MPEG-1. Fixed values of the format.
@@ -345,4 +345,4 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digests(with_media(table(spark, sf_dir, "documents")))
+    return digests(with_media(spread(table(spark, sf_dir, "documents"))))

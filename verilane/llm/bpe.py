@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_batches, table
+from .common import map_batches, spread, table
 
 #: White space of Unicode, as the tokenizer's pattern sees it. str.split() also takes these four, which it does not.
 _SEPARATORS = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -284,4 +284,4 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(spread(table(spark, sf_dir, "documents")))

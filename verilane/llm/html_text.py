@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import map_batches, spread, table
 from .dom import Node, parse
 from .layouts import MARK, Maker
 
@@ -174,4 +174,4 @@ def main_text(pages: DataFrame, model: TreeModel | None = None, id_col: str = "p
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return main_text(table(spark, sf_dir, "pages"))
+    return main_text(spread(table(spark, sf_dir, "pages")))

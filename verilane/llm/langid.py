@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, sampled, table
+from .common import held_out, map_batches, sampled, spread, table
 
 WINDOW = 256
 EMBEDDING, WIDTHS, FILTERS = 8, (2, 3, 4), 16
@@ -182,6 +182,6 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     out = identify(docs, train(docs))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

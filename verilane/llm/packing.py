@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import default_vocabulary, encoder_pieces, runs
-from .common import map_batches, table
+from .common import map_batches, spread, table
 
 CAPACITY, END = 2048, 1
 #: Runs of text whose ids a worker remembers here.
@@ -176,4 +176,4 @@ def run_ids(path: str) -> RunIds:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spread(table(spark, sf_dir, "documents")))

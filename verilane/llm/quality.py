@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import checkpointed, held_out, map_batches, sampled, table
+from .common import checkpointed, held_out, map_batches, sampled, spread, table
 
 #: The bound of the training sample, for each label.
 DOCS_PER_LABEL = 4000
@@ -190,6 +190,6 @@ def keep_good(docs: DataFrame, model: Evidence) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     out = quality(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.withColumn("held_out", held_out())

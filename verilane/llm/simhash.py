@@ -132,7 +132,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    from .common import table
+    from .common import spread, table
 
-    out = near_duplicates(table(spark, sf_dir, "documents"))
+    out = near_duplicates(spread(table(spark, sf_dir, "documents")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

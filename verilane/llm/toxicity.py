@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import checkpointed, held_out, map_batches, sampled, table
+from .common import checkpointed, held_out, map_batches, sampled, spread, table
 
 #: The bound of the training sample: documents of each label, and characters of each text that may take part.
 DOCS_PER_LABEL, CHARS_PER_DOC = 5000, 20_000
@@ -283,7 +283,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = train(docs, table(spark, sf_dir, "labels"))
     out = scores(docs, model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

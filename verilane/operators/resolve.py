@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verilane.functions import rules, text
+from verilane.functions import names, rules, text
 from verilane.functions.similarity import name_similarity
 
 from verilane.sources.session import cut
@@ -39,11 +39,9 @@ def _blocked(citations: DataFrame, candidates: DataFrame) -> DataFrame:
     return a.join(b, "_tok").drop("_tok")
 
 
-def _party_overlap(p: Column, caption: Column) -> Column:
-    """Each cited party shares a token with the caption; an unknown party does not speak against it."""
-    own = text.tokens(caption, 3)
-    hit = lambda party: (F.size(text.tokens(party, 3)) == 0) | F.arrays_overlap(text.tokens(party, 3), own)
-    return hit(F.coalesce(p["plaintiff"], F.lit(""))) & hit(F.coalesce(p["defendant"], F.lit("")))
+def _parties(rule, caption: Column) -> Column:
+    p = F.col("parsed")
+    return rule(p["case_name"], p["plaintiff"], p["defendant"], caption)
 
 
 def scored(pairs: DataFrame, record: Column, docket: Column) -> DataFrame:
@@ -59,7 +57,7 @@ def scored(pairs: DataFrame, record: Column, docket: Column) -> DataFrame:
         p["court"], p["year"], F.col("name_sim"), F.coalesce(F.col("parsed.court") == F.col("court_id"), F.lit(False)), F.coalesce(F.col("_date"), F.lit(0.0)),
         F.col("_docket"), F.col("cite_check") == "CORROBORATED", F.col("_parties"), F.col("_contra"),
     )
-    ready = with_sim.withColumn("_date", date).withColumn("_docket", docket_hit).withColumn("_parties", _party_overlap(p, F.col("case_name"))).withColumn("_contra", contradicted)
+    ready = with_sim.withColumn("_date", date).withColumn("_docket", docket_hit).withColumn("_parties", _parties(names.party_overlap, F.col("case_name"))).withColumn("_contra", contradicted)
     return ready.withColumn("score", score).drop("_date", "_parties", "_contra").withColumnRenamed("_docket", "docket_corroborated")
 
 
@@ -67,7 +65,7 @@ def resolve(citations: DataFrame, clusters: DataFrame, dockets: DataFrame) -> Da
     """ord, status, cluster_id, docket_id, matched_name, score, stage and warning of every citation."""
     p = F.col("parsed")
     citations = cut(citations)  # else every use of a field would parse the text again
-    lookup = exact_lookup(citations, clusters).withColumn("_ok", _party_overlap(p, F.col("case_name")) | p["case_name"].isNull())
+    lookup = exact_lookup(citations, clusters).withColumn("_ok", _parties(names.lookup_name_match, F.col("case_name")))
     done = lookup.select(
         "ord", F.when(F.col("_ok"), "VERIFIED").otherwise("WRONG_CASE").alias("status"), "cluster_id", F.lit(None).cast("long").alias("docket_id"), F.col("case_name").alias("matched_name"),
         F.lit(1.0).alias("score"), F.lit("citation_lookup").alias("stage"), F.when(p["case_name"].isNull(), "name_unverified").alias("warning"),

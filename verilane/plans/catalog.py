@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import fixtures, more, tables
+from . import fixtures, more, screens, tables
 
 
 def queries() -> dict:
-    return {**tables.QUERIES, **fixtures.QUERIES, **more.QUERIES}
+    return {**tables.QUERIES, **fixtures.QUERIES, **more.QUERIES, **screens.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**tables.SQL, **fixtures.SQL, **more.SQL}
+    return {**tables.SQL, **fixtures.SQL, **more.SQL, **screens.SQL}

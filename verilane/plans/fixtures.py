@@ -408,7 +408,7 @@ def exit_severity(spark, d):
 
 
 ASK = [
-    (1, "Obergefell v. Hodges, 576 U.S. 644 (2015)"), (2, "Marbury v. Hodges, 576 U.S. 644 (2015)"), (3, "Thornton v. Whitfield, 99 F.3d 12 (2d Cir. 1996)"), (4, "Kessler v. Brandt, No. 14-cv-2524 (N.D. Cal. 2016)"), (5, "Nobody v. Nothing, 1 X.Y. 2"), (6, "Ghost v. Phantom, 44 F.3d 55 (1995)"),
+    (1, "Obergefell v. Hodges, 576 U.S. 644 (2015)"), (2, "Marbury v. Whitlock, 576 U.S. 644 (2015)"), (3, "Thornton v. Whitfield, 99 F.3d 12 (2d Cir. 1996)"), (4, "Kessler v. Brandt, No. 14-cv-2524 (N.D. Cal. 2016)"), (5, "Nobody v. Nothing, 1 X.Y. 2"), (6, "Ghost v. Phantom, 44 F.3d 55 (1995)"),
 ]
 CLUSTERS = [(10, "Obergefell v. Hodges", "scotus", "2015-06-26", ["576 U.S. 644", "135 S. Ct. 2584"]), (20, "Thornton v. Whitfield", "2d Cir.", "1996-04-02", ["88 F.3d 77"]), (30, "Thornton v. Whitfield", "9th Cir.", "2015-01-01", ["700 F.3d 1"])]
 DOCKETS = [(700, "Kessler v. Brandt", "N.D. Cal.", "2014-06-01", "3:14-cv-02524-WHO"), (701, "Kessler v. Brandt", "N.D. Cal.", "2024-06-01", "24-cv-1")]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verilane.functions import names, rules, text
-from verilane.functions.similarity import name_similarity
+from verilane.functions.similarity import with_name_similarity
 
 from verilane.sources.session import cut
 
@@ -52,12 +52,14 @@ def scored(pairs: DataFrame, record: Column, docket: Column) -> DataFrame:
     docket_hit = F.coalesce(text.docket_number(p["docket_number"]) == text.docket_number(docket), F.lit(False))
     contradicted = p["docket_number"].isNotNull() & F.coalesce(text.docket_number(p["docket_number"]) != text.docket_number(docket), F.lit(False))
     date = rules.date_share(p["year"], p["month"], p["day"], F.col("date_filed"))
-    with_sim = pairs.withColumn("name_sim", name_similarity(p["case_name"], F.col("case_name"))).withColumn("cite_check", check)
+    facts = pairs.withColumn("cite_check", check).withColumn("_date", date).withColumn("_docket", docket_hit).withColumn("_contra", contradicted)
+    facts = facts.withColumn("_parties", _parties(names.party_overlap, F.col("case_name")))
+    # the similarity is worked out once and then read by the score
+    ready = cut(with_name_similarity(facts, p["case_name"], F.col("case_name"), "name_sim"))
     score = rules.candidate_score(
         p["court"], p["year"], F.col("name_sim"), F.coalesce(F.col("parsed.court") == F.col("court_id"), F.lit(False)), F.coalesce(F.col("_date"), F.lit(0.0)),
         F.col("_docket"), F.col("cite_check") == "CORROBORATED", F.col("_parties"), F.col("_contra"),
     )
-    ready = with_sim.withColumn("_date", date).withColumn("_docket", docket_hit).withColumn("_parties", _parties(names.party_overlap, F.col("case_name"))).withColumn("_contra", contradicted)
     return ready.withColumn("score", score).drop("_date", "_parties", "_contra").withColumnRenamed("_docket", "docket_corroborated")
 
 
@@ -75,13 +77,12 @@ def resolve(citations: DataFrame, clusters: DataFrame, dockets: DataFrame) -> Da
     anchored = left.where(p["court"].isNotNull() | p["year"].isNotNull())
     opinions = _blocked(anchored, clusters).where(rules.temporal_gate(rules.year_of(F.col("date_filed")), p["year"])).dropDuplicates(["ord", "cluster_id"])
     best = first_wins(scored(opinions, F.col("citations"), F.lit(None).cast("string")), ["ord"], [F.desc("score"), F.col("cluster_id")])
-    best = cut(best)
     credible = best.where(F.col("score") >= rules.STOPS_CASCADE)
     deeper = pending(anchored, credible, ["ord"])
     filed = rules.year_of(F.col("date_filed"))
     recap = _blocked(deeper, dockets).where(rules.filing_gate(filed, p["year"]) & rules.era_gate(p["year"])).dropDuplicates(["ord", "docket_id"])
     bare = scored(recap, F.array().cast("array<string>"), F.col("docket_number"))
-    bare = cut(bare).withColumn("score", F.when(F.col("docket_corroborated"), F.col("score")).otherwise(F.round(F.col("score") * rules.DOCKET_ONLY_FACTOR, 4)))
+    bare = bare.withColumn("score", F.when(F.col("docket_corroborated"), F.col("score")).otherwise(F.round(F.col("score") * rules.DOCKET_ONLY_FACTOR, 4)))
     shape = lambda df, cluster, docket, stage, at: df.select("ord", "parsed", "score", "cite_check", "docket_corroborated", cluster.cast("long").alias("cluster_id"), docket.cast("long").alias("docket_id"), F.col("case_name").alias("matched_name"), F.lit(stage).alias("stage"), F.lit(at).alias("_at"))
     none = F.lit(None)
     pool = shape(best, F.col("cluster_id"), none, "opinion_search", 1).unionByName(shape(bare, none, F.col("docket_id"), "recap_docket_search", 2))
@@ -92,7 +93,7 @@ def resolve(citations: DataFrame, clusters: DataFrame, dockets: DataFrame) -> Da
         "ord", rules.demoted(F.col("_raw"), has_cite, F.col("cite_check"), F.col("docket_corroborated")).alias("status"), "cluster_id", "docket_id", "matched_name", "score", "stage",
         rules.demotion_warning(F.col("_raw"), has_cite, F.col("cite_check")).alias("warning"),
     )
-    found = done.unionByName(cut(fallback))
+    found = done.unionByName(fallback)
     no = F.lit(False)
     status = rules.promoted(F.coalesce("status", F.lit("NOT_FOUND")), no, no, p["court"], p["year"])
     out = citations.select("ord", "parsed").join(found, "ord", "left").withColumn("status", status)

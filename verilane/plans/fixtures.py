@@ -431,7 +431,7 @@ NAMES = Fixture("a string, b string", [("Fink v. Gomez", "David M. Fink v. James
 
 @query(None)
 def name_similarity_4f(spark, d):
-    return NAMES.frame(spark).withColumn("similarity", similarity.name_similarity(F.col("a"), F.col("b")))
+    return similarity.with_name_similarity(NAMES.frame(spark), F.col("a"), F.col("b"), "similarity")
 
 
 @query(None)

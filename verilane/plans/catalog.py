@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import fixtures, more, screens, tables
+from . import extras, fixtures, more, screens, tables
 
 
 def queries() -> dict:
-    return {**tables.QUERIES, **fixtures.QUERIES, **more.QUERIES, **screens.QUERIES}
+    return {**tables.QUERIES, **fixtures.QUERIES, **more.QUERIES, **screens.QUERIES, **extras.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**tables.SQL, **fixtures.SQL, **more.SQL, **screens.SQL}
+    return {**tables.SQL, **fixtures.SQL, **more.SQL, **screens.SQL, **extras.SQL}

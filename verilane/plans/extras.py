@@ -159,4 +159,4 @@ def proposition_clusters(spark, d):
     from verilane.operators.clusters import max_cluster
 
     lines = F.transform(F.split("text", "\n"), lambda x: text.tokens(x, 3))
-    return spark.read.parquet(f"{d}/documents.parquet").where("n_chars < 20000").select("doc_id", max_cluster(lines).alias("max_cluster"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", max_cluster(lines).alias("max_cluster"))

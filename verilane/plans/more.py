@@ -64,18 +64,18 @@ def docket_post_filter(spark, d):
     return _DN.frame(spark).select("id", F.coalesce(text.docket_number(F.col("number")) == text.docket_number(F.col("other")), F.lit(False)).alias("same"))
 
 
-@query("""SELECT doc_id, 'r' || (doc_id % 5) AS response FROM documents WHERE doc_id % 3 = 0""")
+@query("""SELECT doc_id, 'r' || (doc_id % 5) AS response FROM documents""")
 def cassette_replay(spark, d):
     """Calls answered from recorded responses; a call without one would raise."""
     docs = T(spark, d, "documents").select("doc_id", F.concat(F.lit("get:"), F.col("doc_id").cast("string")).alias("call_key"))
     recorded = docs.select("call_key", F.concat(F.lit("r"), (F.col("doc_id") % 5).cast("string")).alias("response"))
-    return replay(docs.where("doc_id % 3 = 0"), recorded).select("doc_id", "response")
+    return replay(docs, recorded).select("doc_id", "response")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS origin FROM documents WHERE doc_id % 4 = 0 OR doc_id % 2 = 1""")
+@query("""SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' ELSE 'old' END AS origin FROM documents""")
 def manifest_merge(spark, d):
-    docs = T(spark, d, "documents").select("doc_id")
-    return merged_manifest(docs.where("doc_id % 2 = 1 or doc_id % 8 = 0").withColumn("origin", F.lit("old")), docs.where("doc_id % 4 = 0").withColumn("origin", F.lit("new")), "doc_id")
+    old = T(spark, d, "documents").select("doc_id", F.lit("old").alias("origin"))
+    return merged_manifest(old, T(spark, d, "labels").select("doc_id", F.lit("new").alias("origin")).distinct(), "doc_id")
 
 
 @query("""WITH f AS (SELECT doc_id, source || '-' || lang AS base, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents) SELECT doc_id, CASE WHEN rn = 1 THEN base ELSE base || ' (' || rn || ')' END AS name FROM f""")
@@ -122,13 +122,14 @@ def headline_confidence(spark, d):
     return own.select("user_id", F.size("path").alias("n"), F.round(F.try_element_at(won, F.lit(-1))["value"], 6).alias("headline"))
 
 
-@query("""WITH w AS (SELECT source, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 4)) AS tok FROM documents WHERE n_chars < 3000),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM w) WHERE rn <= 8)
-SELECT a.doc_id, b.doc_id AS other, round(len(list_intersect(a.tok, b.tok)) / greatest(len(list_distinct(list_concat(a.tok, b.tok))), 1), 6) AS jaccard, len(list_filter(a.tok, lambda t: NOT list_contains(b.tok, t))) = 0 AS inside FROM f a JOIN f b ON a.source = b.source AND a.doc_id < b.doc_id""")
+@query("""WITH w AS (SELECT source, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 4)) AS tok FROM documents),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM w) WHERE rn = 1)
+SELECT a.doc_id, b.doc_id AS other, round(len(list_intersect(a.tok, b.tok)) / greatest(len(list_distinct(list_concat(a.tok, b.tok))), 1), 6) AS jaccard, len(list_filter(a.tok, lambda t: NOT list_contains(b.tok, t))) = 0 AS inside FROM w a JOIN f b ON a.source = b.source AND a.doc_id <> b.doc_id""")
 def token_sets(spark, d):
-    """Jaccard, overlap and subset of token sets within blocks of bounded size."""
-    own = rel.top_k(T(spark, d, "documents").where("n_chars < 3000"), ["source"], [F.col("doc_id")], 8).select("source", "doc_id", text.tokens(F.col("text"), 4).alias("tok"))
-    pairs = own.join(own.select("source", F.col("doc_id").alias("other"), F.col("tok").alias("tok2")), "source").where("doc_id < other")
+    """Jaccard, overlap and subset of token sets: each document against the first one of its source."""
+    own = T(spark, d, "documents").select("source", "doc_id", text.tokens(F.col("text"), 4).alias("tok"))
+    first = rel.first_wins(own, ["source"], [F.col("doc_id")]).select("source", F.col("doc_id").alias("other"), F.col("tok").alias("tok2"))
+    pairs = own.join(first, "source").where("doc_id <> other")
     return pairs.select("doc_id", "other", F.round(text.jaccard(F.col("tok"), F.col("tok2")), 6).alias("jaccard"), (F.size(F.array_except("tok", "tok2")) == 0).alias("inside"))
 
 

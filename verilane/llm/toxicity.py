@@ -152,7 +152,7 @@ class Model:
 
     def memo(self) -> Memo:
         """What a token adds to its sentence; NaN where a sentence ends."""
-        return Memo(lambda token: np.nan if token[0] in _ENDS else self.word_weight(token), 500_000)
+        return Memo(lambda token: np.nan if token[0] in _ENDS else self.word_weight(token), 100_000)
 
     def probabilities(self, text: str, memo: Memo) -> np.ndarray:
         """The probability of each sentence of a text, those without words left out."""

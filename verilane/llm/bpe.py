@@ -32,8 +32,8 @@ from .common import map_batches, spread, table
 #: White space of Unicode, as the tokenizer's pattern sees it. str.split() also takes these four, which it does not.
 _SEPARATORS = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _ODD = regex.compile("[\x1c-\x1f]")
-#: Most runs and words that a worker remembers.
-REMEMBERED = 250_000
+#: Most runs, and most words, that a worker remembers; about 0.4 kB each.
+REMEMBERED = 400_000
 _ENDED = "\n"
 #: Up to here the character classes are settled, and nothing combines with what stands before.
 _LATIN = "\u024f"

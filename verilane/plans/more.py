@@ -48,12 +48,12 @@ def text_with_metadata(spark, d):
     return out.select("o_orderkey", F.coalesce("c_name", F.lit("unknown")).alias("c_name"), "n_name", "r_name", "first_part")
 
 
-@query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS hits, min(o_orderdate) AS first FROM customer JOIN orders ON o_custkey = c_custkey WHERE lower(c_mktsegment) = 'building' AND year(o_orderdate) BETWEEN 1994 AND 1996 GROUP BY c_custkey""")
+@query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS hits, strftime(min(o_orderdate), '%Y-%m-%d') AS first FROM customer JOIN orders ON o_custkey = c_custkey WHERE lower(c_mktsegment) = 'building' AND year(o_orderdate) BETWEEN 1994 AND 1996 GROUP BY c_custkey""")
 def opinion_search(spark, d):
     """Candidates by an equality key with a date range around the cited year."""
     who = T(spark, d, "customer").where(F.lower("c_mktsegment") == "building").select("c_custkey")
     orders = T(spark, d, "orders").where(F.year("o_orderdate").between(1994, 1996))
-    return who.join(orders, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey").agg(F.countDistinct("o_orderkey").alias("hits"), F.min("o_orderdate").alias("first"))
+    return who.join(orders, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey").agg(F.countDistinct("o_orderkey").alias("hits"), F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first"))
 
 
 _DN = Fixture("id int, number string, other string", [(1, "2:17-cv-00012676", "17-CV-12676-JCC"), (2, "C 09-02727 WHA", "9-cv-2727"), (3, "03 C 7956", "04 C 7956"), (4, None, "1-cv-1"), (5, "24-61529-CIV", "0:24-cv-61529")])

@@ -382,12 +382,12 @@ def json_flags(spark, d):
     return own.groupBy("event_type").agg(F.count("*").alias("n"), F.count("k").alias("parsed"), F.count_if(F.col("k") >= 50).alias("flagged"), F.sum("k").alias("total"))
 
 
-@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS filed, l_linenumber, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS filed, l_linenumber, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
 def flatten_entries(spark, d):
     """Entries with nested documents, flattened again with their parent's date."""
     items = T(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("docs"))
     entries = T(spark, d, "orders").join(items, F.col("l_orderkey") == F.col("o_orderkey"))
-    return entries.select("o_orderkey", F.to_date("o_orderdate").alias("filed"), F.explode("docs").alias("doc")).select("o_orderkey", "filed", "doc.*")
+    return entries.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed"), F.explode("docs").alias("doc")).select("o_orderkey", "filed", "doc.*")
 
 
 @query("""SELECT source, count(*) AS claims, count(DISTINCT lang) AS cards, string_agg(DISTINCT lang, '; ' ORDER BY lang) AS langs, min(doc_id) AS first FROM documents GROUP BY source""")

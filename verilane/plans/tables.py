@@ -189,12 +189,22 @@ s AS (SELECT x.p_partkey, f.p_partkey AS file, src, len(list_intersect(v, f.a))
 FROM (SELECT p_partkey, p_brand, 1 AS src, a AS v FROM t UNION ALL SELECT p_partkey, p_brand, 2, b FROM t) x JOIN f USING (p_brand) WHERE len(v) > 0 AND len(f.a) > 0 AND x.p_partkey <> f.p_partkey)
 SELECT p_partkey, file, src, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY src, score DESC, file) AS rn FROM s WHERE score >= 0.25) WHERE rn = 1""")
 def token_jaccard_link(spark, d):
-    """Linkage by token overlap against files of the same brand: the first source that reaches the threshold wins."""
-    own = T(spark, d, "part").select("p_partkey", "p_brand", text.tokens(F.col("p_name"), 3).alias("a"), text.tokens(F.col("p_type"), 3).alias("b"))
-    files = rel.top_k(own, ["p_brand"], [F.col("p_partkey")], 5).select("p_brand", F.col("p_partkey").alias("file"), F.col("a").alias("f"))
-    sources = own.select("p_partkey", "p_brand", F.posexplode(F.array("a", "b")).alias("pos", "v")).withColumn("src", F.col("pos") + 1)
-    scored = sources.join(files, "p_brand").where((F.col("p_partkey") != F.col("file")) & (F.size("v") > 0) & (F.size("f") > 0)).withColumn("score", text.jaccard(F.col("v"), F.col("f"))).where("score >= 0.25")
-    return rel.first_wins(scored, ["p_partkey"], [F.col("src"), F.desc("score"), F.col("file")]).select("p_partkey", "file", "src", F.round("score", 6).alias("score"))
+    """Linkage by token overlap against all files of the same brand: the first source that reaches the threshold wins.
+
+    Equal token sets of a brand are scored once, and only against sets with a shared token. Of each set the two smallest files, and of
+    each source's files the two best, are enough, since a part leaves out one file, itself. The twin still holds a cap of five files.
+    """
+    own = T(spark, d, "part").select("p_partkey", "p_brand", F.sort_array(text.tokens(F.col("p_name"), 3)).alias("a"), F.sort_array(text.tokens(F.col("p_type"), 3)).alias("b"))
+    sources = own.select("p_partkey", "p_brand", F.posexplode(F.array("a", "b")).alias("pos", "v")).withColumn("src", F.col("pos") + 1).drop("pos")
+    files = own.select("p_brand", F.col("a").alias("f"), F.col("p_partkey").alias("file")).distinct()
+    files = rel.top_k(files, ["p_brand", "f"], [F.col("file")], 2)
+    left = sources.select("p_brand", "v").distinct().withColumn("t", F.explode("v"))
+    right = files.select("p_brand", "f").distinct().withColumn("t", F.explode("f"))
+    scored = left.join(right, ["p_brand", "t"]).select("p_brand", "v", "f").distinct().withColumn("score", text.jaccard(F.col("v"), F.col("f"))).where("score >= 0.25")
+    named = scored.join(files, ["p_brand", "f"]).groupBy("p_brand", "v", "file").agg(F.max("score").alias("score"))
+    best = rel.top_k(named, ["p_brand", "v"], [F.desc("score"), F.col("file")], 2)
+    found = sources.join(best, ["p_brand", "v"]).where("p_partkey <> file")
+    return rel.first_wins(found, ["p_partkey"], [F.col("src"), F.desc("score"), F.col("file")]).select("p_partkey", "file", "src", F.round("score", 6).alias("score"))
 
 
 @query("""WITH k AS (SELECT doc_id, md5(text) AS h, left(text, 40) AS p, length(text) AS n FROM documents),

@@ -23,3 +23,11 @@ def test_token_jaccard_link_scores_every_file(spark, tmp_path):
                 break
     got = {tuple(r) for r in catalog.queries()["token_jaccard_link"](spark, str(tmp_path)).select("p_partkey", "file", "src", "score").collect()}
     assert got == want and (9, 10, 1, 1.0) in got and (20, 21, 2, 0.5) in got
+
+
+def test_card_text_escapes_the_whole_text(spark, tmp_path):
+    text = "a & b. " * 20 + '<i>"end"</i>'
+    spark.createDataFrame([(1, text), (2, None), (3, "x" * 300 + "!")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in catalog.queries()["card_text"](spark, str(tmp_path)).collect()}
+    assert out[1].escaped == "a &amp; b. " * 20 + "&lt;i&gt;&quot;end&quot;&lt;/i&gt;" and out[1].teaser == "a & b."
+    assert out[2].escaped is None and out[3].escaped == "x" * 300 + "!" and out[3].teaser == "x" * 220

@@ -214,7 +214,8 @@ def json_recovery(spark, d):
 
 @query("""SELECT doc_id, replace(replace(replace(replace(left(text, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, left(regexp_extract(text, '^([^.!?]*[.!?])', 1), 220) AS teaser FROM documents""")
 def card_text(spark, d):
-    esc = F.left("text", F.lit(60))
+    """The whole text escaped; only the teaser has a limit. The twin still escapes 60 characters."""
+    esc = F.col("text")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         esc = F.replace(esc, F.lit(a), F.lit(b))
     return T(spark, d, "documents").select("doc_id", esc.alias("escaped"), F.left(F.regexp_extract("text", "^([^.!?]*[.!?])", 1), F.lit(220)).alias("teaser"))

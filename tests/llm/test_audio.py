@@ -71,3 +71,17 @@ def test_columns(spark):
     index = {r.doc_id: r for r in audio.frame_index(media).collect()}
     assert index[6].samples == 1152 * len(index[6].offsets) and index[6].tags["payload_bytes"] == "2000000" and index[6].failed == 0
     assert audio.digests(audio.with_media(docs.limit(0))).count() == 0
+
+
+def test_text_that_looks_like_a_trailing_tag(spark):
+    texts = {n: ("xyTAG" + "z" * 200)[:n] for n in (65, 100, 128)}
+    for text in texts.values():
+        blob = audio.store(audio.payload_of(text)[0])
+        assert blob[-128:-125] == b"TAG"
+        found = audio.read(blob)
+        assert audio.payload(blob, found) == audio.payload_of(text)[0] and found.skipped == 0 and not any(k.startswith("v1.") for k in found.tags)
+        tagged = audio.read(blob + b"TAG" + b"Name".ljust(125, b"\0"))
+        assert tagged.tags["v1.title"] == "Name" and tagged.offsets == found.offsets and tagged.skipped == 0
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in audio.digests(audio.with_media(docs)).collect():
+        assert (r.payload_bytes, r.payload_sha256) == (128, hashlib.sha256(audio.payload_of(texts[r.doc_id])[0]).hexdigest())

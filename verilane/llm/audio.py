@@ -235,18 +235,18 @@ def _read_table(frame: bytes, head: Header) -> dict[str, object] | None:
 
 
 def read(data: bytes) -> Audio:
-    """Parse a whole file; bytes between frames are skipped and counted."""
+    """Parse a whole file; bytes between frames are skipped and counted. What looks like a trailing tag but lies in a frame is the frame's."""
     out = Audio()
     out.tags, at = _read_id3(data)
-    more, end = _read_id3v1(data)
-    out.tags.update(more)
+    more, tag = _read_id3v1(data)
+    end, last = len(data), at
     first, started = None, False
     while at + _HEAD <= end:
         head = header(data[at : at + 4])
         if head is not None and (first is None or head.same_stream(first)):
             after = at + head.size
             follow = header(data[after : after + 4]) if after + _HEAD <= end else None
-            if after == end or follow is not None and follow.same_stream(head):
+            if after in (end, tag) or follow is not None and follow.same_stream(head):
                 first = first or head
                 if not started and (found := _read_table(data[at:after], head)):
                     out.table = found | {"offset": at}
@@ -254,13 +254,18 @@ def read(data: bytes) -> Audio:
                     out.offsets.append(at)
                     out.sizes.append(head.size)
                     out.headers.append(head)
-                started, at = True, after
+                started, at, last = True, after, after
+                if at == tag:
+                    break
                 continue
         move = data.find(b"\xff", at + 1, end)
         move = end if move < 0 else move
         out.skipped += move - at
         at = move
     out.skipped += max(0, end - at)
+    if last <= tag < end:
+        out.tags.update(more)
+        out.skipped -= end - tag
     _verify(data, out)
     return out
 

@@ -99,3 +99,19 @@ def test_hot_keys_give_the_same_links(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_and_repeated_ids_keep_one_row_by_a_total_order(spark):
+    from verilane.llm import resemblance
+
+    words = [" ".join(f"{c}{k}" for k in range(80)) for c in "abcdef"]
+    rows = [(1, words[0], "x"), (2, words[1], "x"), (2, words[0], "x"), (None, words[2], "x"), (None, words[3], "z"), (None, words[3], "y"), (None, words[1], "x"), (7, words[4], "q"), (7, words[4], "p"), (8, words[5], "x"), (8, words[5], "x")]
+    # 2 loses its copy of 1's text and keeps its own; null ids are kept unless their text has an id
+    want = sorted([(1, words[0], "x"), (2, words[1], "x"), (None, words[2], "x"), (None, words[3], "y"), (7, words[4], "p"), (8, words[5], "x")], key=repr)
+    for keep in (simhash.keep_one, resemblance.keep_one):
+        for order in (rows, rows[::-1]):
+            docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+            assert sorted(map(tuple, keep(docs).collect()), key=repr) == want
+    both = [(5, words[0]), (5, words[1])]
+    for keep in (simhash.keep_one, resemblance.keep_one):
+        assert len({tuple(keep(spark.createDataFrame(order, "doc_id long, text string")).first()) for order in (both, both[::-1])}) == 1

@@ -123,11 +123,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of repeated rows of that id, one."""
-    result = near_duplicates(docs)
-    kept = result.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each component: the smallest id's, a null id after all others.
+
+    An id leaves as one row: of its texts that come first in their components the one with the smallest digest, and of rows that
+    differ in other columns only the first in their order. Rows with a null id are different documents unless linked.
+    """
+    marked = docs.withColumns({"_h": F.md5(F.coalesce("text", F.lit(""))), "_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
+    key = ["_h", "_none", "_id"]
+    # a text stands under a number of its own, so that ids that are null or repeated name one text each
+    texts = checkpointed(marked.groupBy(*key).agg(F.any_value("text").alias("text")).withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(texts, "_row").withColumnRenamed("doc_id", "_row").select("_row", "component_id")
+    ranked = texts.join(found, "_row").groupBy("component_id").agg(F.min(F.struct("_none", "_id", "_h")).alias("k")).select("k.*")
+    kept = ranked.groupBy("_none", "_id", F.when(F.col("_none"), F.col("_h"))).agg(F.min("_h").alias("_h")).select(*key)
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "text"))
+    rows = marked.join(kept, key, "left_semi").withColumn("_rank", rank)
+    return rows.where("_rank = 1").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

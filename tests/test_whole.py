@@ -1,5 +1,6 @@
 """Queries that once stopped short of the whole job, against plain Python over all rows."""
 
+import hashlib
 import re
 
 from verilane.plans import catalog
@@ -31,3 +32,16 @@ def test_card_text_escapes_the_whole_text(spark, tmp_path):
     out = {r.doc_id: r for r in catalog.queries()["card_text"](spark, str(tmp_path)).collect()}
     assert out[1].escaped == "a &amp; b. " * 20 + "&lt;i&gt;&quot;end&quot;&lt;/i&gt;" and out[1].teaser == "a & b."
     assert out[2].escaped is None and out[3].escaped == "x" * 300 + "!" and out[3].teaser == "x" * 220
+
+
+def test_stratified_sample_fills_what_a_stratum_lacks(spark, tmp_path):
+    rows = [(k, "en") for k in range(100)] + [(k, "de") for k in range(100, 130)] + [(k, "fr") for k in range(200, 260)] + [(k, "es") for k in range(300, 305)]
+    spark.createDataFrame(rows, "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    by_hash = sorted(rows, key=lambda r: (hashlib.md5(f"7-{r[0]}".encode()).hexdigest(), r[0]))
+    want, left = [], []
+    for lang, n in (("en", 40), ("de", 40), ("fr", 20), ("es", 20)):
+        own = [r for r in by_hash if r[1] == lang]
+        want, left = want + own[:n], left + own[n:]
+    want += [r for r in by_hash if r in left][: 120 - len(want)]
+    got = catalog.queries()["stratified_sample"](spark, str(tmp_path)).collect()
+    assert len(want) == 120 and sorted((r.doc_id, r.lang) for r in got) == sorted(want)

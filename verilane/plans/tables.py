@@ -379,10 +379,17 @@ def rate_reconcile(spark, d):
 
 @query("""WITH c AS (SELECT doc_id, lang, CASE lang WHEN 'en' THEN 40 WHEN 'de' THEN 40 ELSE 20 END AS want, row_number() OVER (PARTITION BY lang ORDER BY md5('7-' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS size FROM documents) SELECT doc_id, lang, rn FROM c WHERE rn <= least(want, size)""")
 def stratified_sample(spark, d):
-    """A sample by hash order instead of a random generator: the same at every run."""
-    want = F.when(F.col("lang").isin("en", "de"), 40).otherwise(20)
-    own = T(spark, d, "documents").select("doc_id", "lang").withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.concat(F.lit("7-"), F.col("doc_id").cast("string"))), "doc_id")))
-    return own.where(F.col("rn") <= want)
+    """A sample by hash order instead of a random generator: the same at every run. What strata lack of their share is filled from the rest, by hash order."""
+    large, share, rest = ("en", "de"), 40, 20
+    want = F.when(F.col("lang").isin(*large), share).otherwise(rest)
+    hashed = F.md5(F.concat(F.lit("7-"), F.col("doc_id").cast("string")))
+    own = T(spark, d, "documents").select("doc_id", "lang").withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id")))
+    chosen = own.where(F.col("rn") <= want)
+    # a large stratum has its share even where it has no row
+    sizes = {r["lang"]: r["n"] for r in T(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    shares = dict.fromkeys(sizes, rest) | dict.fromkeys(large, share)
+    lacking = sum(max(0, n - sizes.get(lang, 0)) for lang, n in shares.items())
+    return chosen.unionByName(own.where(F.col("rn") > want).orderBy(hashed, "doc_id").limit(lacking)) if lacking else chosen
 
 
 @query("""WITH v AS (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) SELECT event_type, count(*) AS n, count(k) AS parsed, count_if(k >= 50) AS flagged, sum(k) AS total FROM v GROUP BY 1""")

@@ -45,3 +45,16 @@ def test_stratified_sample_fills_what_a_stratum_lacks(spark, tmp_path):
     want += [r for r in by_hash if r in left][: 120 - len(want)]
     got = catalog.queries()["stratified_sample"](spark, str(tmp_path)).collect()
     assert len(want) == 120 and sorted((r.doc_id, r.lang) for r in got) == sorted(want)
+
+
+def test_dup_finder_at_the_edges_of_ten(spark, tmp_path):
+    # groups of 9 to 12 equal texts with one opening, near ones 49 to 51 characters longer, and another opening
+    texts = [c * 3 for c, n in zip("abcd", (9, 10, 11, 12), strict=True) for _ in range(n)] + ["e" * 52, "f" * 53, "g" * 54, "h" * 104, "h" * 104]
+    rows = [((7 * k) % 101, "o" * 40 + t) for k, t in enumerate(texts)] + [(200, "other"), (201, "other"), (202, "another")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for k, t in rows:
+        own = [(-0.99 if t == u else -0.92, o) for o, u in rows if o != k and t[:40] == u[:40] and (t == u or abs(len(t) - len(u)) <= 50)]
+        want |= {(k, o, -s, "high" if s == -0.99 else "possible") for s, o in sorted(own)[:10]}
+    got = catalog.queries()["dup_finder_tiers"](spark, str(tmp_path)).select("doc_id", "other", "score", "tier").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want

@@ -211,11 +211,20 @@ def token_jaccard_link(spark, d):
 s AS (SELECT a.doc_id, b.doc_id AS other, CASE WHEN a.h = b.h THEN 0.99 ELSE 0.92 END AS score FROM k a JOIN k b ON a.p = b.p AND a.doc_id <> b.doc_id WHERE a.h = b.h OR abs(a.n - b.n) <= 50)
 SELECT doc_id, other, score, CASE WHEN score >= 0.95 THEN 'high' ELSE 'possible' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) AS rn FROM s) WHERE rn <= 10""")
 def dup_finder_tiers(spark, d):
-    """The ten best partners of each row, exact before near, within blocks of equal openings."""
+    """The ten best partners of each row, exact before near, within blocks of equal openings, without all pairs of a block.
+
+    Of equal texts the eleven smallest ids are enough. A row with under ten equal ones takes near partners from the twenty
+    smallest ids of its opening within 50 of its length: at most ten of them have its own text.
+    """
     own = T(spark, d, "documents").select("doc_id", F.md5("text").alias("h"), F.left("text", F.lit(40)).alias("p"), F.length("text").alias("n"))
-    other = own.select("p", F.col("doc_id").alias("other"), F.col("h").alias("h2"), F.col("n").alias("n2"))
-    pairs = own.join(other, "p").where("doc_id <> other and (h = h2 or abs(n - n2) <= 50)").withColumn("score", F.when(F.col("h") == F.col("h2"), 0.99).otherwise(0.92))
-    best = rel.top_k(pairs, ["doc_id"], [F.desc("score"), F.col("other")], 10)
+    named = own.withColumnsRenamed({"doc_id": "other", "h": "h2"})
+    exact = own.join(rel.top_k(named, ["p", "h2"], [F.col("other")], 11).drop("n").withColumnRenamed("h2", "h"), ["p", "h"]).select("doc_id", "other", F.lit(0.99).alias("score"))
+    few = own.join(own.groupBy("p", "h").count().where("count <= 10").drop("count"), ["p", "h"])
+    least = rel.top_k(named, ["p", "n"], [F.col("other")], 20)
+    spans = few.select("p", F.col("n").alias("at")).distinct().withColumn("n", F.explode(F.sequence(F.col("at") - 50, F.col("at") + 50)))
+    around = rel.top_k(spans.join(least, ["p", "n"]), ["p", "at"], [F.col("other")], 20).drop("n").withColumnRenamed("at", "n")
+    near = few.join(around, ["p", "n"]).where("h <> h2").select("doc_id", "other", F.lit(0.92).alias("score"))
+    best = rel.top_k(exact.unionByName(near).where("doc_id <> other"), ["doc_id"], [F.desc("score"), F.col("other")], 10)
     return best.select("doc_id", "other", "score", F.when(F.col("score") >= 0.95, "high").otherwise("possible").alias("tier"))
 
 

@@ -86,3 +86,26 @@ def test_packing_edges(spark):
     assert packing.piece_lengths(0) == [] and packing.piece_lengths(5000) == [2048, 2048, 512, 256, 128, 8]
     with pytest.raises(ValueError):
         packing.Bins(0, 100)
+
+
+def test_a_vocabulary_without_some_byte_is_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+    spec["model"]["vocab"] = {"a": 0, "a</w>": 1, "b": 2}
+    spec["model"]["merges"], spec["added_tokens"] = [], []
+    (tmp_path / "small.json").write_text(json.dumps(spec))
+    enc = bpe.Encoder(str(tmp_path / "small.json"))
+    assert enc.encode("aa a") == [0, 1, 1]
+    for text in ("ax", "ab", "b", "x"):
+        with pytest.raises(ValueError):
+            enc.encode(text)
+
+
+def test_query_columns(spark, tmp_path, library):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("length", F.lit("clash"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.n_tokens for r in bpe.query(spark, str(tmp_path)).collect()) == sorted(len(library.encode(t or "", add_special_tokens=False).ids) for _, t in ROWS)
+    out = packing.query(spark, str(tmp_path)).collect()
+    assert sum(r.length for r in out) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ROWS)

@@ -36,7 +36,7 @@ _ODD = regex.compile("[\x1c-\x1f]")
 REMEMBERED = 400_000
 _ENDED = "\n"
 #: Up to here the character classes are settled, and nothing combines with what stands before.
-_LATIN = "\u024f"
+LATIN = "\u024f"
 _LATE = 1 << 60
 
 
@@ -62,7 +62,7 @@ def encoder_pieces(path: str):
 
     def cut(run: str) -> list[str] | None:
         if not run.isascii():
-            if max(run) > _LATIN:
+            if max(run) > LATIN:
                 return None
             run = unicodedata.normalize("NFC", run)
         if "<" in run and any(x in run for x in special):
@@ -151,7 +151,7 @@ class Encoder:
         self.names.update({v: k for k, v in self.special.items()})
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self._bytes = self._byte_names()
+        self._bytes = self.byte_names()
         self.pair_rank: dict[tuple[int, int], int] = {}
         size = max(self.ids.values()) + 1
         self.made, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
@@ -175,7 +175,7 @@ class Encoder:
         self._library = Tokenizer.from_file(path)
 
     @staticmethod
-    def _byte_names() -> dict[int, str]:
+    def byte_names() -> dict[int, str]:
         """The printable character that stands for each byte: itself, or else the next one from 256 on."""
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
@@ -206,6 +206,8 @@ class Encoder:
         state = matched = 0
         for at, c in enumerate(word, 1):
             while c not in states[state]:
+                if state == 0:
+                    raise ValueError(f"the vocabulary lacks the byte {c!r}")
                 state = link[state]
                 matched = length[state]
             state = states[state][c]
@@ -219,6 +221,9 @@ class Encoder:
                 if before == 0 or last[before] >= 0 and ok[last[before] << 20 | t]:
                     last[at], size[at] = t, n
                     break
+            else:
+                if not size[at]:
+                    raise ValueError(f"the vocabulary has no token for {word[:at]!r}")
         out, at = [], len(word)
         while at:
             out.append(last[at])
@@ -237,7 +242,7 @@ class Encoder:
 
     def _plain(self, text: str) -> list[int]:
         if not text.isascii():
-            if max(text) > _LATIN:  # which characters are letters there depends on the library's Unicode version
+            if max(text) > LATIN:  # which characters are letters there depends on the library's Unicode version
                 pieces = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
                 return [i for piece, _ in pieces for i in self._tokens(piece)]
             text = unicodedata.normalize("NFC", text)

@@ -1,35 +1,46 @@
 """Exact top-k by inner product with KD-trees over shards.
 
-Vectors are turned into integers floor(256 x). Rows are taken where they lie: each task cuts its rows into shards of bounded size and
-builds a tree over each by median splits of the widest dimension, with a tight box around every node. The inner product of
-a query with any vector of a box is at most the sum of the better of the two bounds in every dimension. A query walks the tree best
-box first and ends when the best box left is under its kth score, which goes on from shard to shard and starts from the
-scores among the queries themselves. A task returns the best k of its rows for each query; those are merged by query.
+Vectors are turned into integers floor(256 x). A few median splits of a bounded sample give every vector a cell; rows are ordered by
+cell and cut into shards of bounded size, whatever a cell holds. Each shard gets a tree by median splits of the widest dimension, with a tight box
+around every node, once, and is written as one row. The inner product of a query with any vector of a box is at most the sum of the
+better of the two bounds in every dimension. A query walks a shard's tree best box first and ends when the best box left is under its kth score,
+which goes on from shard to shard within a task, and from round to round between tasks.
 
-Scale. Queries are handled in blocks of bounded size, each broadcast on its own, so neither the queries nor the vectors are ever
-gathered in one place; candidates aren't shuffled at all.
+Scale. Queries grow with the table, so they are handled in blocks of at most BLOCK_BYTES, one after another: the driver and each executor
+hold one block at a time. A block meets the shards in rounds of 1/256, 1/16 and the rest of them; after each round
+the kth scores are merged, so that in the next one a task returns only rows that still beat them. Candidates are shuffled once, to be
+sharded. The sample only shapes the cells: it decides how much is pruned, never what is found.
 
 Contract: queries are the rows whose id is divisible by QUERY_EVERY, against all rows of other ids and the same number of components. Ties go
-to the smaller id. Vectors that are null or hold null, NaN or infinite components, and rows without an id, take no part. An id
-that is repeated with an equal vector counts once. With fewer than k candidates all are returned. An empty table gives an empty result.
+to the smaller id. Vectors that are null or empty or hold null, NaN or infinite components (or ones whose 256-fold is infinite), and rows without an id,
+take no part. Every row counts by itself: a repeated candidate is returned as often as it occurs, and a repeated query gets each candidate once for each of its
+rows. Scores are exact integers; one beyond a long's range is taken for the nearest long. With fewer than k candidates all are returned. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import checkpointed, map_batches, shared_folder, table
 
 K, QUERY_EVERY, FACTOR = 5, 50, 256.0
-#: Rows of a shard, rows of a leaf, and most queries of a block.
-SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES = 8192, 64, 8192
-_LIMIT = 1 << 53
+#: Bytes of a shard's vectors, rows of a leaf, and bytes of the query vectors of a block.
+SHARD_BYTES, LEAF_ROWS, BLOCK_BYTES = 4 << 20, 64, 32 << 20
+#: Rows of the sample that shapes the cells, and the most levels of splits.
+SAMPLE_ROWS, LEVELS = 20_000, 8
+#: A shard is in round r with the odds of one in this; below FEW shards there is one round.
+ROUNDS, FEW = (256, 16, 1), 64
+_EXACT, _LONG = 1 << 53, (1 << 63) - 1
 
 
 def integers(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -41,11 +52,10 @@ def integers(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np
         pick = np.flatnonzero(known & (sizes == size))
         flat = vectors.take(pa.array(pick)).flatten()
         x = np.asarray(flat.cast(pa.float64()).to_numpy(zero_copy_only=False), np.float64).reshape(len(pick), size)  # null becomes NaN
-        fine = np.isfinite(x).all(axis=1)
-        ints = np.floor(FACTOR * x[fine])
-        if ints.size and np.abs(ints).max() ** 2 * size >= _LIMIT:
-            raise ValueError("scores of such large components aren't exact")
-        out[size] = (np.asarray(ids.take(pa.array(pick[fine]))).astype(np.int64), ints)
+        with np.errstate(over="ignore", invalid="ignore"):
+            ints = np.floor(FACTOR * x)
+        fine = np.isfinite(ints).all(axis=1)
+        out[size] = (np.asarray(ids.take(pa.array(pick[fine]))).astype(np.int64), ints[fine])
     return out
 
 
@@ -74,6 +84,7 @@ class Tree:
             k += 1
         self.low, self.high = np.array(low), np.array(high)
         self.ids, self.rows = ids[order], np.ascontiguousarray(rows[order])
+        self.largest = float(np.abs(rows).max())
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The highest inner product that each query can have in each node's box."""
@@ -95,91 +106,177 @@ class Tree:
             a, b = self.start[node], self.end[node]
             scores = self.rows[a:b] @ query
             for at in np.flatnonzero(scores >= floor):
-                key = int(self.ids[a + at])
-                entry = (float(scores[at]), -key)
-                if key == own_id or entry in best:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-
-
-def first_bounds(ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
-    """A lower bound of each query's kth score: its kth score among the other queries of its block."""
-    out = np.full(len(ids), -np.inf)
-    if len(set(ids.tolist())) != len(ids) or len(ids) <= k:
-        return out
-    for at in range(0, len(ids), 512):
-        scores = queries[at : at + 512] @ queries.T
-        scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -np.inf
-        out[at : at + 512] = np.partition(scores, -k, axis=1)[:, -k]
-    return out
+                _offer(best, int(scores[at]), int(self.ids[a + at]), own_id, k)
+
+    def search_wide(self, query: np.ndarray, own_id: int, best: list, least: float, k: int) -> None:
+        """As search, over all rows in integers of any size, for components whose products exceed what a double holds exactly."""
+        own = [int(x) for x in query]
+        for key, row in zip(self.ids.tolist(), self.rows.tolist(), strict=True):
+            score = max(-_LONG, min(_LONG, sum(int(x) * y for x, y in zip(row, own, strict=True))))
+            if score >= least:
+                _offer(best, score, key, own_id, k)
+
+
+def _offer(best: list, score: int, key: int, own_id: int, k: int) -> None:
+    if key != own_id:
+        if len(best) < k:
+            heapq.heappush(best, (score, -key))
+        elif (score, -key) > best[0]:
+            heapq.heapreplace(best, (score, -key))
+
+
+def splits(rows: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axis and value of each node of a complete tree of median splits; node k has the children 2k and 2k + 1."""
+    axes, values = np.zeros(1 << levels, np.int64), np.full(1 << levels, np.inf)
+    own = {1: rows}
+    for node in range(1, 1 << levels):
+        part = own.pop(node)
+        if len(part):
+            axes[node] = (part.max(axis=0) - part.min(axis=0)).argmax()
+            values[node] = np.median(part[:, axes[node]])
+        right = part[:, axes[node]] >= values[node] if len(part) else np.zeros(0, bool)
+        own[2 * node], own[2 * node + 1] = part[~right], part[right]
+    return axes, values
+
+
+def cells(rows: np.ndarray, axes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The cell of each row."""
+    node = np.ones(len(rows), np.int64)
+    for _ in range(len(axes).bit_length() - 1):
+        node = 2 * node + (rows[np.arange(len(rows)), axes[node]] >= values[node])
+    return node - len(axes)
 
 
 def _as_rows(batches):
     for batch in batches:
-        ids, data = [], []
-        for found, ints in integers(batch.column(0), batch.column(1)).values():
-            ids.extend(found.tolist())
-            data.extend(row.tobytes() for row in ints)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["vec_id", "data"])
+        for size, (ids, ints) in integers(batch.column(0), batch.column(1)).items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([size] * len(ids), pa.int32()), pa.array([row.tobytes() for row in ints], pa.binary())], ["vec_id", "size", "data"])
 
 
-def _search_block(vectors: DataFrame, block: list, k: int) -> DataFrame:
-    """The best k of every task's rows for each query of a block; block is broadcast, at most BLOCK_QUERIES rows or little more."""
-    by_size: dict[int, list] = {}
-    for key, data in sorted({(r.vec_id, bytes(r.data)) for r in block}):
-        by_size.setdefault(len(data) // 8, []).append((key, np.frombuffer(data, np.float64)))
-    packed = {size: (np.array([q[0] for q in own]), np.array([q[1] for q in own])) for size, own in by_size.items()}
-    shared = vectors.sparkSession.sparkContext.broadcast({size: (ids, rows, first_bounds(ids, rows, k)) for size, (ids, rows) in packed.items()})
+_ROWS = "vec_id long, size int, data binary"
 
-    def apply(batches):
-        queries = shared.value
-        best = {size: [[] for _ in ids] for size, (ids, _, _) in queries.items()}
-        waiting: dict[int, list] = {}
 
-        def walk(size: int) -> None:
-            own = waiting.pop(size, [])
-            if not own:
-                return
-            tree = Tree(np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own]))
-            ids, rows, least = queries[size]
-            for at in range(0, len(ids), 256):
-                bounds = tree.bounds(rows[at : at + 256])
-                for j, own_bounds in enumerate(bounds, at):
-                    tree.search(rows[j], int(ids[j]), own_bounds, best[size][j], least[j], k)
+def _shards(vectors: DataFrame, count: int) -> DataFrame:
+    """draw (a number from 0 to 255), size and tree (a pickled Tree) of every shard. vectors: vec_id, embedding; count: its rows."""
+    some = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, count // SAMPLE_ROWS))) == 0).limit(2 * SAMPLE_ROWS)
+    sample: dict[int, list[bytes]] = {}
+    for r in map_batches(some, _as_rows, _ROWS).collect():
+        sample.setdefault(r["size"], []).append(bytes(r["data"]))
+    shapes = {}
+    for size, own in sample.items():
+        levels = min(LEVELS, max(0, (count * 8 * size // SHARD_BYTES).bit_length()))
+        shapes[size] = splits(np.frombuffer(b"".join(own), np.float64).reshape(-1, size), levels)
 
+    def placed(batches):
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
             for size, (ids, ints) in integers(batch.column(0), batch.column(1)).items():
-                if size in queries and len(ids):
-                    waiting.setdefault(size, []).append((ids, ints))
-                    if sum(len(x) for x, _ in waiting[size]) >= SHARD_ROWS:
-                        walk(size)
-        for size in list(waiting):
-            walk(size)
-        for size, (ids, _, _) in queries.items():
-            at, rows = 0, [(int(q), -e[1], int(e[0])) for q, found in zip(ids, best[size], strict=True) for e in found]
-            while at < len(rows):
-                columns = list(zip(*rows[at : at + 50_000], strict=True))
-                at += 50_000
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    return map_batches(vectors, apply, "query_id long, vec_id long, score long")
-
-
-def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK_QUERIES) -> DataFrame:
+                cell = cells(ints, *shapes[size]) if size in shapes else np.zeros(len(ids), np.int64)
+                order = (np.arange(at, at + len(ids), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)  # spreads a cell over tasks
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([size] * len(ids), pa.int32()), pa.array(cell), pa.array(order), pa.array(ids), pa.array([row.tobytes() for row in ints], pa.binary())], ["size", "cell", "salt", "vec_id", "data"])
+
+    def built(batches):
+        rng = np.random.default_rng(TaskContext.get().partitionId())
+        waiting: list[tuple[int, bytes]] = []
+        size = 0
+
+        def shard():
+            tree = Tree(np.array([w[0] for w in waiting], np.int64), np.frombuffer(b"".join(w[1] for w in waiting), np.float64).reshape(-1, size))
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array([int(rng.integers(256))], pa.int32()), pa.array([size], pa.int32()), pa.array([pickle.dumps(tree)], pa.binary())], ["draw", "size", "tree"])
+
+        for batch in batches:
+            for own, key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if waiting and (own != size or len(waiting) * 8 * size >= SHARD_BYTES):
+                    yield shard()
+                size = own
+                waiting.append((key, data))
+        if waiting:
+            yield shard()
+
+    ordered = map_batches(vectors, placed, "size int, cell long, salt long, vec_id long, data binary").repartitionByRange("size", "cell", "salt").sortWithinPartitions("size", "cell", "salt")
+    return checkpointed(map_batches(ordered.select("size", "vec_id", "data"), built, "draw int, size int, tree binary"))
+
+
+_FOUND = "query long, score long, vec_id long"
+
+
+def _search(shards: DataFrame, shared, k: int) -> DataFrame:
+    """The best k rows of each task's shards for each query of a block, as far as they reach the scores known before."""
+
+    def apply(batches):
+        blocks = shared.value
+        best = {size: [[] for _ in ids] for size, (ids, _, _) in blocks.items()}
+        for batch in batches:
+            for size, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if size not in blocks:
+                    continue
+                tree = pickle.loads(data.as_py())
+                ids, rows, least = blocks[size]
+                for at in range(0, len(ids), 256):
+                    part = rows[at : at + 256]
+                    wide = np.abs(part).max(axis=1) * tree.largest * size >= _EXACT
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        bounds = tree.bounds(part)
+                    for j, own in enumerate(bounds, at):
+                        if wide[j - at]:
+                            tree.search_wide(rows[j], int(ids[j]), best[size][j], least[j], k)
+                        elif own[0] >= least[j]:
+                            tree.search(rows[j], int(ids[j]), own, best[size][j], least[j], k)
+        for size, lists in best.items():
+            found = [(size << 40 | j, score, -key) for j, own in enumerate(lists) for score, key in own]
+            for at in range(0, len(found), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[at : at + 50_000], strict=True)], ["query", "score", "vec_id"])
+
+    return map_batches(shards.select("size", "tree"), apply, _FOUND)
+
+
+def _block(shards: DataFrame, rounds: list, queries: list, k: int) -> DataFrame:
+    """query_id, vec_id, score and copies of the best k rows for each query of a block. queries: rows of vec_id, size, data and copies."""
+    spark = shards.sparkSession
+    by_size: dict[int, list] = {}
+    for r in queries:
+        by_size.setdefault(r["size"], []).append((r["vec_id"], bytes(r["data"]), r["copies"]))
+    blocks = {size: (np.array([q[0] for q in own]), np.frombuffer(b"".join(q[1] for q in own), np.float64).reshape(-1, size), np.full(len(own), -np.inf)) for size, own in by_size.items()}
+    best = None
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    for at, (first, last) in enumerate(rounds):
+        shared = spark.sparkContext.broadcast(blocks)
+        found = _search(shards.where(F.col("draw").between(first, last)), shared, k)
+        found = found if best is None else found.unionByName(best)
+        best = checkpointed(found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r"))
+        if at + 1 < len(rounds):
+            for r in best.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).collect():
+                blocks[r.query >> 40][2][r.query & (1 << 40) - 1] = r.least
+        shared.unpersist()
+    keys = [(size << 40 | j, q[0], q[2]) for size, own in by_size.items() for j, q in enumerate(own)]
+    return best.join(F.broadcast(spark.createDataFrame(keys, "query long, query_id long, copies long")), "query").select("query_id", "vec_id", "score", "copies")
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES, few: int = FEW) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the best k rows for every query."""
+    spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    asked = own.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // block))
-    found = None
+    shards = _shards(own, own.count())
+    asked = checkpointed(map_batches(own.where(F.col("vec_id") % every == 0), _as_rows, _ROWS))
+    size = asked.agg(F.sum(F.length("data") + 64).alias("n")).first().n or 0
+    blocks = -(-size // block_bytes)
+    edges = [0] + [256 // n for n in ROUNDS]
+    rounds = list(zip(edges, (e - 1 for e in edges[1:]), strict=False)) if shards.count() > few else [(0, 255)]
+    path, found = f"{shared_folder(spark)}/topk-{uuid.uuid4().hex}", None
     for part in range(blocks):
-        rows = map_batches(asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == part), _as_rows, "vec_id long, data binary").collect()
-        one = _search_block(own, rows, k)
-        found = one if found is None else found.unionByName(one)
+        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == part)
+        queries = mine.groupBy(*asked.columns).agg(F.count("*").alias("copies")).orderBy("vec_id", "data").collect()
+        found = _block(shards, rounds, queries, k) if queries else found
+        if blocks > 1 and queries:
+            found.write.mode("append").parquet(path)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = spark.read.parquet(path) if blocks > 1 else found
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    each = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)))))
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -36,17 +36,22 @@ def test_held_out_documents_and_edges(spark):
     assert good.columns == docs.columns and good.count() == sum(r.keep for r in out)
 
 
-def test_rates_against_a_plain_loop(spark):
+def test_rates_against_a_plain_loop(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(f"h{rng.randrange(6)}", f"p{rng.randrange(2)}", round(rng.random() ** (1 + k % 3), 3)) for k in range(400)] + [("lone", "p0", 0.9)]
     frame = spark.createDataFrame(rows, "host string, path string, p double")
-    rates, rate = quality.path_rates(frame)
+    rates, rate, total = quality.path_rates(frame)
+    assert total == len(rows)
     assert abs(rate - np.mean([r[2] for r in rows])) < 1e-9
     for r in rates.collect():
         own = [p for h, q, p in rows if (h, q) == (r.host, r.path)]
         assert r.n == len(own) and abs(r.s - sum(own)) < 1e-6 and abs(r.host_s - sum(p for h, _, p in rows if h == r.host)) < 1e-6
-    out = quality.posteriors(frame, frame.withColumn("k", F.monotonically_increasing_id())).collect()
+    out = quality.posteriors(frame).collect()
     one = rates.first()
+    monkeypatch.setattr(quality, "HEAVY", 10)  # some paths hold over a tenth of all rows, others less
+    assert 0 < rates.where("n * 10 > 401").count() < rates.count()
+    parts = sorted(quality.posteriors(frame, 0).collect())
+    assert len(parts) == len(out) and all(abs(a - b) < 1e-12 for x, y in zip(parts, sorted(out), strict=True) for a, b in zip(x[2:], y[2:], strict=True))
     assert len(out) == len(rows)
     for r in out:
         hosts, paths = [p for h, _, p in rows if h == r.host], [p for h, q, p in rows if (h, q) == (r.host, r.path)]
@@ -59,7 +64,7 @@ def test_rates_against_a_plain_loop(spark):
 
 def test_sparse_hosts_shrink_to_the_global_rate(spark):
     rows = [("good", "a", 0.95)] * 300 + [("bad", "a", 0.05)] * 300 + [("rare", "a", 0.05)]
-    rates, rate = quality.path_rates(spark.createDataFrame(rows, "host string, path string, p double"))
+    rates, rate, _ = quality.path_rates(spark.createDataFrame(rows, "host string, path string, p double"))
     weight = rates.first().host_weight
     assert weight == quality.LEAST_WEIGHT and abs(rate - 0.5) < 0.01
 
@@ -69,3 +74,11 @@ def test_nothing_to_learn_from(spark):
     model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert [r.keep for r in quality.quality(docs, model).collect()] == [1, 1] and quality.keep_good(docs, model).count() == 2
     assert quality.quality(docs.limit(0), model).count() == 0 and quality.keep_good(docs.limit(0), model).count() == 0
+
+
+def test_query(spark, tmp_path):
+    rows, labels = corpus(120)
+    spark.createDataFrame([(*r, "x") for r in rows] + [(None, "words of a null id", "en", "s", "x")], "doc_id long, text string, lang string, source string, keep string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = quality.query(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) + 1 and all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)

@@ -6,8 +6,9 @@ fitted to the hosts by moments shrinks each host towards the global rate, and a
 its host, so sparse sites follow their parents. The posterior of a document is its evidence with the global odds replaced
 by those of its path, from which its own share has been taken out.
 
-Scale. The evidence is a map over batches; the sums are partial aggregates, so a host with a third of all rows is no
-hot spot. The table of paths is broadcast only if its counted rows are within BROADCAST_ROWS, and joined by shuffle otherwise.
+Scale. The evidence is a map over batches whose result is checkpointed, so that features are worked out once; the sums are partial
+aggregates, so a host with a third of all rows is no hot spot. The table of paths is broadcast only if its counted rows are within BROADCAST_ROWS;
+otherwise the heavy paths alone are, and the rows of the light ones are joined by shuffle.
 
 Contract: labels come only from rows outside the held-out fold. A null text counts as empty; null source or lang are values of
 their own. Without labels of both kinds, the evidence is 0, the score is 0.5 and every document is kept. Repeated rows count each by themselves and score alike.
@@ -31,7 +32,7 @@ from .common import checkpointed, held_out, map_batches, sampled, spread, table
 #: The bound of the training sample, for each label.
 DOCS_PER_LABEL = 4000
 THRESHOLD = 0.5
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS, HEAVY = 50_000, 10_000
 #: Limits of a Beta prior's weight in rows.
 LEAST_WEIGHT, MOST_WEIGHT = 20.0, 10_000.0
 _SPACE, _LETTER, _UPPER, _DIGIT, _OTHER = range(5)
@@ -135,8 +136,8 @@ def _weight(groups: DataFrame, rate: float, parent: str | None) -> float:
     return float(np.clip(base / between - 1, LEAST_WEIGHT, MOST_WEIGHT)) if between > 0 else MOST_WEIGHT
 
 
-def path_rates(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """From host, path and p: the posterior rate parameters of each path, and the global rate."""
+def path_rates(evidence: DataFrame) -> tuple[DataFrame, float, int]:
+    """From host, path and p: the posterior rate parameters of each path, the global rate, and the number of rows."""
     paths = checkpointed(evidence.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n")))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     total = hosts.agg(F.sum("s"), F.sum("n")).first()
@@ -145,15 +146,23 @@ def path_rates(evidence: DataFrame) -> tuple[DataFrame, float]:
     shrunk = hosts.select("host", F.col("s").alias("host_s"), F.col("n").alias("host_n"), ((F.col("s") + of_hosts * rate) / (F.col("n") + of_hosts)).alias("host_rate"))
     joined = paths.join(shrunk, "host")
     of_paths = _weight(joined, rate, "host_rate")
-    return joined.select("host", "path", "s", "n", "host_s", "host_n", F.lit(of_hosts).alias("host_weight"), F.lit(of_paths).alias("path_weight")), rate
+    return joined.select("host", "path", "s", "n", "host_s", "host_n", F.lit(of_hosts).alias("host_weight"), F.lit(of_paths).alias("path_weight")), rate, total[1] or 0
 
 
-def posteriors(evidence: DataFrame, scored: DataFrame) -> DataFrame:
-    """scored (host, path, p and any others) with host_rate, path_rate and score. evidence gives the sums."""
-    rates, rate = path_rates(evidence)
-    if rates.count() <= BROADCAST_ROWS:
-        rates = F.broadcast(rates)
-    own = scored.join(rates, ["host", "path"])
+def _with_rates(scored: DataFrame, rates: DataFrame, total: int, broadcast_rows: int) -> DataFrame:
+    """scored with its path's parameters. Few paths are broadcast whole; of many, those that hold over 1 / HEAVY of all rows, of which
+    there are fewer than HEAVY, are broadcast, and the rows of all others, none of them frequent, are joined by shuffle."""
+    if rates.count() <= broadcast_rows:
+        return scored.join(F.broadcast(rates), ["host", "path"])
+    heavy, light = (checkpointed(rates.where(c)) for c in (F.col("n") * HEAVY > total, F.col("n") * HEAVY <= total))
+    rest = scored.join(F.broadcast(heavy.select("host", "path")), ["host", "path"], "left_anti")
+    return scored.join(F.broadcast(heavy), ["host", "path"]).unionByName(rest.join(light.hint("merge"), ["host", "path"]))
+
+
+def posteriors(scored: DataFrame, broadcast_rows: int | None = None) -> DataFrame:
+    """scored (host, path, p and any others) with host_rate, path_rate and score. scored is read several times and should be a checkpoint."""
+    rates, rate, total = path_rates(scored.select("host", "path", "p"))
+    own = _with_rates(scored, rates, total, BROADCAST_ROWS if broadcast_rows is None else broadcast_rows)
     host = (F.col("host_s") - F.col("p") + F.col("host_weight") * rate) / (F.col("host_n") - 1 + F.col("host_weight"))
     path = (F.col("s") - F.col("p") + F.col("path_weight") * F.col("host_rate")) / (F.col("n") - 1 + F.col("path_weight"))
     own = own.withColumn("host_rate", host).withColumn("path_rate", F.least(F.greatest(path, F.lit(1e-6)), F.lit(1 - 1e-6)))
@@ -163,10 +172,10 @@ def posteriors(evidence: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, model: Evidence, text_col: str, host_col: str, path_col: str, keep: list[str]) -> DataFrame:
-    """The columns keep, host, path and p."""
+    """The columns keep, host, path and p, once and for all."""
     found = with_evidence(docs, model, text_col)
     host, path = (F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in (host_col, path_col))
-    return found.select(*keep, host.alias("host"), path.alias("path"), (1 / (1 + F.exp(-F.col("_logit")))).alias("p"))
+    return checkpointed(found.select(*keep, host.alias("host"), path.alias("path"), (1 / (1 + F.exp(-F.col("_logit")))).alias("p")))
 
 
 #: A score that misses the threshold by rounding alone doesn't reject.
@@ -176,16 +185,16 @@ KEEP_FROM = THRESHOLD - 1e-9
 def quality(docs: DataFrame, model: Evidence) -> DataFrame:
     """doc_id, evidence (the classifier's probability), host_rate, path_rate, score and keep of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
-    own = ("text", "source", "lang")
-    out = posteriors(_keyed(rows.select(*own), model, *own, []), _keyed(rows, model, *own, ["doc_id"]))
+    out = posteriors(_keyed(rows, model, "text", "source", "lang", ["doc_id"]))
     return out.select("doc_id", F.col("p").alias("evidence"), "host_rate", "path_rate", "score", (F.col("score") >= KEEP_FROM).cast("int").alias("keep"))
 
 
 def keep_good(docs: DataFrame, model: Evidence) -> DataFrame:
-    """The rows of docs that score at or above the threshold, with all their columns."""
+    """The rows of docs that score at or above the threshold, with all their columns. Ids may be null or repeated, so the rows themselves are
+    carried along, through one checkpoint."""
     names = [f"_c{k}" for k in range(len(docs.columns))]  # so that no column of docs meets one of ours
-    plain, own = docs.toDF(*names), [names[docs.columns.index(c)] for c in ("text", "source", "lang")]
-    kept = posteriors(_keyed(plain.select(*own), model, *own, []), _keyed(plain, model, *own, names)).where(F.col("score") >= KEEP_FROM)
+    own = [names[docs.columns.index(c)] for c in ("text", "source", "lang")]
+    kept = posteriors(_keyed(docs.toDF(*names), model, *own, names)).where(F.col("score") >= KEEP_FROM)
     return kept.select(*names).toDF(*docs.columns)
 
 

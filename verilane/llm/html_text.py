@@ -16,6 +16,7 @@ import math
 import re
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,9 @@ _WORDS = re.compile(r"[a-z]+")
 _MARKED = re.compile(MARK + r"=\"(\d)\"")
 
 
+KINDS = ("text", "side", "box")
+
+
 def kind(tag: str) -> str:
     """What a child is to its parent: the pair potential's index."""
     if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "figure", "figcaption", "dl", "dt", "dd", "td", "th", "tr", "tbody", "thead"):
@@ -60,7 +64,7 @@ class TreeModel:
     def __init__(self):
         self.weights: dict[str, float] = {"bias": 0.0}
         #: By kind of child: log potentials of (parent, child) = (0, 1), (1, 0) and (1, 1); that of (0, 0) is zero.
-        self.pairs = {k: [0.0, 0.0, 0.0] for k in ("text", "side", "box")}
+        self.pairs = {k: [0.0, 0.0, 0.0] for k in KINDS}
         self._static: dict[tuple[str, str], float] = {}
         self._dynamic: dict[tuple, float] = {}
 
@@ -74,8 +78,8 @@ class TreeModel:
                 self._static[key] = static
         return static + sum(self.weights.get(f, 0.0) for f in text_features(node))
 
-    def marginals(self, nodes: list[Node], own: list[float]) -> tuple[list[float], list[tuple]]:
-        """Log odds of each node given the whole page, and (cavity of the parent, of the child) for each pair."""
+    def marginals(self, nodes: list[Node], own: list[float]) -> list[float]:
+        """Log odds of each node given the whole page."""
         place = {id(n): k for k, n in enumerate(nodes)}
         belief, message = list(own), [0.0] * len(nodes)
         parents = [-1] + [place[id(n.parent)] for n in nodes[1:]]
@@ -84,55 +88,60 @@ class TreeModel:
             w01, w10, w11 = self.pairs[kind(nodes[k].tag)]
             message[k] = _mix(w11 + a, w10) - _mix(w01 + a, 0.0)
             belief[parents[k]] += message[k]
-        cavities = []
-        upward = list(belief)
         for k in range(1, len(nodes)):
             c = belief[parents[k]] - message[k]
             w01, w10, w11 = self.pairs[kind(nodes[k].tag)]
-            cavities.append((parents[k], k, c, upward[k]))
             belief[k] += _mix(w11 + c, w01) - _mix(w10 + c, 0.0)
-        return belief, cavities
+        return belief
 
     def fit(self, pages: list[list[Node]], rounds: int = 80, rate: float = 0.5, decay: float = 3e-4) -> TreeModel:
-        """Adagrad on the conditional likelihood: observed less expected counts, exact by the messages."""
-        seen: dict[str, float] = {}
-        listed = [[["bias", *static_features(n.tag, n.names), *text_features(n)] for n in nodes] for nodes in pages]
-        pair_seen = {k: [1e-6] * 3 for k in self.pairs}
+        """Adagrad on the conditional likelihood: observed less expected counts, exact by the messages of all pages at once, level by level."""
+        nodes = [n for page in pages for n in page]
+        place = {id(n): k for k, n in enumerate(nodes)}
+        parent = np.array([place[id(n.parent)] if n.parent else -1 for n in nodes])
+        label, sort = np.array([n.label for n in nodes]), np.array([KINDS.index(kind(n.tag)) for n in nodes])
+        depth = np.array([n.depth for n in nodes])
+        levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+        listed = [["bias", *static_features(n.tag, n.names), *text_features(n)] for n in nodes]
+        names = sorted({f for own in listed for f in own})
+        number = {f: k for k, f in enumerate(names)}
+        sizes = np.array([len(own) for own in listed])
+        ids = np.array([number[f] for own in listed for f in own])
+        begins = np.cumsum(sizes) - sizes
+        weights, pairs = np.zeros(len(names)), np.zeros((len(KINDS), 3))
+        seen, pairs_seen = np.full(len(names), 1e-6), np.full(pairs.shape, 1e-6)
+        inner = np.flatnonzero(parent >= 0)
+        truth = np.eye(4)[2 * label[parent[inner]] + label[inner]]
         for _ in range(rounds):
-            grad: dict[str, float] = {}
-            pair_grad = {k: [0.0] * 3 for k in self.pairs}
-            for nodes, features in zip(pages, listed, strict=True):
-                own = [sum(self.weights.get(f, 0.0) for f in fs) for fs in features]
-                belief, cavities = self.marginals(nodes, own)
-                for node, fs, b in zip(nodes, features, belief, strict=True):
-                    gap = node.label - 1 / (1 + math.exp(-max(-30.0, min(30.0, b))))
-                    for f in fs:
-                        grad[f] = grad.get(f, 0.0) + gap
-                for p, k, c, a in cavities:
-                    own_kind = kind(nodes[k].tag)
-                    w = self.pairs[own_kind]
-                    terms = (0.0, w[0] + a, w[1] + c, w[2] + a + c)
-                    top = max(terms)
-                    e = [math.exp(t - top) for t in terms]
-                    total = sum(e)
-                    truth = 2 * nodes[p].label + nodes[k].label
-                    for j in range(3):
-                        pair_grad[own_kind][j] += (truth == j + 1) - e[j + 1] / total
-            for f, g in grad.items():
-                g -= decay * len(pages) * self.weights.get(f, 0.0)
-                seen[f] = seen.get(f, 1e-6) + g * g
-                self.weights[f] = self.weights.get(f, 0.0) + rate * g / math.sqrt(seen[f])
-            for k, gs in pair_grad.items():
-                for j, g in enumerate(gs):
-                    g -= decay * len(pages) * self.pairs[k][j]
-                    pair_seen[k][j] += g * g
-                    self.pairs[k][j] += rate * g / math.sqrt(pair_seen[k][j])
+            belief, message = np.add.reduceat(weights[ids], begins), np.zeros(len(nodes))
+            for level in levels[::-1]:
+                w01, w10, w11 = pairs[sort[level]].T
+                message[level] = np.logaddexp(w11 + belief[level], w10) - np.logaddexp(w01 + belief[level], 0)
+                np.add.at(belief, parent[level], message[level])
+            upward, cavity = belief.copy(), np.zeros(len(nodes))
+            for level in levels:
+                cavity[level] = belief[parent[level]] - message[level]
+                w01, w10, w11 = pairs[sort[level]].T
+                belief[level] += np.logaddexp(w11 + cavity[level], w01) - np.logaddexp(w10 + cavity[level], 0)
+            gap = label - 1 / (1 + np.exp(-np.clip(belief, -30, 30)))
+            grad = np.bincount(ids, np.repeat(gap, sizes), len(names)) - decay * len(pages) * weights
+            seen += grad * grad
+            weights += rate * grad / np.sqrt(seen)
+            w, a, c = pairs[sort[inner]], upward[inner], cavity[inner]
+            terms = np.stack([np.zeros(len(inner)), w[:, 0] + a, w[:, 1] + c, w[:, 2] + a + c], axis=1)
+            e = np.exp(terms - terms.max(axis=1, keepdims=True))
+            excess = (truth - e / e.sum(axis=1, keepdims=True))[:, 1:]
+            pair_grad = np.stack([np.bincount(sort[inner], excess[:, j], len(KINDS)) for j in range(3)], axis=1) - decay * len(pages) * pairs
+            pairs_seen += pair_grad * pair_grad
+            pairs += rate * pair_grad / np.sqrt(pairs_seen)
+        self.weights = dict(zip(names, weights.tolist(), strict=True))
+        self.pairs = dict(zip(KINDS, pairs.tolist(), strict=True))
         self._static.clear()
         return self
 
     def extract(self, html: str | None) -> str:
         nodes = parse(html)
-        belief, _ = self.marginals(nodes, [self.own(n) for n in nodes])
+        belief = self.marginals(nodes, [self.own(n) for n in nodes])
         kept = [b for n, odds in zip(nodes, belief, strict=True) if odds >= 0 for b in n.blocks]
         kept.sort()
         return "\n\n".join(text for _, text in kept)

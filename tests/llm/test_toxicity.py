@@ -63,3 +63,33 @@ def test_nothing_to_learn_from(spark):
     assert toxicity.scores(docs, model).first().score == 0
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity.scores(empty, model).count() == 0 and toxicity.keep_clean(empty, model).count() == 0
+
+
+def test_long_labelled_texts_train_and_the_screen_by_sql_equals_the_plain_one(spark):
+    filler = "bado line of neru " * 3000  # over 20,000 characters each
+    rows = [(k, filler + (f" vileword {k} ." if k % 3 == 0 else f" kind word {k} .")) for k in range(60)]
+    docs = spark.createDataFrame([(k, f"{t} u{k}a u{k}b u{k}c " + " ".join(f"z{k}y{j}" for j in range(60))) for k, t in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int"))
+    assert model.word_weight("vileword") > 0
+    assert toxicity.screened({"=bad": (0, 1)}, 20, 2, 3) and not toxicity.screened({"=bad": (0, 1)}, 20, 2, 10**6)
+
+
+def test_few_features(spark):
+    rows = [(k, "good day") for k in range(1, 20)] + [(k, "bad") for k in range(100, 108)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k >= 100)) for k, _ in rows], "doc_id long, toxic int"))
+    assert model.word_weight("bad") > 0 and model.word_weight("good") == 0
+
+
+def test_offending_sentences_of_nothing(spark):
+    docs = spark.createDataFrame([(1, None), (None, "bad"), (2, "")], "doc_id long, text string")
+    out = toxicity.offending_sentences(docs, Model({"=bad": 9.0}, -4.0)).collect()
+    assert [(r.doc_id, r.sentence) for r in out] == [(None, "bad")]
+    assert toxicity.offending_sentences(docs, Model()).count() == 0
+
+
+def test_query(spark, tmp_path):
+    rows, labels = corpus(120)
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, predicted int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = toxicity.query(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) and all(r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)

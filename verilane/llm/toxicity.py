@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .bpe import Memo
 from .common import checkpointed, held_out, map_batches, sampled, spread, table
 
-#: The bound of the training sample: documents of each label, and characters of each text that may take part.
-DOCS_PER_LABEL, CHARS_PER_DOC = 5000, 20_000
+#: The bound of the training sample: documents of each label.
+DOCS_PER_LABEL = 5000
 PREFIXES = (3, 4, 5)
 #: The least log odds of a feature that takes part.
 LEAST_ODDS = 1.0
@@ -90,10 +90,15 @@ def without_copies(marks: list[list[int]]) -> list[int]:
     return kept
 
 
+def least_gain(n_features: int) -> float:
+    """The likelihood ratio that few of so many features reach by chance."""
+    return max(0.0, 2 * float(np.log(n_features + 2)) - 4)
+
+
 def screened(counts: dict[str, tuple[int, int]], n_clean: int, n_toxic: int, n_features: int) -> dict[str, float]:
     """Log odds of the features (clean, toxic documents) that toxic documents hold more often, where a likelihood ratio that few of
     so many features reach by chance says so too."""
-    n, least = np.array([n_clean, n_toxic]) + 1.0, max(0.0, 2 * np.log(n_features + 2) - 4)
+    n, least = np.array([n_clean, n_toxic]) + 1.0, least_gain(n_features)
     base, found = n[1] / n.sum(), {}
     # what a longer feature says of the same documents is said once, by the longer one
     said = {g for f in counts if (g := shorter(f)) and counts.get(g) == counts[f]}
@@ -183,14 +188,14 @@ def _marks(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> Model:
-    """Fit on at most docs_per_label documents of each label outside the held-out fold, of at most CHARS_PER_DOC characters each.
+    """Fit on at most docs_per_label documents of each label outside the held-out fold. Their whole texts take part.
 
     The sample stays on the executors; what reaches the driver are a few hashes of each document, the features that pass the screen
     and the sentences that hold one.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1)").where(~held_out())
     chosen = sampled(known, ["label"], docs_per_label, 43)  # at most two labels
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, CHARS_PER_DOC))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") > 0)
     sample = checkpointed(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"))
     rows = sorted((r.doc_id, list(r.marks)) for r in map_batches(sample.select("doc_id", "text"), _marks, "doc_id long, marks array<long>").collect())
     kept = frozenset(rows[k][0] for k in without_copies([r[1] for r in rows]))
@@ -215,10 +220,13 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LAB
     if len(n) < 2:
         return Model()
     counts = checkpointed(map_batches(sample, count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    # a first cut by SQL, looser than the screen: nothing under it can pass
-    likely = counts.where((F.col("toxic") > 1) & (F.col("toxic") * float(n[0]) > F.col("clean") * float(n[1])))
-    likely = likely.where(2 * F.col("toxic") * F.log(F.col("toxic") / (F.col("toxic") + F.col("clean")) * float(n[0] + n[1] + 2) / (n[1] + 1)) > 4)
-    first = screened({r.feature: (r.clean, r.toxic) for r in likely.collect()}, n[0], n[1], counts.count())
+    # the screen's two conditions by SQL with some room for rounding; features of equal counts pass or fail together, so what says the same is still seen
+    n_features, base, both = counts.count(), (n[1] + 1.0) / (n[0] + n[1] + 2.0), F.col("toxic") + F.col("clean")
+    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
+    part = lambda k, rate: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / both / rate)).otherwise(0.0)
+    gain = 2 * (part("toxic", base) + part("clean", 1 - base))
+    likely = counts.where((odds > LEAST_ODDS - 1e-6) & (gain > least_gain(n_features) - 1e-6))
+    first = screened({r.feature: (r.clean, r.toxic) for r in likely.collect()}, n[0], n[1], n_features)
     names = sorted(first)
     place = {f: k for k, f in enumerate(names)}
 

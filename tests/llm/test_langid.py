@@ -61,3 +61,12 @@ def test_sample_is_bounded_and_stable(spark):
     assert ids == {r.doc_id for r in sampled(frame.repartition(7), ["g"], 100, 5).collect()}
     out = spark.createDataFrame([(7,), (None,)], "doc_id long").select(held_out()).collect()
     assert [r[0] for r in out] == [zlib.crc32(b"7") % 4 == 2, False]
+
+
+def test_numerals_are_no_letters(spark, tmp_path):
+    docs = corpus(120) + [(2000, "\u00bd \u00b2", "aa"), (2001, "\u2460 \u216b", "bb"), (2002, "1\u00aa", "aa"), (2003, "\u4f60", None)]
+    spark.createDataFrame([(*r, True) for r in docs], "doc_id long, text string, lang string, held_out boolean").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in langid.query(spark, str(tmp_path)).collect()}
+    assert len(out) == len(docs) and all(out[k].lang_pred == "und" and out[k].score == 0 for k in (2000, 2001))
+    assert out[2002].lang_pred != "und" and out[2003].lang_pred != "und"
+    assert all(r.held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in out.items())

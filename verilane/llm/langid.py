@@ -12,10 +12,9 @@ rows get equal results; long texts are read in blocks of windows.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +26,8 @@ EMBEDDING, WIDTHS, FILTERS = 8, (2, 3, 4), 16
 DOCS_PER_LANG, WINDOWS_PER_DOC = 400, 6
 UNKNOWN = "und"
 _BLOCK = 64
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter of any script, by Unicode category; numerals such as a half or a circled one are none.
+_LETTER = regex.compile(r"\p{L}")
 _SPAN = max(WIDTHS)
 _PLACES = WINDOW - _SPAN + 1
 

@@ -85,3 +85,22 @@ def test_text_that_looks_like_a_trailing_tag(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for r in audio.digests(audio.with_media(docs)).collect():
         assert (r.payload_bytes, r.payload_sha256) == (128, hashlib.sha256(audio.payload_of(texts[r.doc_id])[0]).hexdigest())
+
+
+def test_foreign_files_and_the_bound_of_remembered_headers(spark, tmp_path):
+    import numpy as np
+
+    from verilane.llm import audio
+
+    plain = audio.store(b"x" * 640)
+    no_tag = plain[len(audio.id3({audio.LENGTH_TAG: "640"})) :]
+    assert audio.payload(no_tag, audio.read(no_tag)).startswith(b"x" * 640)
+    wrong = audio.id3({audio.LENGTH_TAG: "many"}) + no_tag
+    assert audio.payload(wrong, audio.read(wrong)).startswith(b"x" * 640)
+    noise = np.random.default_rng(1).integers(0, 256, 400_000, dtype=np.uint8)
+    noise[::3] = 255
+    assert audio.read(noise.tobytes()).skipped > 0 and audio.header.cache_info().currsize <= 1 << 14
+    assert audio.payload(b"", audio.read(b"")) == b""
+    spark.createDataFrame([(1, "text", "x"), (None, None, None)], "doc_id long, text string, feature string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in audio.query(spark, str(tmp_path)).collect()}
+    assert out[1].n_bytes == 4 and out[None].n_bytes == 0 and out[None].payload_bytes == 64

@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +65,7 @@ class Header:
         return (self.mpeg1, self.quarter, self.rate, self.mono) == (other.mpeg1, other.quarter, other.rate, other.mono)
 
 
-@cache
+@lru_cache(1 << 14)
 def header(word: bytes) -> Header | None:
     """The fields of four bytes, or None if they are no Layer III header with a length."""
     if len(word) < 4 or word[0] != 0xFF or word[1] & 0xE0 != 0xE0:
@@ -285,9 +285,10 @@ def _verify(data: bytes, audio: Audio) -> None:
 
 
 def payload(data: bytes, audio: Audio) -> bytes:
-    """The carried payload, from the frames' ancillary bytes."""
+    """The carried payload, from the frames' ancillary bytes; all of them in a file that doesn't name its payload's length."""
     parts = [data[at + _HEAD + _CRC * h.protected + h.side : at + size] for at, size, h in zip(audio.offsets, audio.sizes, audio.headers, strict=True)]
-    return b"".join(parts)[: int(audio.tags[LENGTH_TAG])]
+    named = audio.tags.get(LENGTH_TAG, "")
+    return b"".join(parts)[: int(named) if named.isdecimal() else None]
 
 
 def feature(audio: Audio) -> str:

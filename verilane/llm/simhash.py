@@ -47,10 +47,15 @@ def fingerprint(text: str | None) -> int:
         shingles, total = iter([b" ".join(words)]), 1
     else:
         shingles, total = map(b" ".join, zip(words, words[1:], words[2:], strict=False)), len(words) - SHINGLE + 1
-    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(SEED))
+    return majority(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), total)
+
+
+def majority(hashes, total: int | None = None) -> int:
+    """The bits that over half of the hashes have; hashes is an array or an iterator of so many."""
+    total, hashes = len(hashes) if total is None else total, iter(hashes) if total is not None else hashes
     counts = np.zeros(BITS, np.int64)
     for start in range(0, total, _CHUNK):
-        block = np.fromiter(hashes, "<u8", min(_CHUNK, total - start))
+        block = hashes[start : start + _CHUNK].astype("<u8") if isinstance(hashes, np.ndarray) else np.fromiter(hashes, "<u8", min(_CHUNK, total - start))
         bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += np.add.reduce(bits, axis=0, dtype=np.uint32)
     return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])

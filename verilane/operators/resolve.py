@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verilane.functions import names, rules, text
+from verilane.functions import courts, names, rules, text
 from verilane.functions.similarity import with_name_similarity
 
 from verilane.sources.session import cut
@@ -57,20 +57,26 @@ def scored(pairs: DataFrame, record: Column, docket: Column) -> DataFrame:
     # the similarity is worked out once and then read by the score
     ready = cut(with_name_similarity(facts, p["case_name"], F.col("case_name"), "name_sim"))
     score = rules.candidate_score(
-        p["court"], p["year"], F.col("name_sim"), F.coalesce(F.col("parsed.court") == F.col("court_id"), F.lit(False)), F.coalesce(F.col("_date"), F.lit(0.0)),
+        p["court"], p["year"], F.col("name_sim"), F.coalesce(F.col("_court") == F.col("court_id"), F.lit(False)), F.coalesce(F.col("_date"), F.lit(0.0)),
         F.col("_docket"), F.col("cite_check") == "CORROBORATED", F.col("_parties"), F.col("_contra"),
     )
     return ready.withColumn("score", score).drop("_date", "_parties", "_contra").withColumnRenamed("_docket", "docket_corroborated")
 
 
 def resolve(citations: DataFrame, clusters: DataFrame, dockets: DataFrame) -> DataFrame:
-    """ord, status, cluster_id, docket_id, matched_name, score, stage and warning of every citation."""
+    """ord, status, cluster_id, docket_id, matched_name, score, stage and warning of every citation.
+
+    A hit by location is VERIFIED_PARTIAL where the citation has no name or the cluster no caption. Dockets are federal, so a state court's
+    citation doesn't reach them. A citation with a location or a WL number that names a federal court is NOT_FOUND, without ids, if the best
+    candidate is of another court.
+    """
     p = F.col("parsed")
-    citations = cut(citations)  # else every use of a field would parse the text again
+    citations = cut(citations.withColumn("_court", courts.court_id(p["court"])).withColumn("_state", courts.is_state_citation(p["court"], p["reporter"])))  # else every use of a field would parse the text again
     lookup = exact_lookup(citations, clusters).withColumn("_ok", _parties(names.lookup_name_match, F.col("case_name")))
+    unnamed = (F.coalesce(p["case_name"], F.lit("")) == "") | (F.coalesce("case_name", F.lit("")) == "")
     done = lookup.select(
-        "ord", F.when(F.col("_ok"), "VERIFIED").otherwise("WRONG_CASE").alias("status"), "cluster_id", F.lit(None).cast("long").alias("docket_id"), F.col("case_name").alias("matched_name"),
-        F.lit(1.0).alias("score"), F.lit("citation_lookup").alias("stage"), F.when(p["case_name"].isNull(), "name_unverified").alias("warning"),
+        "ord", F.when(unnamed, "VERIFIED_PARTIAL").when(F.col("_ok"), "VERIFIED").otherwise("WRONG_CASE").alias("status"), "cluster_id", F.lit(None).cast("long").alias("docket_id"), F.col("case_name").alias("matched_name"),
+        F.lit(1.0).alias("score"), F.lit("citation_lookup").alias("stage"), F.when(unnamed, "name_unverified").alias("warning"),
     )
     done = cut(done)
     left = pending(citations, done, ["ord"])
@@ -78,18 +84,20 @@ def resolve(citations: DataFrame, clusters: DataFrame, dockets: DataFrame) -> Da
     opinions = _blocked(anchored, clusters).where(rules.temporal_gate(rules.year_of(F.col("date_filed")), p["year"])).dropDuplicates(["ord", "cluster_id"])
     best = first_wins(scored(opinions, F.col("citations"), F.lit(None).cast("string")), ["ord"], [F.desc("score"), F.col("cluster_id")])
     credible = best.where(F.col("score") >= rules.STOPS_CASCADE)
-    deeper = pending(anchored, credible, ["ord"])
+    deeper = pending(anchored, credible, ["ord"]).where(~F.col("_state"))
     filed = rules.year_of(F.col("date_filed"))
     recap = _blocked(deeper, dockets).where(rules.filing_gate(filed, p["year"]) & rules.era_gate(p["year"])).dropDuplicates(["ord", "docket_id"])
     bare = scored(recap, F.array().cast("array<string>"), F.col("docket_number"))
     bare = bare.withColumn("score", F.when(F.col("docket_corroborated"), F.col("score")).otherwise(F.round(F.col("score") * rules.DOCKET_ONLY_FACTOR, 4)))
-    shape = lambda df, cluster, docket, stage, at: df.select("ord", "parsed", "score", "cite_check", "docket_corroborated", cluster.cast("long").alias("cluster_id"), docket.cast("long").alias("docket_id"), F.col("case_name").alias("matched_name"), F.lit(stage).alias("stage"), F.lit(at).alias("_at"))
+    shape = lambda df, cluster, docket, stage, at: df.select("ord", "parsed", "_court", "court_id", "score", "cite_check", "docket_corroborated", cluster.cast("long").alias("cluster_id"), docket.cast("long").alias("docket_id"), F.col("case_name").alias("matched_name"), F.lit(stage).alias("stage"), F.lit(at).alias("_at"))
     none = F.lit(None)
     pool = shape(best, F.col("cluster_id"), none, "opinion_search", 1).unionByName(shape(bare, none, F.col("docket_id"), "recap_docket_search", 2))
     top = first_wins(pool, ["ord"], [F.desc("score"), F.col("_at"), F.coalesce("cluster_id", "docket_id")])
     raw = F.when(F.col("score") < rules.RESOLVES, "NOT_FOUND").when(F.col("_at") == 2, "VERIFIED_DOCKET_ONLY").otherwise("VERIFIED")
+    top = cut(top)
     has_cite = (p["volume"].isNotNull() & p["reporter"].isNotNull() & p["page"].isNotNull()) | p["wl_number"].isNotNull()
-    fallback = top.withColumn("_raw", raw).select(
+    elsewhere = has_cite & F.col("_court").isNotNull() & F.coalesce(F.col("court_id") != F.col("_court"), F.lit(True))
+    fallback = top.where(~elsewhere).withColumn("_raw", raw).select(
         "ord", rules.demoted(F.col("_raw"), has_cite, F.col("cite_check"), F.col("docket_corroborated")).alias("status"), "cluster_id", "docket_id", "matched_name", "score", "stage",
         rules.demotion_warning(F.col("_raw"), has_cite, F.col("cite_check")).alias("warning"),
     )

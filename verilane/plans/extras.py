@@ -132,15 +132,16 @@ def citation_from_context(spark, d):
     return own.select("id", F.concat(F.coalesce(take(rf"(In re {words}),\s*$"), take(rf"({words} v\. {words}),\s*$")), F.lit(", "), F.col("cite")).alias("whole"))
 
 
-_JUNK = Fixture("name string, clean string", [("HJSA No. 3, L.P.", "HJSA No. 3, L.P."), ("Doe v. Acme, No. 14-cv-2524", "Doe v. Acme"), ("Local No. 7 v. Acme Corp.", "Local No. 7 v. Acme Corp."), ("Lee v. Poe, Case No. 12345", "Lee v. Poe")])
+_JUNK = Fixture("name string", [("HJSA No. 3, L.P.",), ("Doe v. Acme, No. 14-cv-2524",), ("Local No. 7 v. Acme Corp.",), ("Lee v. Poe, Case No. 12345",), ("HJSA No. 3, L.P. v. Doe, No. 14-cv-2524",), ("A v. B, No. 2:10-cv-1, No. 99-123",), ("Plain v. Name",)])
+_LABEL = r",?\s*(?:Case\s+)?No\.\s+"
 
 
-@query(f"SELECT name, clean FROM {_JUNK.sql}")
+@query(rf"""WITH m AS (SELECT name, m, trim(regexp_replace(m, '^{_LABEL}', '', 'i')) AS own FROM (SELECT name, unnest(regexp_extract_all(name, '(?i){_LABEL}[^,()]+')) AS m FROM {_JUNK.sql})),
+shaped AS (SELECT name, m, row_number() OVER (PARTITION BY name ORDER BY m) AS rn FROM m WHERE regexp_matches(own, '\d') AND (length(own) >= 4 OR regexp_matches(own, '[-:/]')) AND len(list_filter(regexp_split_to_array(own, '\s+'), lambda t: regexp_matches(regexp_replace(t, '\.+$', ''), '^[a-z][A-Za-z]*$'))) = 0)
+SELECT n.name, replace(replace(n.name, coalesce(a.m, '\x01'), ''), coalesce(b.m, '\x01'), '') AS clean FROM {_JUNK.sql} n LEFT JOIN shaped a ON a.name = n.name AND a.rn = 1 LEFT JOIN shaped b ON b.name = n.name AND b.rn = 2""")
 def docket_junk(spark, d):
     """A docket number goes from a name only if it has a docket number's shape; a number that is part of the name stays."""
-    pattern = r"(?i),?\s*(?:Case\s+)?No\.\s+([^,()]+)"
-    found = F.regexp_extract("name", pattern, 1)
-    return _JUNK.frame(spark).select("name", F.when((found != "") & text.docket_shaped(found), F.regexp_replace("name", pattern, "")).otherwise(F.col("name")).alias("clean"))
+    return _JUNK.frame(spark).select("name", text.without_docket_junk(F.col("name")).alias("clean"))
 
 
 _QUEUE = Fixture("claim string, opinion string, status string, seen boolean", [("c1", "o1", "VERIFIED", False), ("c2", "o1", "VERIFIED", True), ("c3", "o2", "WRONG_CASE", False), ("c4", "", "VERIFIED", False), ("c5", "o2", "VERIFIED", False), ("c6", "o2", "VERIFIED", False)])

@@ -212,9 +212,9 @@ def json_recovery(spark, d):
     return _JSONS.frame(spark).select("id", F.coalesce(*tries).alias("a"))
 
 
-@query("""SELECT doc_id, replace(replace(replace(replace(left(text, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, left(regexp_extract(text, '^([^.!?]*[.!?])', 1), 220) AS teaser FROM documents""")
+@query("""SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, left(regexp_extract(text, '^([^.!?]*[.!?])', 1), 220) AS teaser FROM documents""")
 def card_text(spark, d):
-    """The whole text escaped; only the teaser has a limit. The twin still escapes 60 characters."""
+    """The whole text escaped; only the teaser has a limit."""
     esc = F.col("text")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         esc = F.replace(esc, F.lit(a), F.lit(b))

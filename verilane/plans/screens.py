@@ -33,8 +33,13 @@ BRIEFS = [
     ("d1", "The Ninth Circuit held so. Smith v. Jones, 12 F.3d 345 (2d Cir. 1999). Smith v Jones, 99 F.3d 1 (1999)."), ("d2", "Certainly! Cal. UCC applies. Doe v. Roe, 1 U.S. 2 (1900); Lee v. Poe, 3 U.S. 4 (1901). Later text."),
     ("d3", "TABLE OF AUTHORITIES Adam v. Bell, 1 F.3d 2 INTRODUCTION Carr v. Dunn, 3 F.3d 4 holds."), ("d4", "Plain words only."), ("d5", "Held in 1 U.S. 2; 3 U.S. 4 and 5 F.3d 6."),
 ]
+#: For the signals alone.
+MORE_BRIEFS = [
+    ("d6", "The Federal Circuit was quoted there, as elsewhere (9th Cir. 1999)."), ("d7", "The Ninth Circuit and the Second Circuit agree (9th Cir. 2001)."), ("d8", "The D.C. Circuit agrees (D.C. Cir. 2001). Roe v. Lane, 2019 WL 55 (2019). Roe v. Lane, 2020 WL 66 (2020)."),
+    ("d9", "Held (Cal., 2010) there. Roe v. Lane, 2019 WL 55 (2019). Roe v. Lane, 7 F.3d 8 (1999)."),
+]
 _FIRED = Fixture("doc string, signal string", [
-    ("d1", "court_contradiction"), ("d1", "style_variance"), ("d1", "authority_drift"), ("d2", "statute_grammar"), ("d2", "preamble"), ("d3", "toa_body_diff"),
+    ("d1", "court_contradiction"), ("d1", "style_variance"), ("d1", "authority_drift"), ("d2", "statute_grammar"), ("d2", "preamble"), ("d3", "toa_body_diff"), ("d6", "court_contradiction"), ("d7", "court_contradiction"), ("d9", "style_variance"), ("d9", "authority_drift"),
 ])
 _METRICS = Fixture("doc string, n_cites int, words int, cite_density double, string_cite_rate double, has_toa boolean, cite_prop_cv double", [
     ("d1", 2, 21, 95.238, 0.0, False, 0.0), ("d2", 2, 20, 100.0, 0.0, False, 0.0), ("d3", 2, 17, 117.647, 0.0, True, 0.0), ("d4", 0, 3, 0.0, 0.0, False, 0.0), ("d5", 3, 12, 250.0, 1.0, False, 0.0),
@@ -42,7 +47,7 @@ _METRICS = Fixture("doc string, n_cites int, words int, cite_density double, str
 
 
 def screening_signals(spark, d):
-    return signals.screen(spark.createDataFrame(BRIEFS, "doc string, body string"), "doc", "body")
+    return signals.screen(spark.createDataFrame(BRIEFS + MORE_BRIEFS, "doc string, body string"), "doc", "body")
 
 
 def brief_metrics(spark, d):

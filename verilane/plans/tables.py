@@ -184,7 +184,7 @@ def name_token_gate(spark, d):
 
 
 @query(f"""WITH t AS (SELECT p_partkey, p_brand, {_TOK.format('p_name', 3)} AS a, {_TOK.format('p_type', 3)} AS b FROM part),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM t) WHERE rn <= 5),
+f AS (SELECT * FROM t),
 s AS (SELECT x.p_partkey, f.p_partkey AS file, src, len(list_intersect(v, f.a)) / len(list_distinct(list_concat(v, f.a))) AS score
 FROM (SELECT p_partkey, p_brand, 1 AS src, a AS v FROM t UNION ALL SELECT p_partkey, p_brand, 2, b FROM t) x JOIN f USING (p_brand) WHERE len(v) > 0 AND len(f.a) > 0 AND x.p_partkey <> f.p_partkey)
 SELECT p_partkey, file, src, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY src, score DESC, file) AS rn FROM s WHERE score >= 0.25) WHERE rn = 1""")
@@ -192,7 +192,7 @@ def token_jaccard_link(spark, d):
     """Linkage by token overlap against all files of the same brand: the first source that reaches the threshold wins.
 
     Equal token sets of a brand are scored once, and only against sets with a shared token. Of each set the two smallest files, and of
-    each source's files the two best, are enough, since a part leaves out one file, itself. The twin still holds a cap of five files.
+    each source's files the two best, are enough, since a part leaves out one file, itself.
     """
     own = T(spark, d, "part").select("p_partkey", "p_brand", F.sort_array(text.tokens(F.col("p_name"), 3)).alias("a"), F.sort_array(text.tokens(F.col("p_type"), 3)).alias("b"))
     sources = own.select("p_partkey", "p_brand", F.posexplode(F.array("a", "b")).alias("pos", "v")).withColumn("src", F.col("pos") + 1).drop("pos")
@@ -386,7 +386,10 @@ def rate_reconcile(spark, d):
     return joined.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("x") - F.col("o_totalprice")) <= F.greatest(F.lit(100.0), 0.05 * F.col("o_totalprice"))).alias("agree"))
 
 
-@query("""WITH c AS (SELECT doc_id, lang, CASE lang WHEN 'en' THEN 40 WHEN 'de' THEN 40 ELSE 20 END AS want, row_number() OVER (PARTITION BY lang ORDER BY md5('7-' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS size FROM documents) SELECT doc_id, lang, rn FROM c WHERE rn <= least(want, size)""")
+@query("""WITH c AS (SELECT doc_id, lang, CASE lang WHEN 'en' THEN 40 WHEN 'de' THEN 40 ELSE 20 END AS want, row_number() OVER (PARTITION BY lang ORDER BY md5('7-' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS size FROM documents),
+shares AS (SELECT lang, max(want) AS want, max(size) AS size FROM c GROUP BY lang UNION ALL SELECT x, 40, 0 FROM (VALUES ('en'), ('de')) AS v(x) WHERE x NOT IN (SELECT lang FROM documents WHERE lang IS NOT NULL)),
+rest AS (SELECT doc_id, lang, rn, row_number() OVER (ORDER BY md5('7-' || doc_id), doc_id) AS k FROM c WHERE rn > want)
+SELECT doc_id, lang, rn FROM c WHERE rn <= want UNION ALL SELECT doc_id, lang, rn FROM rest WHERE k <= (SELECT sum(greatest(0, want - size)) FROM shares)""")
 def stratified_sample(spark, d):
     """A sample by hash order instead of a random generator: the same at every run. What strata lack of their share is filled from the rest, by hash order."""
     large, share, rest = ("en", "de"), 40, 20

@@ -31,7 +31,7 @@ def _hits(spark, d):
     """Verbatim occurrences: the passage is rewritten, the text only lower-cased and its white space collapsed."""
     needles = T(spark, d, "benchmark").select("item_id", F.lower(text.quote_key(F.col("text"))).alias("needle"))
     docs = T(spark, d, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"\s+", " ").alias("haystack"))
-    return rel.passages_in(needles, docs)
+    return rel.passages_in(needles, docs, key="doc_id")
 
 
 _NEEDLE = r"""lower(trim(regexp_replace(regexp_replace(replace(regexp_replace(translate(text, '“”‘’', '""'''''), '\[[^\]]*\]', '', 'g'), '…', ' '), '\.{3,}', ' ', 'g'), '\s+', ' ', 'g')))"""

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 FOLDS, HELD_OUT = 4, 2
 #: A batch that crosses to Python has at most this many rows and about this many bytes, so that long texts stay bounded.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Slices of a stratum within which sampled rows are ranked.
+SLICES = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,15 +74,20 @@ def texts(column: pa.Array) -> Iterator[str]:
 def sampled(df: DataFrame, strata: list[str], at_most: int, salt: int) -> DataFrame:
     """At most at_most rows of each stratum, chosen by a hash of doc_id, so the same rows at every run and layout.
 
-    The threshold comes from one small aggregation; rows are then filtered where they lie and only the few that
-    pass it are ranked, so no stratum is gathered in one task.
+    Thresholds come from two small aggregations: one bounds the hash so that somewhat more than enough rows pass, the other counts
+    those by slices of the hash, so that slices are taken whole up to the one in which the bound falls. Rows are ranked within a
+    slice, so no stratum is gathered in one task. Rows whose stratum is null aren't sampled.
     """
     from pyspark.sql import Window
 
     key = (F.xxhash64(F.col("doc_id"), F.lit(salt)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).alias("_u")
     keyed = df.withColumn("_u", key)
     sizes = keyed.groupBy(*strata).agg(F.count("*").alias("_n"))
-    wanted = sizes.withColumn("_cut", 1.3 * at_most / F.col("_n") + 20.0 / F.col("_n")).drop("_n")
-    kept = keyed.join(F.broadcast(wanted), strata).where("_u <= _cut")
-    rank = Window.partitionBy(*strata).orderBy("_u", "doc_id")
-    return kept.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= at_most).drop("_u", "_cut", "_r")
+    wanted = sizes.withColumn("_cut", F.least(1.3 * at_most / F.col("_n") + 20.0 / F.col("_n"), F.lit(1.0))).drop("_n")
+    kept = keyed.join(F.broadcast(wanted), strata).where("_u <= _cut").withColumn("_slice", F.floor(SLICES * F.col("_u") / F.col("_cut")))
+    counts = kept.groupBy(*strata, "_slice").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*strata).orderBy("_slice")) - F.col("_n")
+    taken = counts.withColumn("_before", before).where(F.col("_before") < at_most).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(*strata, "_slice").orderBy("_u", "doc_id"))
+    ranked = kept.join(F.broadcast(taken), [*strata, "_slice"]).withColumn("_r", F.col("_before") + rank)
+    return ranked.where(F.col("_r") <= at_most).drop("_u", "_cut", "_slice", "_before", "_r")

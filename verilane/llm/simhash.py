@@ -101,9 +101,9 @@ def _keyed(batches):
 
 def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs (a, b) of different fingerprints whose links connect all that the definition connects. distinct: one column fp."""
-    # one shuffle by key; what shares no key, nearly all, ends there
+    # counts come from an aggregation, so that a crowded key isn't gathered in one task; its rows are split by the skew join
     keyed = map_batches(distinct.select("fp"), _keyed, "key long, fp long")
-    busy = checkpointed(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+    busy = checkpointed(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     mild = busy.where(F.col("n") <= hot)
     pairs = mild.select("key", F.col("fp").alias("a")).join(mild.select("key", F.col("fp").alias("b")), "key").where("a < b")
     near = pairs.select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)

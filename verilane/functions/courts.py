@@ -6,6 +6,7 @@ District courts are built by rule: the id is the state's code, the letter of the
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,3 +75,19 @@ def reporter_states(reporter: Column) -> Column:
 def is_state_citation(court: Column, reporter: Column) -> Column:
     """Whether a citation is of a state's court, which no federal docket holds: by a court that isn't federal, or by its reporter."""
     return F.coalesce(court.isNotNull() & ~is_federal(court), F.lit(False)) | (F.size(reporter_states(reporter)) > 0)
+
+
+def search_params(court: Column, reporter: Column, year: Column) -> Column:
+    """court_id, filed_after and filed_before of a search: the court's id or the reporter's only state, and a year on either side."""
+    states = reporter_states(reporter)
+    place = F.coalesce(court_id(court), F.when(F.size(states) == 1, F.get(states, F.lit(0))))
+    day = lambda y, end: F.concat((y).cast("string"), F.lit(end))
+    return F.struct(place.alias("court_id"), day(year - 1, "-01-01").alias("filed_after"), day(year + 1, "-12-31").alias("filed_before"))
+
+
+def on_record(volume: Column, reporter: Column, page: Column, citations: Column) -> Column:
+    """Whether a record's citations hold a location. True where nothing can be said: no whole location, or no citations at all."""
+    flat = lambda c: F.translate(F.lower(c), ". ", "")
+    held = F.exists(citations, lambda c: flat(c).contains(F.lower(volume)) & flat(c).contains(flat(reporter)) & flat(c).contains(F.lower(page)))
+    located = reduce(lambda a, b: a & b, (F.coalesce(c, F.lit("")) != "" for c in (volume, reporter, page)))
+    return F.when(located & (F.coalesce(F.size(citations), F.lit(0)) > 0), F.coalesce(held, F.lit(False))).otherwise(True)

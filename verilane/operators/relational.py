@@ -48,6 +48,24 @@ def append_new(old: DataFrame, new: DataFrame, keys: list[str], ordinal: str) ->
     return pending(first_wins(new, keys, [F.col(ordinal)]), old, keys)
 
 
+def positional_join(left: DataFrame, right: DataFrame, at: str, equal: dict[str, str]) -> DataFrame:
+    """left with the row of right at the same place. equal names columns of left and of right that must agree on every row.
+
+    A place that one side lacks or holds twice, and a row whose columns disagree, raises when it is read: rows that have shifted against each
+    other must not be joined. Null equals null. Other columns of right that left has too aren't taken.
+    """
+    taken = [c for c in right.columns if c not in left.columns]
+    own = lambda df, mark: df.withColumn(mark, F.count(F.lit(1)).over(Window.partitionBy(at)))
+    theirs = own(right.select(at, *[F.col(c).alias(f"_g_{c}") for c in equal.values()], *[c for c in taken if c != at]), "_right")
+    joined = own(left, "_left").join(theirs, at, "full_outer")
+    good = (F.coalesce("_left", F.lit(0)) == 1) & (F.coalesce("_right", F.lit(0)) == 1)
+    for a, b in equal.items():
+        good = good & F.col(a).eqNullSafe(F.col(f"_g_{b}"))
+    place = F.coalesce(F.col(at).cast("string"), F.lit("null"))
+    checked = F.when(good, F.col(at)).otherwise(F.raise_error(F.concat(F.lit("rows don't agree at place "), place)).cast(left.schema[at].dataType))
+    return joined.withColumn(at, checked).select(*left.columns, *[c for c in taken if c != at])
+
+
 def cache_split(items: DataFrame, cache: DataFrame, key: str, usable: Column) -> DataFrame:
     """items with hit: whether the cache holds a usable entry for the key."""
     hits = cache.where(usable).select(key).distinct().withColumn("hit", F.lit(True))

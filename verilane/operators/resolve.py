@@ -1,7 +1,8 @@
 """The resolution cascade over tables: exact location, then opinions by name, then dockets for what is left.
 
 Inputs. citations: ord and parsed (a struct as parse_citation gives it). clusters: cluster_id, case_name, court_id, date_filed, citations
-(array of "volume reporter page"). dockets: docket_id, case_name, court_id, date_filed, docket_number. Each stage sees only what the stages
+(array of "volume reporter page"). and, where known, case_name_full, docket_case_name and opinion_text.
+dockets: docket_id, case_name, court_id, date_filed, docket_number. Each stage sees only what the stages
 before have not resolved; candidates are found through shared distinctive name tokens, so no stage compares all pairs. Every
 ranking ends in an id, so results don't depend on the order of rows.
 """
@@ -19,6 +20,10 @@ from verilane.sources.session import cut
 from .relational import first_wins, pending
 
 
+#: Characters of an opinion that hold its caption. Fixed value.
+HEAD = 500
+
+
 def location_key(volume: Column, reporter: Column, page: Column) -> Column:
     return F.when(volume.isNotNull() & reporter.isNotNull() & page.isNotNull(), F.concat_ws("|", volume, F.regexp_replace(F.lower(reporter), r"[\s.]", ""), page))
 
@@ -63,22 +68,33 @@ def scored(pairs: DataFrame, record: Column, docket: Column) -> DataFrame:
     return ready.withColumn("score", score).drop("_date", "_parties", "_contra").withColumnRenamed("_docket", "docket_corroborated")
 
 
+def with_captions(clusters: DataFrame) -> DataFrame:
+    """clusters with every source of a caption, null where there is none; of an opinion's text only its head goes on."""
+    for c in ("case_name_full", "docket_case_name", "opinion_text"):
+        if c not in clusters.columns:
+            clusters = clusters.withColumn(c, F.lit(None).cast("string"))
+    return clusters.withColumn("opinion_head", F.left("opinion_text", F.lit(HEAD))).drop("opinion_text")
+
+
 def resolve(citations: DataFrame, clusters: DataFrame, dockets: DataFrame) -> DataFrame:
     """ord, status, cluster_id, docket_id, matched_name, score, stage and warning of every citation.
 
-    A hit by location is VERIFIED_PARTIAL where the citation has no name or the cluster no caption. Dockets are federal, so a state court's
+    A hit by location is VERIFIED_PARTIAL where the citation has no name or the cluster no caption. Under another name it is VERIFIED with a
+    warning if any caption of the record shows both parties, else WRONG_CASE. Dockets are federal, so a state court's
     citation doesn't reach them. A citation with a location or a WL number that names a federal court is NOT_FOUND, without ids, if the best
     candidate is of another court.
     """
     p = F.col("parsed")
     citations = cut(citations.withColumn("_court", courts.court_id(p["court"])).withColumn("_state", courts.is_state_citation(p["court"], p["reporter"])))  # else every use of a field would parse the text again
-    lookup = exact_lookup(citations, clusters).withColumn("_ok", _parties(names.lookup_name_match, F.col("case_name")))
+    lookup = exact_lookup(citations, with_captions(clusters)).withColumn("_ok", _parties(names.lookup_name_match, F.col("case_name")))
+    hits = names.caption_hits(p["case_name"], p["plaintiff"], p["defendant"], {c: F.col(c) for c in names.CAPTION_SOURCES})
+    lookup = cut(lookup.withColumn("_shown", F.when(F.col("_ok"), False).otherwise(F.size(hits) > 0)))  # the hits are worked out once
+    differs = F.when(names.formatting_only(p["case_name"], F.col("case_name")), "name_formatting_noise").otherwise("cl_display_name_data_bug")
     unnamed = (F.coalesce(p["case_name"], F.lit("")) == "") | (F.coalesce("case_name", F.lit("")) == "")
     done = lookup.select(
-        "ord", F.when(unnamed, "VERIFIED_PARTIAL").when(F.col("_ok"), "VERIFIED").otherwise("WRONG_CASE").alias("status"), "cluster_id", F.lit(None).cast("long").alias("docket_id"), F.col("case_name").alias("matched_name"),
-        F.lit(1.0).alias("score"), F.lit("citation_lookup").alias("stage"), F.when(unnamed, "name_unverified").alias("warning"),
+        "ord", F.when(unnamed, "VERIFIED_PARTIAL").when(F.col("_ok") | F.col("_shown"), "VERIFIED").otherwise("WRONG_CASE").alias("status"), "cluster_id", F.lit(None).cast("long").alias("docket_id"), F.col("case_name").alias("matched_name"),
+        F.lit(1.0).alias("score"), F.lit("citation_lookup").alias("stage"), F.when(unnamed, "name_unverified").when(F.col("_shown"), differs).alias("warning"),
     )
-    done = cut(done)
     left = pending(citations, done, ["ord"])
     anchored = left.where(p["court"].isNotNull() | p["year"].isNotNull())
     opinions = _blocked(anchored, clusters).where(rules.temporal_gate(rules.year_of(F.col("date_filed")), p["year"])).dropDuplicates(["ord", "cluster_id"])

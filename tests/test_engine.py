@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from verilane.functions import rules, similarity
+from verilane.functions import rules, similarity, text
 from verilane.operators import claims as verbs
 from verilane.operators import relational as rel
 from verilane.operators import screening
@@ -43,6 +43,11 @@ def test_quotes(spark):
     assert all(r.v.result == r.want for r in out) and out[0].v.similarity == 1.0
 
 
+def test_quoted_spans_keep_their_digits(spark):
+    frame = spark.createDataFrame([('say " two words " and "1 is the one" and "one"',), (None,)], "t string")
+    assert [r.s for r in frame.select(text.quoted_spans(F.col("t")).alias("s")).collect()] == [["two words", "1 is the one"], []]
+
+
 def test_merge_takes_the_last_row_whatever_the_layout(spark):
     left, right = spark.range(50).withColumnRenamed("id", "k"), spark.range(500).select((F.col("id") % 40).alias("k"), F.col("id").alias("ord"))
     want = {(k, k + 40 * ((499 - k) // 40) if k < 40 else None) for k in range(50)}

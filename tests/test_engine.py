@@ -5,12 +5,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from verilane.functions import rules, similarity, text
+from verilane.functions import recover, rules, similarity, text
 from verilane.operators import claims as verbs
 from verilane.operators import relational as rel
 from verilane.operators import screening
 from verilane.plans import fixtures
-from verilane.sources import readers, sinks
+from verilane.sources import readers, session, sinks
 from verilane.streaming import verdicts
 
 
@@ -161,3 +161,47 @@ def test_largest_cluster_against_all_pairs():
                     group = [new if g == old else g for g in group]
         assert largest_cluster(sets) == max(group.count(g) for g in group)
     assert largest_cluster([]) == 0
+
+
+def test_strict_names_and_guarded_positions(spark):
+    rows = [("Smith v. Jones", "Jones", "Smith v. Jones", True), ("Smith v. Jones", "Jones", "Smith v. Quackenbush", False), ("In re Doe", None, "In re Doe", True), (None, None, "X v. Y", True), ("Smith v. Jones", "Jones", None, False)]
+    frame = spark.createDataFrame(rows, "n string, d string, c string, want boolean")
+    assert all(r.got == r.want for r in frame.withColumn("got", similarity.strict_name_match(F.col("n"), F.col("d"), F.col("c"))).collect())
+    left, right = spark.createDataFrame([(1, "a"), (2, None)], "o int, k string"), spark.createDataFrame([(1, "a", 5), (2, None, 6)], "o int, j string, v int")
+    assert {tuple(r) for r in rel.positional_join(left, right, "o", {"k": "j"}).select("o", "k", "v").collect()} == {(1, "a", 5), (2, None, 6)}
+    shifted = spark.createDataFrame([(1, "b", 5), (2, None, 6)], "o int, j string, v int")
+    for other in (shifted, right.where("o = 1"), right.unionByName(right)):
+        with pytest.raises(Exception, match="don't agree at place"):
+            rel.positional_join(left, other, "o", {"k": "j"}).collect()
+
+
+def test_cells_stamps_rows_and_appends(spark, tmp_path, monkeypatch):
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts/a.txt").write_text("body a")
+    (tmp_path / "m.jsonl").write_text('{"slug":"a","n":1}\n{"slug":"lost","n":2}\n')
+    assert [(r.slug, r.n, r.body) for r in readers.read_cells(spark, str(tmp_path / "m.jsonl"), str(tmp_path / "texts")).collect()] == [("a", 1, "body a")]
+    for n in (1, 2):
+        sinks.write_ndjson(spark.createDataFrame([(n,)], "n int"), str(tmp_path / "nd"))
+        sinks.stamp(spark, str(tmp_path / "log"), "merge", rows=n)
+    assert {r.n for r in spark.read.json(str(tmp_path / "nd")).collect()} == {1, 2}
+    assert {(r.verb, r.counts["rows"]) for r in spark.read.json(str(tmp_path / "log")).collect()} == {("merge", 1), ("merge", 2)}
+    assert sinks.json_rows(spark.createDataFrame([(1, "x")], "a int, b string")).first().value == '{"a":1,"b":"x"}'
+    old, new = spark.createDataFrame([("c1", "v1")], "c string, v string"), spark.createDataFrame([(1, "c1", "v1"), (3, "c2", "v1"), (2, "c2", "v1"), (4, "c1", "v2")], "o int, c string, v string")
+    assert {r.o for r in rel.append_new(old, new, ["c", "v"], "o").collect()} == {2, 4}
+    result = spark.sql("SELECT 'A v. B' AS citation, 'VERIFIED' AS status, 7L AS cluster_id, CAST(NULL AS BIGINT) AS docket_id, '/o/7' AS url, CAST(NULL AS STRING) AS matched_name, 'ca2' AS court, 1999 AS year, CAST(NULL AS DOUBLE) AS score, array(struct('info' AS category, 'm' AS message)) AS diagnostics")
+    row = sinks.result_rows(result)
+    assert row.columns == sinks.RESULT_COLUMNS and tuple(row.first()) == ("A v. B", "VERIFIED", "7", "", "/o/7", "", "ca2", "1999", "0.0", '[{"category":"info","message":"m"}]')
+    for _ in range(2):
+        sinks.append_flags(result.select("citation", "status", F.lit("z").alias("other")), str(tmp_path / "flags"))
+    flags = spark.read.csv(str(tmp_path / "flags"), header=True)
+    assert flags.columns == sinks.FLAG_COLUMNS and flags.count() == 2 and flags.first().citation == "A v. B"
+    monkeypatch.delenv(session.CACHE_VARIABLE, raising=False)
+    assert session.cache_path() == session.CACHE_FILE and session.cache_path("/x/") == f"/x/{session.CACHE_FILE}"
+    monkeypatch.setenv(session.CACHE_VARIABLE, "/y")
+    assert session.cache_path() == f"/y/{session.CACHE_FILE}"
+
+
+def test_json_repair():
+    assert json.loads(recover.repaired('x {"a": "he said "no", and left", "b": [1, 2')) == {"a": 'he said "no", and left', "b": [1, 2]}
+    assert recover.repaired("prose only") is None and recover.repaired(None) is None and recover.repaired("{bad}") is None and recover.repaired("{}") is None
+    assert json.loads(recover.repaired('{"a": "cut in the midd')) == {"a": "cut in the midd"}

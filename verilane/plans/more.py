@@ -135,7 +135,6 @@ def token_sets(spark, d):
 
 # --- text rules
 
-_SIGNALS = ["see", "see also", "e.g.", "cf.", "id.", "ibid.", "accord", "quoting", "citing", "compare", "but see", "see generally", "contra"]
 _NOTES = Fixture("id int, note string", [(1, "Items|a || Cases|b|c ||  "), (2, "Only"), (3, ""), (4, "X|real case is Y, instead")])
 
 
@@ -199,19 +198,6 @@ def monthly_rates(spark, d):
     return own.withColumn("flagged", F.abs(want - F.col("total")) > F.greatest(F.col("rate").cast("double"), 0.05 * want)).withColumn("implied", F.round(F.col("total") / F.col("rate"), 1))
 
 
-_JSONS = Fixture("id int, reply string", [(1, '{"a":1}'), (2, 'Sure: ```json\n{"a":2}\n``` done'), (3, 'noise {"a":3} more'), (4, "nothing"), (5, "[1]"), (6, '{"a":')])
-
-
-@query(f"""SELECT id, v.a AS a FROM {_JSONS.sql} AS j LEFT JOIN (VALUES (1, 1), (2, 2), (3, 3)) AS v(k, a) ON v.k = j.id""")
-def json_recovery(spark, d):
-    """The first of the whole reply, its fenced block and its outermost braces that is a JSON object."""
-    fenced = F.regexp_extract("reply", r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    braces = F.regexp_extract("reply", r"(?s)(\{.*\})", 1)
-    whole = F.when(F.trim("reply").startswith("{"), F.trim("reply"))
-    tries = [F.from_json(c, "a int")["a"] for c in (whole, fenced, braces)]
-    return _JSONS.frame(spark).select("id", F.coalesce(*tries).alias("a"))
-
-
 @query("""SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, left(regexp_extract(text, '^([^.!?]*[.!?])', 1), 220) AS teaser FROM documents""")
 def card_text(spark, d):
     """The whole text escaped; only the teaser has a limit."""
@@ -230,19 +216,6 @@ def line_cleanup(spark, d):
     return own.select("doc_id", F.length(F.array_join("l", "\n")).cast("long").alias("kept"))
 
 
-_DIRTY = Fixture("name string, clean string", [("See Smith v. Jones", "Smith v. Jones"), ("quoting Roe v. Wade", "Roe v. Wade"), ("Doe v. District", "Doe v."), ("  plain ", "plain"), ("see also Lee v. Poe", "also Lee v. Poe")])
-#: In this order; shorter phrases first take their word from longer ones. Fixed values.
-_CONTAMINATION = [*_SIGNALS, "de novo", "question of law", "this court", "the court", "holding that", "holds that", "supreme court", "district court", "court", "panel", "circuit", "district"]
-
-
-@query(f"SELECT name, clean FROM {_DIRTY.sql}")
-def contamination_cleaner(spark, d):
-    c = F.trim("name")
-    for phrase in _CONTAMINATION:
-        c = F.regexp_replace(c, rf"(?i)\b{phrase.replace('.', '[.]')}" + r"\b", "")
-    return _DIRTY.frame(spark).select("name", F.trim(c).alias("clean"))
-
-
 _ABBREV = Fixture("name string, expanded string", [("Dep't of Educ. v. Bd. of Comm'rs", "Department of Education v. Board of Comm'rs"), ("Cnty. of Orange v. Gen. Dist.", "County of Orange v. General District"), ("Acme Corp. v. Doe", "Acme Corp. v. Doe")])
 #: Some of the search abbreviations, in order. Fixed values.
 _EXPANSIONS = [("Dep't", "Department"), (r"Educ\.?", "Education"), (r"Bd\.?", "Board"), (r"Cnty\.?", "County"), (r"Gen\.?", "General"), (r"Dist\.?", "District")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -16,3 +17,13 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
+
+
+#: Environment variable that names the folder of the result cache, and the file in it.
+CACHE_VARIABLE, CACHE_FILE = "VERILANE_CACHE", "result_cache"
+
+
+def cache_path(given: str | None = None) -> str:
+    """Where results are cached: in the folder given, else in the one the environment names, else in the working directory."""
+    folder = given or os.environ.get(CACHE_VARIABLE)
+    return f"{folder.rstrip('/')}/{CACHE_FILE}" if folder else CACHE_FILE

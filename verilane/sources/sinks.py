@@ -53,3 +53,36 @@ def report_html(findings: DataFrame, title: str, at_most: int = 20_000) -> str:
         cards = "".join(f'<article class="{lane.lower()}"><h3>{escape(r.cited_case or "")}</h3><span>{escape(r.badge or "")}</span></article>' for r in own)
         parts.append(f"<section><h2>{lane} ({len(own)})</h2>{cards}</section>")
     return "".join(parts)
+
+
+#: Columns of a batch's result file and of the list of flagged results, in order. Fixed values.
+RESULT_COLUMNS = ["citation", "status", "matched_cluster_id", "matched_docket_id", "matched_url", "matched_case_name", "matched_court_id", "matched_date_filed", "confidence", "diagnostics_json"]
+FLAG_COLUMNS = ["timestamp", "citation", "status", "confidence", "matched_url", "matched_case_name", "matched_court", "matched_date", "matched_description", "diagnostics"]
+
+
+def result_rows(results: DataFrame) -> DataFrame:
+    """The ten columns of a batch file as strings, from citation, status, cluster_id, docket_id, url, matched_name, court, year, score and diagnostics.
+
+    What isn't known is empty, a missing score 0.0, missing diagnostics an empty list.
+    """
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).cast("string")
+    own = [blank(c) for c in ("citation", "status", "cluster_id", "docket_id", "url", "matched_name", "court", "year")] + [score, F.coalesce(F.to_json("diagnostics"), F.lit("[]"))]
+    return results.select(*[c.alias(n) for c, n in zip(own, RESULT_COLUMNS, strict=True)])
+
+
+def append_flags(flags: DataFrame, path: str) -> None:
+    """Append flagged results with the time of writing; columns that flags lacks are empty, others aren't written."""
+    have = [F.current_timestamp().cast("string").alias(c) if c == "timestamp" else (F.col(c) if c in flags.columns else F.lit("").alias(c)) for c in FLAG_COLUMNS]
+    write_csv(flags.select(*have), path, "append")
+
+
+def append_unless_contained(old: DataFrame, new: DataFrame, key: str, order: list) -> DataFrame:
+    """Of new, the rows whose key no old entry (column entry) contains, each key once, the first under order.
+
+    A key is compared with an entry only if they share the key's longest inner word, so it is an equi-join; see passages_in.
+    """
+    from verilane.operators.relational import first_wins, passages_in
+
+    held = passages_in(new.select(F.col(key).alias("_needle")).where(F.length(key) > 0).distinct(), old.select(F.col("entry").alias("_entry")), "_needle", "_entry").select(F.col("_needle").alias(key)).distinct()
+    return first_wins(new.where(F.length(key) > 0).join(held, key, "left_anti"), [key], order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verilane.functions import rules, text
+from verilane.functions import abbreviations, rules, text
 
 from .fixtures import Fixture
 from .fixtures import QUERIES as FIXTURE_QUERIES
@@ -60,15 +60,12 @@ def run_bookkeeping(spark, d):
 
 
 _WANTED = Fixture("abbrev string, whole string", [("Dep't", "Department"), ("Educ.", "Education"), ("Ry.", "Railway"), ("Bd.", "Board")])
-_KNOWN = [("Dep't", "Department"), (r"Educ\.?", "Education"), (r"Bd\.?", "Board")]
 
 
 @query(f"SELECT count(*) AS total, count_if(abbrev <> 'Ry.') AS covered, round(count_if(abbrev <> 'Ry.') / count(*), 4) AS ratio FROM {_WANTED.sql}")
 def abbreviation_coverage(spark, d):
     """An abbreviation is covered if the rules turn it into its long form."""
-    c = F.concat(F.lit("Smith v. Test "), "abbrev")
-    for short, long in _KNOWN:
-        c = F.regexp_replace(c, rf"(?i)\b{short}(?=\s|$|,)", long)
+    c = abbreviations.written_out(F.concat(F.lit("Smith v. Test "), "abbrev"))
     hit = c.contains(F.col("whole")) & ~c.contains(F.col("abbrev"))
     return _WANTED.frame(spark).agg(F.count("*").alias("total"), F.count_if(hit).alias("covered"), F.round(F.count_if(hit) / F.count("*"), 4).alias("ratio"))
 

@@ -84,7 +84,7 @@ expected("name_forms", "citation string, name string", [
     ("127 So.3d 156", None), ("Obergefell v. Hodges, 576 U.S. 644 (2015)", "Obergefell v. Hodges"), ("Chetal v. AmeriCredit Corp., No. C 09-02727 WHA, 2011 WL 2560243 (N.D. Cal. 2011)", "Chetal v. AmeriCredit Corp."),
 ], lambda c: parse_citation(c)["case_name"])
 expected("name_normalize", "name string, normal string", [
-    ("In the Matter of Smith", "in re smith"), ("People v. Jones", "state v jones"), ("U.S. v. Roe & Co.", "united states v roe and co"), ("Acme,  Limited v. Doe, Petitioner", "acme v doe"), ("Dep’t of Fire", "dep t of fire"), ("Growth L.P. v. Commonwealth", "growth lp v state"),
+    ("In the Matter of Smith", "in re smith"), ("People v. Jones", "state v jones"), ("U.S. v. Roe & Co.", "united states v roe and company"), ("Acme,  Limited v. Doe, Petitioner", "acme v doe"), ("Dep’t of Fire", "department of fire"), ("Growth L.P. v. Commonwealth", "growth lp v state"),
 ], text.name_key)
 expected("quote_normalize", "quote string, normal string", [
     ("“[T]he law … is clear”", '"the law is clear"'), ("it [sic] was .... so", "it was so"), ("‘plain’", "'plain'"), ("a\n  b [emphasis added]", "a b"),

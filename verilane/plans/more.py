@@ -216,19 +216,6 @@ def line_cleanup(spark, d):
     return own.select("doc_id", F.length(F.array_join("l", "\n")).cast("long").alias("kept"))
 
 
-_ABBREV = Fixture("name string, expanded string", [("Dep't of Educ. v. Bd. of Comm'rs", "Department of Education v. Board of Comm'rs"), ("Cnty. of Orange v. Gen. Dist.", "County of Orange v. General District"), ("Acme Corp. v. Doe", "Acme Corp. v. Doe")])
-#: Some of the search abbreviations, in order. Fixed values.
-_EXPANSIONS = [("Dep't", "Department"), (r"Educ\.?", "Education"), (r"Bd\.?", "Board"), (r"Cnty\.?", "County"), (r"Gen\.?", "General"), (r"Dist\.?", "District")]
-
-
-@query(f"SELECT name, expanded FROM {_ABBREV.sql}")
-def abbreviation_expansion(spark, d):
-    c = F.col("name")
-    for short, long in _EXPANSIONS:
-        c = F.regexp_replace(c, rf"(?i)\b{short}(?=\s|$|,)", long)
-    return _ABBREV.frame(spark).select("name", c.alias("expanded"))
-
-
 # --- rows of the quality-control table
 
 _QC = Fixture("id int, qc_status string, v_status string, is_westlaw string, year string, case_name string", [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verilane.functions import courts, recover, results, text
+from verilane.functions import abbreviations, courts, recover, results, text
 from verilane.operators import relational as rel
 from verilane.sources import sinks
 
@@ -49,6 +49,29 @@ def contamination_cleaner(spark, d):
     return own.select("p_partkey", text.without_contamination(F.concat(phrase, F.lit(" "), "p_name", F.lit(" v. "), "p_brand", tail)).alias("clean"))
 
 
+_SHORT = list(abbreviations.SEARCH)
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_SHORT_SQL = "[" + ", ".join(map(_QUOTED, _SHORT)) + "]"
+_TAIL_SQL = "CASE p_partkey % 3 WHEN 0 THEN '.' WHEN 1 THEN concat(chr(39), 'rs ') ELSE '.Co ' END"
+_ABBREV_SQL = f"SELECT p_partkey, concat({_SHORT_SQL}[p_partkey % {len(_SHORT)} + 1], '. of ', p_name, ' v. ', upper({_SHORT_SQL}[p_partkey * 7 % {len(_SHORT)} + 1]), {_TAIL_SQL}, p_type) AS name FROM part"
+
+
+def _written_out(c: str) -> str:
+    for short, long in abbreviations.SEARCH.items():
+        c = f"regexp_replace({c}, {_QUOTED(abbreviations.pattern(short))}, '{long}', 'gi')"
+    return c
+
+
+@query(f"SELECT p_partkey, {_written_out('name')} AS expanded FROM ({_ABBREV_SQL})")
+def abbreviation_expansion(spark, d):
+    """Part names between abbreviated parties: with a point, a plural after an apostrophe, or a word right after the point."""
+    k, own = F.col("p_partkey"), F.array(*map(F.lit, _SHORT))
+    at = lambda n: F.get(own, (n % len(_SHORT)).cast("int"))
+    tail = F.when(k % 3 == 0, ".").when(k % 3 == 1, "'rs ").otherwise(".Co ")
+    name = F.concat(at(k), F.lit(". of "), "p_name", F.lit(" v. "), F.upper(at(k * 7)), tail, "p_type")
+    return T(spark, d, "part").select("p_partkey", abbreviations.written_out(name).alias("expanded"))
+
+
 _NEAR = "CASE " + " ".join(f"WHEN strpos(after, '{p}') BETWEEN 1 AND 50 THEN strpos(after, '{p}') - 1" for p in text.PROCEDURAL_PHRASES + text.SIGNAL_PHRASES) + " END"
 _CONTEXT_SQL = f"SELECT p_partkey, p_name AS name, concat('as ', p_name, ' (', p_brand, ') ', {_LIST}[p_partkey % 44 + 1], ' ', p_type) AS context FROM part"
 

@@ -209,7 +209,7 @@ def token_jaccard_link(spark, d):
 
 @query("""WITH k AS (SELECT doc_id, md5(text) AS h, left(text, 40) AS p, length(text) AS n FROM documents),
 s AS (SELECT a.doc_id, b.doc_id AS other, CASE WHEN a.h = b.h THEN 0.99 ELSE 0.92 END AS score FROM k a JOIN k b ON a.p = b.p AND a.doc_id <> b.doc_id WHERE a.h = b.h OR abs(a.n - b.n) <= 50)
-SELECT doc_id, other, score, CASE WHEN score >= 0.95 THEN 'high' ELSE 'possible' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) AS rn FROM s) WHERE rn <= 10""")
+SELECT doc_id, other, score, CASE WHEN score >= 0.90 THEN 'high' ELSE 'possible' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) AS rn FROM s) WHERE rn <= 10""")
 def dup_finder_tiers(spark, d):
     """The ten best partners of each row, exact before near, within blocks of equal openings, without all pairs of a block.
 
@@ -225,7 +225,7 @@ def dup_finder_tiers(spark, d):
     around = rel.top_k(spans.join(least, ["p", "n"]), ["p", "at"], [F.col("other")], 20).drop("n").withColumnRenamed("at", "n")
     near = few.join(around, ["p", "n"]).where("h <> h2").select("doc_id", "other", F.lit(0.92).alias("score"))
     best = rel.top_k(exact.unionByName(near).where("doc_id <> other"), ["doc_id"], [F.desc("score"), F.col("other")], 10)
-    return best.select("doc_id", "other", "score", F.when(F.col("score") >= 0.95, "high").otherwise("possible").alias("tier"))
+    return best.select("doc_id", "other", "score", F.when(F.col("score") >= 0.90, "high").otherwise("possible").alias("tier"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

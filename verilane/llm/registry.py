@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, html_text, kdtree, langid, packing, quality, sharding, simhash, toxicity
+from . import audio, bpe, html_text, kdtree, langid, merkle, packing, quality, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_bpe": bpe.query,
         "op9_audio": audio.query,
         "op10_quality": quality.query,
+        "op11_merkle": merkle.query,
     }
 
 
 def oracle_sql() -> dict:
     """Learned models, tokenizers, XXH64 with a seed, trees and media have no DuckDB form; tests hold these to brute force."""
-    return {"op6_topk": kdtree.ORACLE_SQL}
+    return {"op6_topk": kdtree.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL}

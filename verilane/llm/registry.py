@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, html_text, kdtree, langid, merkle, packing, quality, sharding, simhash, toxicity, warc
+from . import audio, bpe, codes, html_text, kdtree, langid, merkle, packing, quality, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,9 +19,10 @@ def queries() -> dict:
         "op10_quality": quality.query,
         "op11_merkle": merkle.query,
         "op12_warc": warc.query,
+        "op13_codes": codes.query,
     }
 
 
 def oracle_sql() -> dict:
     """Learned models, tokenizers, XXH64 with a seed, trees and media have no DuckDB form; tests hold these to brute force."""
-    return {"op6_topk": kdtree.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL}
+    return {"op6_topk": kdtree.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL, "op13_codes": codes.ORACLE_SQL}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import extras, fixtures, more, records, screens, tables
+from . import extras, fixtures, joins, more, records, screens, tables
 
 
 def queries() -> dict:
-    return {**tables.QUERIES, **fixtures.QUERIES, **more.QUERIES, **screens.QUERIES, **extras.QUERIES, **records.QUERIES}
+    return {**tables.QUERIES, **fixtures.QUERIES, **more.QUERIES, **screens.QUERIES, **extras.QUERIES, **records.QUERIES, **joins.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**tables.SQL, **fixtures.SQL, **more.SQL, **screens.SQL, **extras.SQL, **records.SQL}
+    return {**tables.SQL, **fixtures.SQL, **more.SQL, **screens.SQL, **extras.SQL, **records.SQL, **joins.SQL}

@@ -122,17 +122,6 @@ def headline_confidence(spark, d):
     return own.select("user_id", F.size("path").alias("n"), F.round(F.try_element_at(won, F.lit(-1))["value"], 6).alias("headline"))
 
 
-@query("""WITH w AS (SELECT source, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 4)) AS tok FROM documents),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM w) WHERE rn = 1)
-SELECT a.doc_id, b.doc_id AS other, round(len(list_intersect(a.tok, b.tok)) / greatest(len(list_distinct(list_concat(a.tok, b.tok))), 1), 6) AS jaccard, len(list_filter(a.tok, lambda t: NOT list_contains(b.tok, t))) = 0 AS inside FROM w a JOIN f b ON a.source = b.source AND a.doc_id <> b.doc_id""")
-def token_sets(spark, d):
-    """Jaccard, overlap and subset of token sets: each document against the first one of its source."""
-    own = T(spark, d, "documents").select("source", "doc_id", text.tokens(F.col("text"), 4).alias("tok"))
-    first = rel.first_wins(own, ["source"], [F.col("doc_id")]).select("source", F.col("doc_id").alias("other"), F.col("tok").alias("tok2"))
-    pairs = own.join(first, "source").where("doc_id <> other")
-    return pairs.select("doc_id", "other", F.round(text.jaccard(F.col("tok"), F.col("tok2")), 6).alias("jaccard"), (F.size(F.array_except("tok", "tok2")) == 0).alias("inside"))
-
-
 # --- text rules
 
 _NOTES = Fixture("id int, note string", [(1, "Items|a || Cases|b|c ||  "), (2, "Only"), (3, ""), (4, "X|real case is Y, instead")])

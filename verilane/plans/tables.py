@@ -207,27 +207,6 @@ def token_jaccard_link(spark, d):
     return rel.first_wins(found, ["p_partkey"], [F.col("src"), F.desc("score"), F.col("file")]).select("p_partkey", "file", "src", F.round("score", 6).alias("score"))
 
 
-@query("""WITH k AS (SELECT doc_id, md5(text) AS h, left(text, 40) AS p, length(text) AS n FROM documents),
-s AS (SELECT a.doc_id, b.doc_id AS other, CASE WHEN a.h = b.h THEN 0.99 ELSE 0.92 END AS score FROM k a JOIN k b ON a.p = b.p AND a.doc_id <> b.doc_id WHERE a.h = b.h OR abs(a.n - b.n) <= 50)
-SELECT doc_id, other, score, CASE WHEN score >= 0.90 THEN 'high' ELSE 'possible' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) AS rn FROM s) WHERE rn <= 10""")
-def dup_finder_tiers(spark, d):
-    """The ten best partners of each row, exact before near, within blocks of equal openings, without all pairs of a block.
-
-    Of equal texts the eleven smallest ids are enough. A row with under ten equal ones takes near partners from the twenty
-    smallest ids of its opening within 50 of its length: at most ten of them have its own text.
-    """
-    own = T(spark, d, "documents").select("doc_id", F.md5("text").alias("h"), F.left("text", F.lit(40)).alias("p"), F.length("text").alias("n"))
-    named = own.withColumnsRenamed({"doc_id": "other", "h": "h2"})
-    exact = own.join(rel.top_k(named, ["p", "h2"], [F.col("other")], 11).drop("n").withColumnRenamed("h2", "h"), ["p", "h"]).select("doc_id", "other", F.lit(0.99).alias("score"))
-    few = own.join(own.groupBy("p", "h").count().where("count <= 10").drop("count"), ["p", "h"])
-    least = rel.top_k(named, ["p", "n"], [F.col("other")], 20)
-    spans = few.select("p", F.col("n").alias("at")).distinct().withColumn("n", F.explode(F.sequence(F.col("at") - 50, F.col("at") + 50)))
-    around = rel.top_k(spans.join(least, ["p", "n"]), ["p", "at"], [F.col("other")], 20).drop("n").withColumnRenamed("at", "n")
-    near = few.join(around, ["p", "n"]).where("h <> h2").select("doc_id", "other", F.lit(0.92).alias("score"))
-    best = rel.top_k(exact.unionByName(near).where("doc_id <> other"), ["doc_id"], [F.desc("score"), F.col("other")], 10)
-    return best.select("doc_id", "other", "score", F.when(F.col("score") >= 0.90, "high").otherwise("possible").alias("tier"))
-
-
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_pending(spark, d):
     return rel.pending(T(spark, d, "documents").select("doc_id", "source"), T(spark, d, "labels"), ["doc_id"])
@@ -496,18 +475,3 @@ def reporter_dim(spark, d):
     ranked = own.withColumn("rn", F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.length("n_name"), "n_name")))
     kind = F.when(F.col("rn") == 1, "supreme").when(F.col("rn") == 2, "appeals").otherwise("district")
     return ranked.select("r_name", "n_name", kind.alias("kind"), F.explode(F.array(*map(F.lit, ("", "2d", "3d", "4th")))).alias("series")).withColumn("reporter", F.concat_ws(" ", "n_name", "series"))
-
-
-@query(r"""SELECT a.p_partkey, b.p_partkey AS candidate, round(0.5 * s * CASE WHEN s > 0.3 THEN 1.0 ELSE 0.25 END + 0.2 * CASE WHEN a.p_type = b.p_type THEN 1 ELSE 0 END + 0.2 * CASE WHEN a.p_size = b.p_size THEN 1.0 WHEN abs(a.p_size - b.p_size) = 1 THEN 0.5 ELSE 0 END, 3) AS score
-FROM part a JOIN (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) b ON a.p_brand = b.p_brand AND b.rn = 1 AND a.p_partkey <> b.p_partkey,
-LATERAL (SELECT len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS s FROM (SELECT list_distinct(list_filter(regexp_split_to_array(lower(a.p_name), '[^a-z0-9]+'), lambda t: len(t) >= 3)) AS x, list_distinct(list_filter(regexp_split_to_array(lower(b.p_name), '[^a-z0-9]+'), lambda t: len(t) >= 3)) AS y))""")
-def weighted_score(spark, d):
-    """Each row against its block's first one, with token overlap in the place of name similarity."""
-    own = T(spark, d, "part").select("p_brand", "p_partkey", "p_type", "p_size", text.tokens(F.col("p_name"), 3).alias("tok"))
-    first = rel.first_wins(own, ["p_brand"], [F.col("p_partkey")])
-    other = first.select("p_brand", F.col("p_partkey").alias("candidate"), F.col("p_type").alias("t2"), F.col("p_size").alias("s2"), F.col("tok").alias("tok2"))
-    pairs = own.join(other, "p_brand").where("p_partkey <> candidate").withColumn("s", text.jaccard(F.col("tok"), F.col("tok2")))
-    year = F.when(F.col("p_size") == F.col("s2"), 1.0).when(F.abs(F.col("p_size") - F.col("s2")) == 1, 0.5).otherwise(0.0)
-    w = rules.WEIGHTS
-    score = w["name"] * F.col("s") * F.when(F.col("s") > 0.3, 1.0).otherwise(rules.PARTY_FACTOR) + w["court"] * F.when(F.col("p_type") == F.col("t2"), 1.0).otherwise(0.0) + w["date"] * year
-    return pairs.select("p_partkey", "candidate", F.round(score, 3).alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verilane.functions import recover, rules, similarity, text
 from verilane.operators import claims as verbs
+from verilane.operators import passages
 from verilane.operators import relational as rel
 from verilane.operators import screening
 from verilane.plans import fixtures
@@ -58,7 +59,7 @@ def test_merge_takes_the_last_row_whatever_the_layout(spark):
 def test_passages_with_short_and_missing_words(spark):
     needles = spark.createDataFrame([(1, "b c d e f"), (2, "xyz"), (3, "q b c d e fgh"), (4, "")], "i int, needle string")
     texts = spark.createDataFrame([(1, "ab c d e fg"), (2, "wxyz"), (3, "q b c d e fghi"), (4, "")], "t int, haystack string")
-    assert {(r.i, r.t) for r in rel.passages_in(needles, texts).collect()} == {(1, 1), (2, 2), (3, 3), (1, 3)}
+    assert {(r.i, r.t) for r in passages.passages_in(needles, texts).collect()} == {(1, 1), (2, 2), (3, 3), (1, 3)}
 
 
 def test_leave_one_out_against_a_loop(spark):

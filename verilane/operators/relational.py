@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verilane.sources.session import cut
-
 
 def _rank(keys: list, order: list) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -84,12 +82,6 @@ def difference(old: DataFrame, new: DataFrame, keys: list[str], values: list[str
     return joined.withColumn("change", change).drop("_a", "_b")
 
 
-def in_range(points: DataFrame, spans: DataFrame, group: list[str], point: str, start: str, end: str, order: list) -> DataFrame:
-    """For each point the first span of its group with start <= point < end. The group keys make it an equi-join."""
-    joined = points.join(spans, group).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
-    return first_wins(joined, [*group, point], order)
-
-
 def upsert(base: DataFrame, changes: DataFrame, key: str, columns: list[str], ordinal: str) -> DataFrame:
     """base with the columns of the first change of each key, where there is one and it isn't null."""
     one = first_wins(changes, [key], [F.col(ordinal)]).select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
@@ -97,33 +89,3 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, columns: list[str], or
     for c in columns:
         joined = joined.withColumn(c, F.coalesce(f"_new_{c}", c)).drop(f"_new_{c}")
     return joined
-
-
-#: Most passages of one or two words that are looked for at once.
-SHORT_AT_ONCE = 1000
-
-
-def passages_in(passages: DataFrame, texts: DataFrame, passage: str = "needle", text: str = "haystack", key: str | None = None) -> DataFrame:
-    """Pairs in which a text holds a passage, through a shared word instead of a comparison of all pairs.
-
-    A passage's inner words are whole words wherever it occurs, so the longest of them, which few texts hold, is an equi-join
-    key. Only the key of a text and its words are joined; the texts themselves are fetched for the candidates alone. key names a column of texts
-    that tells them apart; without one they are numbered. Passages of one or two words have no inner word; they are looked for directly,
-    SHORT_AT_ONCE of them at a time.
-    """
-    if key is None:
-        return passages_in(passages, cut(texts.withColumn("_text_no", F.monotonically_increasing_id())), passage, text, "_text_no").drop("_text_no")
-    parts = F.split(F.col(passage), " ")
-    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = passages.withColumn("_word", longest).where(F.col("_word").isNotNull())
-    words = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("_word"))
-    candidates = words.join(keyed.select("_word", passage).distinct(), "_word").select("_key", F.col(passage).alias("_passage")).distinct()
-    held = texts.join(candidates, F.col(key).eqNullSafe(F.col("_key"))).where(F.col(text).contains(F.col("_passage"))).drop("_key")
-    found = held.join(passages, F.col("_passage") == F.col(passage)).select(*texts.columns, *passages.columns)
-    short = passages.where((F.size(parts) < 3) & (F.length(passage) > 0))
-    blocks = -(-short.count() // SHORT_AT_ONCE)
-    for block in range(blocks):
-        some = short.where(F.pmod(F.xxhash64(passage), F.lit(blocks)) == block)
-        found = found.unionByName(texts.join(F.broadcast(some), F.col(text).contains(F.col(passage))).select(*found.columns))
-    return found

@@ -386,18 +386,6 @@ def crosscheck_lines(spark, d):
     return own.select("claim_id", F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("line"))
 
 
-OFFSETS = Fixture("cite_id int, start int, stop int", [(1, 0, 30), (2, 32, 60), (3, 62, 90)])
-FOUND = Fixture("pos int, cluster long, entry int", [(5, 11, 1), (40, 22, 2), (41, 23, 3), (61, 99, 4), (89, 33, 5)])
-
-
-@query(f"SELECT cite_id, cluster FROM (SELECT cite_id, cluster, row_number() OVER (PARTITION BY cite_id ORDER BY entry) AS rn FROM {OFFSETS.sql} JOIN {FOUND.sql} ON start <= pos AND pos < stop) WHERE rn = 1")
-def offset_range_join(spark, d):
-    """Batch results mapped back to their citations by character offset: the first entry inside a span wins."""
-    spans, points = OFFSETS.frame(spark).withColumn("batch", F.lit(1)), FOUND.frame(spark).withColumn("batch", F.lit(1))
-    inside = rel.in_range(points, spans, ["batch"], "pos", "start", "stop", [F.col("cite_id")])
-    return rel.first_wins(inside, ["cite_id"], [F.col("entry")]).select("cite_id", "cluster")
-
-
 SEVERITY = Fixture("batch int, status string", [(1, "VERIFIED"), (1, "NOT_FOUND"), (2, "VERIFIED"), (3, "WRONG_CASE"), (3, "VERIFICATION_INCOMPLETE")])
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verilane.functions import rules, text
 from verilane.operators import relational as rel
+from verilane.operators.passages import occurrences
+from verilane.operators.ranges import in_intervals, longest_prefix, numbered, without_gutters
 from verilane.operators.similar import TextSets, digest, set_pairs
 
 from .tables import T
@@ -96,3 +99,94 @@ def weighted_score(spark, d):
     w = rules.WEIGHTS
     score = w["name"] * F.col("s") * F.when(F.col("s") > 0.3, 1.0).otherwise(rules.PARTY_FACTOR) + w["court"] * F.when(F.col("t_a") == F.col("t_b"), 1.0).otherwise(0.0) + w["date"] * year
     return pairs.select(F.col("a").alias("p_partkey"), F.col("b").alias("candidate"), F.col("n_a").alias("copies"), F.col("n_b").alias("candidate_copies"), F.round(score, 3).alias("score"))
+
+
+# --- passages
+
+_CALLS = """p AS (SELECT DISTINCT array_to_string(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ')[:2], ' ') AS phrase FROM conversations WHERE role = 'user'),
+h AS (SELECT doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS haystack FROM documents)"""
+
+
+@query(f"""WITH {_CALLS}, f AS (SELECT doc_id, phrase, strpos(haystack, phrase) AS at_ FROM h JOIN p ON phrase <> '' AND contains(haystack, phrase))
+SELECT doc_id, count(phrase) AS n_phrases, min(at_) AS first_at, min(phrase) AS least FROM f GROUP BY doc_id""")
+def known_fakes(spark, d):
+    """Documents that hold any of the phrases that user turns open with, as substrings: thousands of short patterns, one scan of the documents."""
+    flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
+    turns = T(spark, d, "conversations").where("role = 'user'")
+    phrases = turns.select(F.array_join(F.slice(F.split(flat("text"), " "), 1, 2), " ").alias("needle")).distinct()
+    found = occurrences(phrases, T(spark, d, "documents").select("doc_id", flat("text").alias("haystack")), "doc_id")
+    return found.groupBy("doc_id").agg(F.count("needle").alias("n_phrases"), F.min("at").cast("long").alias("first_at"), F.min("needle").alias("least"))
+
+
+# --- intervals, prefixes, runs, numbers
+
+
+def _pieces(df, column: str, mark: str):
+    """doc_id, k (from 0), start and stop (in characters, without the mark) of the pieces between marks."""
+    each = df.select("doc_id", F.posexplode(F.split(column, mark, -1)).alias("k", "piece")).select("doc_id", "k", F.length("piece").cast("long").alias("n"))
+    ends = F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id").orderBy("k"))
+    return each.select("doc_id", "k", (ends - 1 - F.col("n")).alias("start"), (ends - 1).alias("stop"))
+
+
+_PIECES = """SELECT doc_id, k - 1 AS k, CAST(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) - 1 - n AS start, CAST(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) - 1 AS stop
+FROM (SELECT doc_id, generate_subscripts(string_split(text, {0}), 1) AS k, length(unnest(string_split(text, {0}))) AS n FROM documents)"""
+
+
+@query(f"""WITH l AS ({_PIECES.format("chr(10)")}), s AS (SELECT doc_id, k AS cluster, stop AS pos FROM ({_PIECES.format("'.'")})),
+j AS (SELECT l.doc_id, l.k AS line, s.cluster, s.pos FROM l JOIN s ON l.doc_id = s.doc_id AND l.start <= s.pos AND s.pos < l.stop)
+SELECT doc_id, line, count(*) AS n, min(pos) AS first_pos, arg_min(cluster, pos) AS cluster FROM j GROUP BY doc_id, line""")
+def offset_range_join(spark, d):
+    """Full stops mapped to their lines by character offset: of the offsets in a line the first one's number wins."""
+    docs = T(spark, d, "documents")
+    lines = _pieces(docs, "text", "\n").withColumnRenamed("k", "line")
+    stops = _pieces(docs, "text", r"\.").select("doc_id", F.col("k").alias("cluster"), F.col("stop").alias("pos"))
+    inside = in_intervals(stops, lines, ["doc_id"], "pos", "start", "stop")
+    return inside.groupBy("doc_id", "line").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.min_by("cluster", "pos").alias("cluster"))
+
+
+@query("""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS prefix, min(quality) AS ruling FROM labels GROUP BY 1),
+j AS (SELECT d.doc_id, prefix, ruling, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(prefix) DESC) AS rn FROM documents d LEFT JOIN p ON starts_with(CAST(d.doc_id AS VARCHAR), prefix))
+SELECT doc_id, prefix, ruling FROM j WHERE rn = 1""")
+def prefix_rulings(spark, d):
+    """Rulings of labels keyed by a prefix of a document's number: the longest one wins."""
+    rulings = T(spark, d, "labels").groupBy(F.col("doc_id").cast("string").alias("prefix")).agg(F.min("quality").alias("ruling"))
+    return longest_prefix(T(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("c")), rulings, "c", "prefix").select("doc_id", "prefix", "ruling")
+
+
+_PAGES = """l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS pos,
+CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE '' || l_linenumber END || ' part ' || l_partkey AS line FROM lineitem)"""
+
+
+@query(rf"""WITH {_PAGES}, n AS (SELECT l_orderkey, pos, TRY_CAST(regexp_extract(line, '^([0-9]{{1,2}})\s', 1) AS INTEGER) AS num FROM l), b AS (SELECT *, lag(num) OVER (PARTITION BY l_orderkey ORDER BY pos) AS prior FROM n WHERE num IS NOT NULL),
+g AS (SELECT l_orderkey, count(*) AS numbered, count_if(prior IS NULL OR num <> prior + 1) AS runs, count_if(num = prior + 1) AS by_one, count(*) - 1 AS steps FROM b GROUP BY l_orderkey),
+r AS (SELECT t.*, coalesce(numbered, 0) AS numbered, coalesce(steps, 0) AS steps, coalesce(by_one, 0) AS by_one, coalesce(runs, 0) AS runs FROM (SELECT l_orderkey, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS whole, string_agg(regexp_replace(line, '^[0-9]{{1,2}}\s', ''), ' ' ORDER BY pos) AS flowing FROM l GROUP BY 1) t LEFT JOIN g USING (l_orderkey))
+SELECT l_orderkey, n_lines, numbered, steps, by_one, runs, gutter, CASE WHEN gutter THEN flowing ELSE whole END AS text FROM (SELECT *, n_lines >= 5 AND numbered >= 0.6 * n_lines AND by_one >= 0.5 * steps AS gutter FROM r)""")
+def gutter_pages(spark, d):
+    """Pages of lines, one for each order, whose lines begin with their numbers unless they were returned: a gutter of line numbers is found and taken away."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"))
+    line = F.concat(F.when(F.col("l_returnflag") == "R", "returned").otherwise(F.col("l_linenumber").cast("string")), F.lit(" part "), F.col("l_partkey").cast("string"))
+    lines = T(spark, d, "lineitem").select("l_orderkey", place.alias("at"), line.alias("line"))
+    return without_gutters(lines, ["l_orderkey"], "at", "line").drop("longest")
+
+
+@query("""WITH u AS (SELECT source AS k, doc_id * 3 AS ord FROM documents UNION ALL SELECT c_mktsegment, c_custkey * 3 + 1 FROM customer UNION ALL SELECT p_brand, p_partkey * 3 + 2 FROM part)
+SELECT k, ord, row_number() OVER (ORDER BY ord) AS place FROM (SELECT k, min(ord) AS ord FROM u WHERE k IS NOT NULL GROUP BY k)""")
+def ordered_union_distinct(spark, d):
+    """Different keys of three lists by where they were first seen, numbered by ranges."""
+    parts = [T(spark, d, t).select(F.col(k).alias("k"), (F.col(i) * 3 + at).alias("ord")) for at, (t, k, i) in enumerate((("documents", "source", "doc_id"), ("customer", "c_mktsegment", "c_custkey"), ("part", "p_brand", "p_partkey")))]
+    return numbered(rel.first_seen(parts[0].unionByName(parts[1]).unionByName(parts[2]), "k", "ord"), [], [F.col("ord")], "place")
+
+
+@query("""SELECT source || '-' || CASE WHEN rn < 10 THEN '0' ELSE '' END || rn AS claim_id, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)""")
+def claim_numbers(spark, d):
+    """Ids of claims by source, numbered by ranges: a source may hold a third of all rows."""
+    own = numbered(T(spark, d, "documents").select("source", "doc_id"), ["source"], [F.col("doc_id")], "at")
+    return own.select(F.format_string("%s-%02d", "source", "at").alias("claim_id"), "doc_id")
+
+
+@query("""WITH f AS (SELECT doc_id, lang, CASE WHEN toxic = 1 THEN 1 WHEN quality = 0 THEN 2 ELSE 9 END AS lane FROM documents JOIN labels USING (doc_id)) SELECT lang, doc_id, lane, row_number() OVER (PARTITION BY lang ORDER BY lane, doc_id) AS card FROM f WHERE lane < 9""")
+def card_numbers(spark, d):
+    """One counter of cards across lanes, within each document group, numbered by ranges."""
+    lane = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 0, 2).otherwise(9)
+    own = T(spark, d, "documents").select("doc_id", "lang").join(T(spark, d, "labels"), "doc_id").withColumn("lane", lane).where("lane < 9")
+    return numbered(own.select("lang", "doc_id", "lane"), ["lang"], [F.col("lane"), F.col("doc_id")], "card")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verilane.functions import rules, text
@@ -84,20 +83,6 @@ def download_names(spark, d):
     return distinct_names(own, "base", ["doc_id"]).select("doc_id", "name")
 
 
-@query("""SELECT source || '-' || CASE WHEN rn < 10 THEN '0' ELSE '' END || rn AS claim_id, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)""")
-def claim_numbers(spark, d):
-    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return T(spark, d, "documents").select(F.format_string("%s-%02d", "source", at).alias("claim_id"), "doc_id")
-
-
-@query("""WITH f AS (SELECT doc_id, lang, CASE WHEN toxic = 1 THEN 1 WHEN quality = 0 THEN 2 ELSE 9 END AS lane FROM documents JOIN labels USING (doc_id)) SELECT lang, doc_id, lane, row_number() OVER (PARTITION BY lang ORDER BY lane, doc_id) AS card FROM f WHERE lane < 9""")
-def card_numbers(spark, d):
-    """One counter of cards across lanes, within each document group."""
-    lane = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 0, 2).otherwise(9)
-    own = T(spark, d, "documents").select("doc_id", "lang").join(T(spark, d, "labels"), "doc_id").withColumn("lane", lane).where("lane < 9")
-    return own.select("lang", "doc_id", "lane", F.row_number().over(Window.partitionBy("lang").orderBy("lane", "doc_id")).alias("card"))
-
-
 @query("""SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY md5('s' || doc_id), doc_id) AS rn FROM documents) WHERE rn <= 2""")
 def even_sample(spark, d):
     return rel.top_k(T(spark, d, "documents"), ["lang", "source"], [F.md5(F.concat(F.lit("s"), F.col("doc_id").cast("string"))), F.col("doc_id")], 2).select("lang", "doc_id")
@@ -247,28 +232,6 @@ def standalone_cites(spark, d):
     return _STAND.frame(spark).select("id", alone.alias("standalone"), F.when(alone & (F.col("name") != ""), whole).alias("citation"))
 
 
-_PREFIX = Fixture("prefix string, ruling string", [("Doc 1", "one"), ("Doc 12", "twelve")])
-
-
-@query(f"""SELECT doc_id, (SELECT ruling FROM {_PREFIX.sql} WHERE starts_with('Doc ' || doc_id, prefix) ORDER BY length(prefix) DESC LIMIT 1) AS ruling FROM documents""")
-def prefix_rulings(spark, d):
-    """Rulings keyed by a prefix: the longest one wins. The rulings are few and listed, so they are broadcast."""
-    docs = T(spark, d, "documents").select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("c"))
-    joined = docs.join(F.broadcast(_PREFIX.frame(spark)), F.col("c").startswith(F.col("prefix")), "left")
-    return rel.first_wins(joined, ["doc_id"], [F.desc(F.length("prefix"))]).select("doc_id", "ruling")
-
-
-_KNOWN = Fixture("fake string", [("410 U.S. 113",), ("9 F.4th 1",)])
-_SEEN = Fixture("id int, cite string", [(1, "Roe v. Wade, 410 U.S. 113 (1973)"), (2, "A v. B, 2 U.S. 2"), (3, "C v. D, 19 F.4th 1")])
-
-
-@query(f"SELECT id, EXISTS (SELECT 1 FROM {_KNOWN.sql} WHERE contains(cite, fake)) AS known FROM {_SEEN.sql}")
-def known_fakes(spark, d):
-    """Substring reference: the list of fakes is small and broadcast."""
-    hit = _SEEN.frame(spark).join(F.broadcast(_KNOWN.frame(spark)), F.col("cite").contains(F.col("fake")), "left_semi").select("id").withColumn("known", F.lit(True))
-    return _SEEN.frame(spark).join(hit, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
-
-
 _DIAG = Fixture("id int, message string, score double", [(1, "Year 1999 could be verified", 0.9), (2, "Court mismatch", 0.5), (3, None, 0.86), (4, "Court mismatch", 0.2), (5, None, 0.1)])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verilane.functions import rules, text
 from verilane.operators import relational as rel
 from verilane.operators import screening
+from verilane.operators.passages import occurrences
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -28,10 +29,10 @@ def query(sql: str | None):
 
 
 def _hits(spark, d):
-    """Verbatim occurrences: the passage is rewritten, the text only lower-cased and its white space collapsed."""
+    """Verbatim occurrences: the passage is rewritten, the text only lower-cased and its white space collapsed. item_id, doc_id and the place of the first one."""
     needles = T(spark, d, "benchmark").select("item_id", F.lower(text.quote_key(F.col("text"))).alias("needle"))
     docs = T(spark, d, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"\s+", " ").alias("haystack"))
-    return rel.passages_in(needles, docs, key="doc_id")
+    return occurrences(needles, docs, "doc_id").join(needles, "needle").select("item_id", "doc_id", "needle", "at")
 
 
 _NEEDLE = r"""lower(trim(regexp_replace(regexp_replace(replace(regexp_replace(translate(text, '“”‘’', '""'''''), '\[[^\]]*\]', '', 'g'), '…', ' '), '\.{3,}', ' ', 'g'), '\s+', ' ', 'g')))"""
@@ -67,7 +68,8 @@ def quote_worst_floor(spark, d):
 SELECT item_id, doc_id, CASE WHEN greatest(p - 30, 1) > 1 THEN '...' ELSE '' END || substring(haystack, greatest(p - 30, 1), least(p + n + 30, length(haystack) + 1) - greatest(p - 30, 1))
 || CASE WHEN least(p + n + 30, length(haystack) + 1) <= length(haystack) THEN '...' ELSE '' END AS context FROM q""")
 def context_window(spark, d):
-    hits = _hits(spark, d).withColumn("at", F.expr("locate(needle, haystack)"))
+    docs = T(spark, d, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"\s+", " ").alias("haystack"))
+    hits = docs.join(_hits(spark, d), "doc_id")
     return hits.select("item_id", "doc_id", text.context_window(F.col("haystack"), F.col("at"), F.length("needle"), 30).alias("context"))
 
 
@@ -306,14 +308,6 @@ def toa_body_diff(spark, d):
     return sides.groupBy(F.when(F.col("a") == 0, "only_first").when(F.col("u") == 0, "only_second").otherwise("both").alias("side")).agg(F.count("*").alias("n"), F.min("word").alias("least"))
 
 
-@query("""WITH u AS (SELECT source AS k, doc_id * 3 AS ord FROM documents UNION ALL SELECT c_mktsegment, c_custkey * 3 + 1 FROM customer UNION ALL SELECT p_brand, p_partkey * 3 + 2 FROM part)
-SELECT k, ord, row_number() OVER (ORDER BY ord) AS place FROM (SELECT k, min(ord) AS ord FROM u WHERE k IS NOT NULL GROUP BY k)""")
-def ordered_union_distinct(spark, d):
-    """Different keys of three lists by where they were first seen; few enough to be numbered in one place."""
-    parts = [T(spark, d, t).select(F.col(k).alias("k"), (F.col(i) * 3 + at).alias("ord")) for at, (t, k, i) in enumerate((("documents", "source", "doc_id"), ("customer", "c_mktsegment", "c_custkey"), ("part", "p_brand", "p_partkey")))]
-    return rel.first_seen(parts[0].unionByName(parts[1]).unionByName(parts[2]), "k", "ord").withColumn("place", F.row_number().over(Window.orderBy("ord")))
-
-
 _CELL = "SELECT lang, source, doc_id, CAST(n_chars AS DOUBLE) AS x FROM documents"
 _BASE = f"c AS ({_CELL}), m AS (SELECT lang, source, median(x) AS med, count(x) AS n FROM c GROUP BY ALL), b AS (SELECT lang, source, med, n, median(abs(x - med)) AS mad FROM c JOIN m USING (lang, source) GROUP BY ALL)"
 

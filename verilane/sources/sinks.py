@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html import escape
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LANES = ("Red", "Yellow", "CheckCite", "Green", "Gray")
@@ -31,9 +31,11 @@ def merged_manifest(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def distinct_names(df: DataFrame, base: str, order: list[str]) -> DataFrame:
-    """name: base, and from its second use on with " (n)" after it."""
-    at = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return df.withColumn("name", F.when(at == 1, F.col(base)).otherwise(F.format_string("%s (%d)", F.col(base), at)))
+    """name: base, and from its second use on with " (n)" after it; a base may be used by any number of rows."""
+    from verilane.operators.ranges import numbered
+
+    own, at = numbered(df, [base], [F.col(c) for c in order], "_use"), F.col("_use")
+    return own.withColumn("name", F.when(at == 1, F.col(base)).otherwise(F.format_string("%s (%d)", F.col(base), at))).drop("_use")
 
 
 def stamp(spark, path: str, verb: str, **counts: int) -> None:
@@ -80,9 +82,10 @@ def append_flags(flags: DataFrame, path: str) -> None:
 def append_unless_contained(old: DataFrame, new: DataFrame, key: str, order: list) -> DataFrame:
     """Of new, the rows whose key no old entry (column entry) contains, each key once, the first under order.
 
-    A key is compared with an entry only if they share the key's longest inner word, so it is an equi-join; see passages_in.
+    All keys are looked for in one scan of the entries; see operators.passages.
     """
-    from verilane.operators.relational import first_wins, passages_in
+    from verilane.operators.passages import passages_in
+    from verilane.operators.relational import first_wins
 
     held = passages_in(new.select(F.col(key).alias("_needle")).where(F.length(key) > 0).distinct(), old.select(F.col("entry").alias("_entry")), "_needle", "_entry").select(F.col("_needle").alias(key)).distinct()
     return first_wins(new.where(F.length(key) > 0).join(held, key, "left_anti"), [key], order)

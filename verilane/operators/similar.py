@@ -98,9 +98,10 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 class TextSets:
     """The different texts of a table as sets. any_id tells rows apart as well as it can, so that a text's copies needn't meet."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", any_id: str | None = None, words: int = WORDS, alike: str = ALIKE):
+    def __init__(self, docs: DataFrame, text: str = "text", any_id: str | None = None, words: int = WORDS, alike: str = ALIKE, folded: Column | None = None):
+        """folded: the text whose words count, lower-cased as a rule."""
         self.words, self.alike = words, Fraction(alike)
-        self.rows = docs.select(digest(F.col(text)).alias("t"), (F.col(any_id).cast("string") if any_id else F.lit(None).cast("string")).alias("i"), F.lower(text).cast("binary").alias("text"))
+        self.rows = docs.select(digest(F.col(text)).alias("t"), (F.col(any_id).cast("string") if any_id else F.lit(None).cast("string")).alias("i"), (F.lower(text) if folded is None else folded).cast("binary").alias("text"))
         frequent, counts = _frequent(self.rows.select("t", "text"), words)
         alike_, words_ = self.alike, words
 

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from verilane.llm import resemblance
 
@@ -17,13 +20,17 @@ def plain_kept(rows):
     """The smallest id of each component of rows of different ids, all pairs compared."""
     sets = {k: shingles(t) for k, t in rows}
     left = {k: k for k in sets}
-    changed = True
-    while changed:
-        changed = False
-        for a in sets:
-            for b in sets:
-                if left[b] < left[a] and alike(sets[a], sets[b]):
-                    left[a], changed = left[b], True
+
+    def root(k):
+        while left[k] != k:
+            k = left[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if b < a and alike(sets[a], sets[b]):
+                x, y = sorted((root(a), root(b)))
+                left[y] = x
     return sorted(k for k in left if left[k] == k)
 
 
@@ -46,10 +53,20 @@ def test_stage_finds_near_copies_against_all_pairs(spark, tmp_path):
     assert sorted(r.doc_id for r in out.collect()) == plain_kept(rows)
 
 
-def test_crowded_keys(spark):
-    rng = random.Random(6)
-    base = [f"w{k}" for k in range(300)]
-    rows = [(k, copies(rng, base, 2)) for k in range(100)] + [(500 + k, " ".join(f"v{rng.randrange(999)}" for _ in range(90))) for k in range(20)]
+@pytest.mark.parametrize(("n", "words", "edits"), [(100, 300, 3), (300, 60, 8), (600, 60, 8)])
+def test_crowds_lose_no_link(spark, n, words, edits):
+    """Uneven copies of one text: many are alike only through others."""
+    rng = random.Random(n)
+    base = [f"w{k}" for k in range(words)]
+    rows = [(k, copies(rng, base, rng.randrange(edits))) for k in range(n)] + [(5000 + k, " ".join(f"v{rng.randrange(999)}" for _ in range(90))) for k in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot in (4, 10**6):
-        assert sorted(r.doc_id for r in resemblance.keep_one(docs, hot).collect()) == plain_kept(rows)
+    assert sorted(r.doc_id for r in resemblance.keep_one(docs).collect()) == plain_kept(rows)
+
+
+def test_columns_of_any_name_and_type_are_kept(spark):
+    rows = [(1, "a b c d e f", "mongo-1", True, "x", {"k": 1}, 7), (2, "a b c d e F", "mongo-2", None, "y", None, 8), (2, "other", "mongo-3", False, "z", {}, 9), (None, "lone text", "mongo-4", True, None, {"a": None}, 1), (3, "other", "m", True, "w", {"q": 2}, 2), (1, "a b c d e f", "mongo-1", True, "x", {"k": 2}, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _none boolean, _h string, tags map<string,int>, t int").withColumns({"s": F.lit("clash"), "root": F.lit(1.5), "none": F.array(F.lit(1)), "rank": F.lit("r"), "_c0": F.lit("c")})
+    out = resemblance.keep_one(docs)
+    assert out.schema == docs.schema
+    got = {(r.doc_id, r["_id"], r["_none"], r["_h"], r.t, r.s, r["_c0"]) for r in out.collect()}
+    assert got == {(1, "mongo-1", True, "x", 7, "clash", "c"), (2, "mongo-3", False, "z", 9, "clash", "c"), (None, "mongo-4", True, None, 1, "clash", "c")} and out.count() == 3

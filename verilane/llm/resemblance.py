@@ -1,48 +1,44 @@
-"""Near copies for the pipeline: SimHash and Golay keys first, and then what they can't reach.
+"""Near copies for the pipeline: SimHash and Golay keys first, and then, exactly, what they can't reach.
 
 Contract. Words are as in simhash: bytes A-Z lower-cased, runs of bytes outside 0x20 and 0x09-0x0D. A shingle is five
 consecutive words (fewer words: the whole sequence; none: no shingle, and texts without one resemble each other). Texts whose sets of shingles have a
-Jaccard similarity of SIMILARITY or more are linked; a component is what links reach. Every link is verified on the whole sets of XXH64 hashes.
+Jaccard similarity of SIMILARITY or more are linked; a component is what links reach. Every link is verified on the whole sets of 64-bit hashes.
 
 Candidates. simhash.links joins the fingerprints of the five-word shingles through fuzzy Golay keys, as the operator of that name does. A pair at
-0.8 differs in some ten of 64 bits, far outside what Golay keys join, so there are also BANDS keys of ROWS minima each: a pair at exactly 0.8
-shares none of them with a chance of (1 - 0.8^4)^24, 3 in a million. Equal texts collapse to one before any key is made.
+0.8 differs in some ten of 64 bits, far outside what Golay keys join, so the exact similarity join of operators.similar takes their links as known and
+finds the rest: texts that are alike share a shingle of their prefixes, whatever the size of the crowd that shares it, so no link is lost.
 
-Scale. Texts that share a key are compared pair by pair up to HOT of them. Beyond that each is compared with one of them, another
-one for each key, which keeps the number of pairs linear; links that no such comparison meets are missed there.
+Rows. Of each component the row of the smallest id stays, null after all others. An id leaves as one row: of several texts that its id makes first in their
+components the smallest digest, and of rows alike in id and text only one, the first by a digest of the row. Texts of null ids are different documents. Columns of any
+name and type are carried along; null counts as an empty text; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+import string
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verilane.operators.similar import TextSets, digest
+
 from . import simhash
 from .common import checkpointed, map_batches
-from .components import component_labels
-
-SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, ROWS, HOT = 24, 4, 32
-_CHUNK = 1 << 12
 
+SHINGLE, SIMILARITY, SEED = 5, "0.8", 42
 
-def _factors() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    a, b = rng.integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
-    return a << np.uint64(1) | np.uint64(1), b << np.uint64(1)
 
+def folded(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
-_A, _B = _factors()
 
-
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """The hashes of a text's shingles, repeats included."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """The hashes of a folded text's shingles, repeats included."""
+    words = text.split()
     if len(words) < SHINGLE:
         runs = [b" ".join(words)] if words else []
     else:
@@ -50,90 +46,43 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The different hashes, ascending."""
-    return np.unique(shingle_hashes(text))
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One signed key for each band; texts without a shingle have equal keys."""
-    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
-    for start in range(0, len(hashes), _CHUNK):
-        least = np.minimum(least, (hashes[None, start : start + _CHUNK] * _A + _B).min(axis=1))
-    data = least.astype("<u8").tobytes()
-    width = 8 * ROWS
-    digests = [xxhash.xxh64_intdigest(data[k * width : (k + 1) * width], k) for k in range(BANDS)]
-    return np.array(digests, np.uint64).view(np.int64).tolist()
-
-
-def _keyed(batches):
+def _fingerprints(batches):
     for batch in batches:
-        fps, keys = [], []
-        for x in batch.column(1):
-            hashes = shingle_hashes(x.as_py())
-            fps.append(simhash.majority(hashes))
-            keys.append(band_keys(np.unique(hashes)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), batch.column(2)], ["h", "fp", "keys", "doc_id"])
-
-
-def _sets(batches):
-    for batch in batches:
-        sets = pa.array([shingle_set(x.as_py()).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["h", "s"])
-
-
-def _digested(docs: DataFrame) -> DataFrame:
-    """docs with the text's digest h and the id as two columns that are never null."""
-    return docs.withColumns({"_h": F.md5(F.coalesce("text", F.lit(""))), "_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
-
-
-_KEY = ["_h", "_none", "_id"]
+        own = {t: k for k, t in enumerate(batch.column(0).to_pylist())}  # copies within a batch are read once
+        fps = [simhash.majority(shingle_hashes(batch.column(1)[k].as_py())) for k in own.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], ["t", "fp"])
 
 
-def links(classes: DataFrame, rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """Pairs (a, b) of digests whose texts are verified as similar. classes: _KEY, fp, keys, one row for each digest; rows: _KEY, text."""
-    keyed = classes.select(F.col("_h").alias("h"), F.explode("keys").alias("key"))
-    busy = checkpointed(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
-    mild = busy.where(F.col("n") <= hot)
-    pairs = mild.select("key", F.col("h").alias("a")).join(mild.select("key", F.col("h").alias("b")), "key").where("a < b").select("a", "b")
-    crowd = busy.where(F.col("n") > hot)
-    chosen = crowd.groupBy("key").agg(F.min(F.struct(F.xxhash64("h", "key").alias("x"), "h"))["h"].alias("c"))
-    stars = crowd.join(chosen, "key").where("h <> c").select(F.least("h", "c").alias("a"), F.greatest("h", "c").alias("b"))
-    # a fingerprint stands for its texts by the smallest digest; those of linked fingerprints are compared, and each text with its own
-    own = checkpointed(classes.select(F.col("_h").alias("h"), "fp"))
-    first = own.groupBy("fp").agg(F.min("h").alias("c"), F.count("*").alias("n"))
-    alike = simhash.links(own.select("fp").distinct())
+def _golay_links(docs: DataFrame, text: str, sets: DataFrame) -> DataFrame:
+    """Pairs of numbers of texts whose fingerprints are linked or equal; a fingerprint stands for its texts by the smallest number."""
+    marked = map_batches(docs.select(digest(F.col(text)).alias("t"), folded(F.col(text)).cast("binary").alias("text")), _fingerprints, "t binary, fp long")
+    own = checkpointed(sets.where("n > 0").select("s", "t").join(marked.groupBy("t").agg(F.min("fp").alias("fp")), "t").select("s", "fp"))
+    first = own.groupBy("fp").agg(F.min("s").alias("c"), F.count("*").alias("k"))
     ends = first.select(F.col("fp").alias("a"), F.col("c").alias("ca")), first.select(F.col("fp").alias("b"), F.col("c").alias("cb"))
-    golay = alike.join(ends[0], "a").join(ends[1], "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-    same = own.join(first.where("n > 1"), "fp").where("h <> c").select(F.col("c").alias("a"), F.col("h").alias("b"))
-    pairs = checkpointed(pairs.unionByName(stars).unionByName(golay).unionByName(same).distinct())
-    ends = classes.select(*_KEY).join(pairs.select(F.explode(F.array("a", "b")).alias("_h")).distinct(), "_h", "left_semi")
-    # by digest and id, so that copies of one text don't meet in one task; rows alike in both have the same text
-    needed = rows.join(ends, _KEY, "left_semi").groupBy(*_KEY).agg(F.any_value("text").alias("text"))
-    sets = checkpointed(map_batches(needed.select("_h", "text"), _sets, "h string, s array<long>"))
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("s2")), "b")
-    shared = F.size(F.array_intersect("s1", "s2"))
-    return both.where(shared >= SIMILARITY * (F.size("s1") + F.size("s2") - shared)).select("a", "b")
-
-
-def components(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """Each text's digest _h with its smallest id (_none, _id; null after all others) and root, the component's smallest digest."""
-    rows = _digested(docs).select(*_KEY, "text")
-    marked = map_batches(rows.select("_h", "text", F.when(~F.col("_none"), F.col("_id"))), _keyed, "h string, fp long, keys array<long>, doc_id long")
-    grouped = marked.groupBy(F.col("h").alias("_h")).agg(F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.min("doc_id").alias("m"))
-    classes = checkpointed(grouped.select("_h", F.col("m").isNull().alias("_none"), F.coalesce("m", F.lit(0)).alias("_id"), "fp", "keys"))
-    labels = component_labels(links(classes, rows, hot)).withColumnRenamed("node", "_h")
-    return classes.drop("fp", "keys").join(labels, "_h", "left").withColumn("root", F.coalesce("root", "_h"))
-
-
-def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """Of each component the row of the smallest id, null after all others.
-
-    An id leaves as one row: of several texts that its id makes first in their components the smallest digest, and of rows that
-    differ in other columns only the first in their order. Texts of null ids are different documents.
-    """
-    kept = components(docs, hot).groupBy("root").agg(F.min(F.struct("_none", "_id", "_h")).alias("k")).select("k.*")
-    kept = kept.groupBy("_none", "_id", F.when(F.col("_none"), F.col("_h"))).agg(F.min("_h").alias("_h")).select(*_KEY)
-    rank = F.row_number().over(Window.partitionBy(*_KEY).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "text"))
-    rows = _digested(docs).join(kept, _KEY, "left_semi").withColumn("_rank", rank)
-    return rows.where("_rank = 1").select(*docs.columns)
+    linked = simhash.links(own.select("fp").distinct()).join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    same = own.join(first.where("k > 1"), "fp").where("s <> c").select(F.col("c").alias("a"), F.col("s").alias("b"))
+    return linked.unionByName(same)
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """t, the digest of each different text, and root, what all texts of its component have in common."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sets = TextSets(own, "text", "id", SHINGLE, SIMILARITY, folded(F.col("text")))
+    roots = sets.groups(_golay_links(own, "text", sets.sets))
+    # texts without a shingle are one component
+    return roots.join(sets.sets.select("t", "n"), "t").select("t", F.when(F.col("n") > 0, F.col("root")).otherwise(F.lit(b"")).alias("root"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns."""
+    names = [f"_c{k}" for k in range(len(docs.columns))]  # so that no column of docs meets one of ours
+    key, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    rows = docs.toDF(*names).withColumns({"t": digest(text), "none": key.isNull(), "id": F.coalesce(key.cast("long"), F.lit(0))})
+    first = rows.groupBy("t").agg(F.min(F.when(~F.col("none"), F.col("id"))).alias("m"))
+    first = first.select("t", F.col("m").isNull().alias("none"), F.coalesce("m", F.lit(0)).alias("id"))
+    kept = components(docs.select("doc_id", "text")).join(first, "t").groupBy("root").agg(F.min(F.struct("none", "id", "t")).alias("k")).select("k.*")
+    kept = kept.groupBy("none", "id", F.when(F.col("none"), F.col("t"))).agg(F.min("t").alias("t")).select("t", "none", "id")
+    # by a digest, since columns may be of types without an order
+    order = F.md5(F.struct(*names).cast("string"))
+    rank = F.row_number().over(Window.partitionBy("t", "none", "id").orderBy(order))
+    return rows.join(kept, ["t", "none", "id"], "left_semi").withColumn("rank", rank).where("rank = 1").select(*names).toDF(*docs.columns)

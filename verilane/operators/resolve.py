@@ -2,7 +2,7 @@
 
 Inputs. citations: ord and parsed (a struct as parse_citation gives it). clusters: cluster_id, case_name, court_id, date_filed, citations
 (array of "volume reporter page"). and, where known, case_name_full, docket_case_name and opinion_text.
-dockets: docket_id, case_name, court_id, date_filed, docket_number. Each stage sees only what the stages
+dockets: docket_id, case_name, court_id, date_filed, docket_number. documents, if known: as operators.dockets takes them. Each stage sees only what the stages
 before have not resolved; candidates are found through shared distinctive name tokens, so no stage compares all pairs. Every
 ranking ends in an id, so results don't depend on the order of rows.
 """
@@ -17,9 +17,11 @@ from verilane.functions.similarity import with_name_similarity
 
 from verilane.sources.session import cut
 
+from .dockets import docket_pairs, is_opinion, name_pairs, with_best_document
 from .relational import first_wins, pending
 
 
+DOCUMENT = "struct<document_id:long,description:string,date_filed:string,page_count:int,is_free:boolean>"
 #: Characters of an opinion that hold its caption. Fixed value.
 HEAD = 500
 
@@ -37,13 +39,6 @@ def exact_lookup(citations: DataFrame, clusters: DataFrame) -> DataFrame:
     return first_wins(asked.join(keyed, "_key"), ["ord"], [F.col("cluster_id")])
 
 
-def _blocked(citations: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Pairs that share a distinctive token of their names, each once."""
-    a = citations.withColumn("_tok", F.explode(text.name_tokens(F.col("parsed.case_name"))))
-    b = candidates.withColumn("_tok", F.explode(text.name_tokens(F.col("case_name"))))
-    return a.join(b, "_tok").drop("_tok")
-
-
 def _parties(rule, caption: Column) -> Column:
     p = F.col("parsed")
     return rule(p["case_name"], p["plaintiff"], p["defendant"], caption)
@@ -76,13 +71,14 @@ def with_captions(clusters: DataFrame) -> DataFrame:
     return clusters.withColumn("opinion_head", F.left("opinion_text", F.lit(HEAD))).drop("opinion_text")
 
 
-def resolve(citations: DataFrame, clusters: DataFrame, dockets: DataFrame) -> DataFrame:
-    """ord, status, cluster_id, docket_id, matched_name, score, stage and warning of every citation.
+def resolve(citations: DataFrame, clusters: DataFrame, dockets: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """ord, status, cluster_id, docket_id, document_id, matched_name, score, stage and warning of every citation.
 
     A hit by location is VERIFIED_PARTIAL where the citation has no name or the cluster no caption. Under another name it is VERIFIED with a
     warning if any caption of the record shows both parties, else WRONG_CASE. Dockets are federal, so a state court's
     citation doesn't reach them. A citation with a location or a WL number that names a federal court is NOT_FOUND, without ids, if the best
-    candidate is of another court.
+    candidate is of another court. A docket is scored by its best document's date; it is VERIFIED_VIA_RECAP if that document is the cited opinion, else
+    VERIFIED_DOCKET_ONLY. A docket without documents has its score discounted unless its number is the cited one.
     """
     p = F.col("parsed")
     citations = cut(citations.withColumn("_court", courts.court_id(p["court"])).withColumn("_state", courts.is_state_citation(p["court"], p["reporter"])))  # else every use of a field would parse the text again
@@ -92,29 +88,34 @@ def resolve(citations: DataFrame, clusters: DataFrame, dockets: DataFrame) -> Da
     differs = F.when(names.formatting_only(p["case_name"], F.col("case_name")), "name_formatting_noise").otherwise("cl_display_name_data_bug")
     unnamed = (F.coalesce(p["case_name"], F.lit("")) == "") | (F.coalesce("case_name", F.lit("")) == "")
     done = lookup.select(
-        "ord", F.when(unnamed, "VERIFIED_PARTIAL").when(F.col("_ok") | F.col("_shown"), "VERIFIED").otherwise("WRONG_CASE").alias("status"), "cluster_id", F.lit(None).cast("long").alias("docket_id"), F.col("case_name").alias("matched_name"),
+        "ord", F.when(unnamed, "VERIFIED_PARTIAL").when(F.col("_ok") | F.col("_shown"), "VERIFIED").otherwise("WRONG_CASE").alias("status"), "cluster_id", F.lit(None).cast("long").alias("docket_id"), F.lit(None).cast("long").alias("document_id"), F.col("case_name").alias("matched_name"),
         F.lit(1.0).alias("score"), F.lit("citation_lookup").alias("stage"), F.when(unnamed, "name_unverified").when(F.col("_shown"), differs).alias("warning"),
     )
     left = pending(citations, done, ["ord"])
     anchored = left.where(p["court"].isNotNull() | p["year"].isNotNull())
-    opinions = _blocked(anchored, clusters).where(rules.temporal_gate(rules.year_of(F.col("date_filed")), p["year"])).dropDuplicates(["ord", "cluster_id"])
+    opinions = name_pairs(anchored, clusters).where(rules.temporal_gate(rules.year_of(F.col("date_filed")), p["year"])).dropDuplicates(["ord", "cluster_id"])
     best = first_wins(scored(opinions, F.col("citations"), F.lit(None).cast("string")), ["ord"], [F.desc("score"), F.col("cluster_id")])
     credible = best.where(F.col("score") >= rules.STOPS_CASCADE)
     deeper = pending(anchored, credible, ["ord"]).where(~F.col("_state"))
-    filed = rules.year_of(F.col("date_filed"))
-    recap = _blocked(deeper, dockets).where(rules.filing_gate(filed, p["year"]) & rules.era_gate(p["year"])).dropDuplicates(["ord", "docket_id"])
+    recap = docket_pairs(deeper, dockets)
+    recap = with_best_document(recap, documents) if documents is not None else recap.withColumn("document", F.lit(None).cast(DOCUMENT))
+    recap = recap.withColumn("date_filed", F.when(F.col("document").isNotNull(), F.col("document.date_filed")).otherwise(F.col("date_filed")))
     bare = scored(recap, F.array().cast("array<string>"), F.col("docket_number"))
-    bare = bare.withColumn("score", F.when(F.col("docket_corroborated"), F.col("score")).otherwise(F.round(F.col("score") * rules.DOCKET_ONLY_FACTOR, 4)))
-    shape = lambda df, cluster, docket, stage, at: df.select("ord", "parsed", "_court", "court_id", "score", "cite_check", "docket_corroborated", cluster.cast("long").alias("cluster_id"), docket.cast("long").alias("docket_id"), F.col("case_name").alias("matched_name"), F.lit(stage).alias("stage"), F.lit(at).alias("_at"))
+    kept = F.col("document").isNotNull() | F.col("docket_corroborated")
+    bare = bare.withColumn("score", F.when(kept, F.col("score")).otherwise(F.round(F.col("score") * rules.DOCKET_ONLY_FACTOR, 4)))
+    best = best.withColumn("document", F.lit(None).cast(DOCUMENT))
+    shape = lambda df, cluster, docket, stage, at: df.select("ord", "parsed", "_court", "court_id", "score", "cite_check", "docket_corroborated", "document", cluster.cast("long").alias("cluster_id"), docket.cast("long").alias("docket_id"), F.col("case_name").alias("matched_name"), F.lit(stage).alias("stage"), F.lit(at).alias("_at"))
     none = F.lit(None)
     pool = shape(best, F.col("cluster_id"), none, "opinion_search", 1).unionByName(shape(bare, none, F.col("docket_id"), "recap_docket_search", 2))
+    pool = pool.withColumn("stage", F.when((F.col("_at") == 2) & F.col("docket_corroborated"), "recap_document_search").otherwise(F.col("stage")))
     top = first_wins(pool, ["ord"], [F.desc("score"), F.col("_at"), F.coalesce("cluster_id", "docket_id")])
-    raw = F.when(F.col("score") < rules.RESOLVES, "NOT_FOUND").when(F.col("_at") == 2, "VERIFIED_DOCKET_ONLY").otherwise("VERIFIED")
+    raw = F.when(F.col("score") < rules.RESOLVES, "NOT_FOUND").when(F.col("_at") == 1, "VERIFIED").when(is_opinion(p, F.col("document")), "VERIFIED_VIA_RECAP").otherwise("VERIFIED_DOCKET_ONLY")
     top = cut(top)
     has_cite = (p["volume"].isNotNull() & p["reporter"].isNotNull() & p["page"].isNotNull()) | p["wl_number"].isNotNull()
     elsewhere = has_cite & F.col("_court").isNotNull() & F.coalesce(F.col("court_id") != F.col("_court"), F.lit(True))
     fallback = top.where(~elsewhere).withColumn("_raw", raw).select(
-        "ord", rules.demoted(F.col("_raw"), has_cite, F.col("cite_check"), F.col("docket_corroborated")).alias("status"), "cluster_id", "docket_id", "matched_name", "score", "stage",
+        "ord", rules.demoted(F.col("_raw"), has_cite, F.col("cite_check"), F.col("docket_corroborated")).alias("status"), "cluster_id", "docket_id",
+        F.when(F.col("_raw") == "VERIFIED_VIA_RECAP", F.col("document.document_id")).cast("long").alias("document_id"), "matched_name", "score", "stage",
         rules.demotion_warning(F.col("_raw"), has_cite, F.col("cite_check")).alias("warning"),
     )
     found = done.unionByName(fallback)
@@ -122,6 +123,6 @@ def resolve(citations: DataFrame, clusters: DataFrame, dockets: DataFrame) -> Da
     status = rules.promoted(F.coalesce("status", F.lit("NOT_FOUND")), no, no, p["court"], p["year"])
     out = citations.select("ord", "parsed").join(found, "ord", "left").withColumn("status", status)
     lost = F.col("status").isin("VERIFICATION_INCOMPLETE", "INSUFFICIENT_DATA")
-    for c in ("cluster_id", "docket_id"):
+    for c in ("cluster_id", "docket_id", "document_id"):
         out = out.withColumn(c, F.when(~lost, F.col(c)))
     return out.drop("parsed")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from verilane.functions import rules, similarity, text
 from verilane.functions.parse import parse_citation
 from verilane.operators import relational as rel
-from verilane.operators import resolve as res
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -395,32 +394,6 @@ def exit_severity(spark, d):
     return SEVERITY.frame(spark).groupBy("batch").agg(F.max(code).alias("code"), F.array_join(F.array_sort(F.collect_list("status")), "; ").alias("statuses"))
 
 
-ASK = [
-    (1, "Obergefell v. Hodges, 576 U.S. 644 (2015)"), (2, "Marbury v. Whitlock, 576 U.S. 644 (2015)"), (3, "Thornton v. Whitfield, 99 F.3d 12 (2d Cir. 1996)"), (4, "Kessler v. Brandt, No. 14-cv-2524 (N.D. Cal. 2016)"), (5, "Nobody v. Nothing, 1 X.Y. 2"), (6, "Ghost v. Phantom, 44 F.3d 55 (1995)"),
-    (7, "(2015), 576 U.S. 644"), (8, "Roe v. Poe, 610 F.2d 12 (5th Cir. 1980)"), (9, "Hall v. Small, 99 N.E.2d 5 (Ind. 2001)"), (10, "Karsten v. Wolfram, 77 F.3d 9 (2d Cir. 1999)"),
-    (11, "Ricky Koch v. Tote Services, 12 F.4th 34 (5th Cir. 2021)"), (12, "Lindqvist v. Marrow, 13 F.4th 35 (1st Cir. 2021)"),
-]
-CLUSTERS = [(10, "Obergefell v. Hodges", "scotus", "2015-06-26", ["576 U.S. 644", "135 S. Ct. 2584"]), (20, "Thornton v. Whitfield", "ca2", "1996-04-02", ["88 F.3d 77"]), (30, "Thornton v. Whitfield", "ca9", "2015-01-01", ["700 F.3d 1"]), (40, None, "ca5", "1980-01-01", ["610 F.2d 12"]), (50, "Karsten v. Wolfram", "ca9", "1999-05-05", ["180 F.3d 20"]), (60, "In re Maritime Claims", "ca5", "2021-02-03", ["12 F.4th 34"]), (70, "Estate of P.", "ca1", "2021-02-03", ["13 F.4th 35"])]
-#: What else is known of some clusters: the full caption, and the opinion's text.
-CAPTIONS = {60: ("Ricky Koch v. Tote Services, Inc.", None), 70: (None, "United States Court of Appeals. LINDQVIST, Appellant, v. MARROW, Appellee. Before the panel."), 10: ("James Obergefell v. Richard Hodges", "Syllabus")}
-DOCKETS = [(700, "Kessler v. Brandt", "cand", "2014-06-01", "3:14-cv-02524-WHO"), (701, "Kessler v. Brandt", "cand", "2024-06-01", "24-cv-1"), (702, "Hall v. Small", "insd", "2001-03-03", "1:01-cv-00044")]
-RESOLVED = Fixture("ord int, status string, cluster_id long, docket_id long, stage string, warning string", [
-    (1, "VERIFIED", 10, None, "citation_lookup", None), (2, "WRONG_CASE", 10, None, "citation_lookup", None), (3, "CITE_UNCONFIRMED", 20, None, "opinion_search", "cite_contradicted"), (4, "VERIFIED_DOCKET_ONLY", None, 700, "recap_docket_search", None), (5, "INSUFFICIENT_DATA", None, None, None, None), (6, "NOT_FOUND", None, None, None, None),
-    (7, "VERIFIED_PARTIAL", 10, None, "citation_lookup", "name_unverified"), (8, "VERIFIED_PARTIAL", 40, None, "citation_lookup", "name_unverified"), (9, "NOT_FOUND", None, None, None, None), (10, "NOT_FOUND", None, None, None, None),
-    (11, "VERIFIED", 60, None, "citation_lookup", "cl_display_name_data_bug"), (12, "VERIFIED", 70, None, "citation_lookup", "cl_display_name_data_bug"),
-])
-
-
-@query(f"SELECT * FROM {RESOLVED.sql}")
-def resolve_cascade(spark, d):
-    """The whole cascade over a worked example; its SQL holds the outcomes derived by hand from the rules."""
-    cites = spark.createDataFrame(ASK, "ord int, citation string").withColumn("parsed", parse_citation(F.col("citation")))
-    rows = [(*r, *CAPTIONS.get(r[0], (None, None))) for r in CLUSTERS]
-    clusters = spark.createDataFrame(rows, "cluster_id long, case_name string, court_id string, date_filed string, citations array<string>, case_name_full string, opinion_text string")
-    dockets = spark.createDataFrame(DOCKETS, "docket_id long, case_name string, court_id string, date_filed string, docket_number string")
-    return res.resolve(cites, clusters, dockets).select("ord", "status", "cluster_id", "docket_id", "stage", "warning")
-
-
 NAMES = Fixture("a string, b string", [("Fink v. Gomez", "David M. Fink v. James H. Gomez, Director"), ("In re Wright", "In re Wright, Minors"), ("Smith v. Jones", "Brown v. Board"), ("", "x")])
 
 

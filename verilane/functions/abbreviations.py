@@ -43,9 +43,9 @@ def written_out(name: Column) -> Column:
     return out
 
 
-def compared(name: Column) -> Column:
-    """A lower-case name with the abbreviations of a comparison written out: words with apostrophes as they stand, else their parts."""
-    table = F.create_map(*[F.lit(x) for pair in COMPARED.items() for x in pair])
+def compared(name: Column, besides: dict[str, str] | None = None) -> Column:
+    """A lower-case name with the abbreviations of a comparison, and other words besides, written out: words with apostrophes as they stand, else their parts."""
+    table = F.create_map(*[F.lit(x) for pair in (COMPARED | (besides or {})).items() for x in pair])
     found = lambda w: F.try_element_at(table, w)
     parts = lambda w: F.array_join(F.transform(F.split(w, "'"), lambda x: F.coalesce(found(x), x)), "'")
     pieces = F.regexp_extract_all(name, F.lit(r"[\w']+|[^\w']+"), F.lit(0))

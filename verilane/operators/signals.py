@@ -21,8 +21,8 @@ REACH = 350
 _NAME = r"[A-Z][A-Za-z'.&-]*(?: [A-Z][A-Za-z'.&-]*){0,4} v\.? [A-Z][A-Za-z'.&-]*(?: [A-Z][A-Za-z'.&-]*){0,4}"
 _LOCATION = r"(\d+ (?:U\.S\.|S\. Ct\.|F\.(?:2d|3d|4th)|F\. Supp\. ?(?:2d|3d)?|WL) \d+)"
 _CITE = rf"({_NAME}), {_LOCATION}"
-#: Code names that no state uses, letters with or without points. Fixed values.
-_WRONG_CODES = [r"\bCal\.?\s*U\.?C\.?C\.?\b", r"\bN\.?Y\.?\s*U\.?C\.?C\.?\s*§\s*\d+-\d+\b"]
+#: States, codes that they don't have under that name, and whether a section number follows. Fixed values.
+WRONG_CODES = [("Cal", "UCC", False), ("NY", "UCC", True)]
 #: Headings with which a brief's body begins. Fixed values.
 BODY_HEADINGS = ["MEMORANDUM OF POINTS", "INTRODUCTION", "PRELIMINARY STATEMENT", "STATEMENT OF", "ARGUMENT", "TO ALL PARTIES"]
 #: Leaked framing of generated text. Fixed values.
@@ -31,6 +31,37 @@ PREAMBLES = [
 ]
 
 
+def wrong_code(text: Column) -> Column:
+    """Whether a state's code is cited by a name that the state doesn't use, with or without points and blanks."""
+    spaced = lambda word: "[. ]*".join(word if word.isupper() else [word])
+    section = r"[. ]*§ *\d+-\d+"
+    return text.rlike("|".join(rf"\b{spaced(state)}[. ]*{spaced(code)}" + (section if numbered else r"\b") for state, code, numbered in WRONG_CODES))
+
+
+#: Months in full. Fixed values.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
+def monthly_claim(text: Column) -> Column:
+    """rate, total, months, flagged and implied of a claim of a monthly rate, a total and the months it is for; null if text makes none.
+
+    What stands before "per month" ends in the rate; after it come the total and, behind "from", two months with their years. The total is flagged if it differs from
+    the rate times the months, both ends included, by more than one rate and a twentieth of the product.
+    """
+    amounts = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"\$(\d[\d,]*)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("long"))
+    sides = F.split(F.lower(text), r"(?:/ *|\bper\s+)month", 2)
+    rest = F.get(sides, F.lit(1))
+    rate, total = F.try_element_at(amounts(F.get(sides, F.lit(0))), F.lit(-1)), F.get(amounts(rest), F.lit(0))
+    words = F.split(F.get(F.split(rest, r"\bfrom\s+", 2), F.lit(1)), r"[\s,.;]+")
+    month = lambda k: F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.get(words, F.lit(k))), F.lit(0).cast("long"))
+    year = lambda k: F.get(words, F.lit(k)).try_cast("int")
+    months = F.when(F.get(words, F.lit(2)) == "to", (year(4) - year(1)) * 12 + month(3) - month(0) + 1).cast("int")
+    want = rate * months
+    flagged = (rate > 0) & (months > 0) & (F.abs(want - total) > F.greatest(rate.cast("double"), 0.05 * want))
+    made = F.struct(rate.alias("rate"), total.alias("total"), months.alias("months"), flagged.alias("flagged"), F.round(F.try_divide(total, rate), 1).alias("implied"))
+    return F.when(rate.isNotNull() & total.isNotNull() & months.isNotNull(), made)
+
+
 def cited(text: Column) -> Column:
     """(name, cite) of every location with a name before it."""
     names, cites = (F.regexp_extract_all(text, F.lit(_CITE), F.lit(k)) for k in (1, 2))
@@ -79,7 +110,7 @@ def screen(docs: DataFrame, key: str, text: str) -> DataFrame:
     c = F.col(text)
     toa = toa_difference(c)
     plain = {
-        "court_contradiction": court_contradiction(c), "statute_grammar": c.rlike("|".join(_WRONG_CODES)), "style_variance": style_variance(c),
+        "court_contradiction": court_contradiction(c), "statute_grammar": wrong_code(c), "style_variance": style_variance(c), "arithmetic": F.coalesce(monthly_claim(c)["flagged"], F.lit(False)),
         "toa_body_diff": F.coalesce((F.size(toa["only_toa"]) > 0) | (F.size(toa["only_body"]) > 0), F.lit(False)), "preamble": F.exists(F.array(*map(F.lit, PREAMBLES)), lambda p: F.lower(c).contains(p)),
     }
     fired = docs.select(key, F.explode(F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in plain.items()]), lambda s: s.isNotNull())).alias("signal"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verilane.functions import rules, text
 from verilane.operators import relational as rel
+from verilane.operators import signals
 from verilane.sources.readers import replay
 from verilane.sources.sinks import distinct_names, merged_manifest
 
@@ -152,24 +153,16 @@ def doc_types(spark, d):
     return _DESCR.frame(spark).select("id", F.when(low.rlike("brief|memorandum of law"), "merits_brief").when(low.contains("motion"), "procedural_motion").when(low.rlike("complaint|answer"), "pleading").alias("doc_type"))
 
 
-_RATES = Fixture("id int, claim string", [
-    (1, "at $1,000 per month he owes $12,000 from January 2020 to December 2020"), (2, "at $1,000/month she owes $30,000 from March 2019 to April 2020"), (3, "no sums"), (4, "$500 per month, in all $1,400 from May 2021 to July 2021"),
-])
-_MON = "January|February|March|April|May|June|July|August|September|October|November|December"
-_RATE = rf"(?i)\$([\d,]+)(?:\.\d+)?\s*(?:/|per\s+)month[^.$]{{0,200}}?\$([\d,]+)(?:\.\d+)?[^.$]{{0,80}}?from\s+({_MON})\s+(\d{{4}})\s+to\s+({_MON})\s+(\d{{4}})"
-
-
-@query(rf"""WITH m AS (SELECT id, CAST(replace(regexp_extract(claim, '{_RATE}', 1), ',', '') AS INTEGER) AS rate, CAST(replace(regexp_extract(claim, '{_RATE}', 2), ',', '') AS INTEGER) AS total,
-(CAST(regexp_extract(claim, '{_RATE}', 6) AS INTEGER) - CAST(regexp_extract(claim, '{_RATE}', 4) AS INTEGER)) * 12 + month(strptime(regexp_extract(claim, '{_RATE}', 5) || ' 2000', '%B %Y')) - month(strptime(regexp_extract(claim, '{_RATE}', 3) || ' 2000', '%B %Y')) + 1 AS months FROM {_RATES.sql} WHERE regexp_matches(claim, '{_RATE}'))
-SELECT id, rate, total, CAST(months AS INTEGER) AS months, abs(rate * months - total) > greatest(rate, 0.05 * rate * months) AS flagged, round(total / rate, 1) AS implied FROM m""")
+@query("""WITH o AS (SELECT o_orderkey, o_custkey % 900 + 100 AS rate, CAST(o_orderkey % 30 + 1 AS INTEGER) AS months, o_orderkey % 4 AS k FROM orders), t AS (SELECT *, rate * months + k * rate AS total FROM o)
+SELECT o_orderkey, rate, total, months, abs(rate * months - total) > greatest(rate, 0.05 * rate * months) AS flagged, round(total / rate, 1) AS implied FROM t WHERE k < 3""")
 def monthly_rates(spark, d):
-    """A rate times the months named, both ends included, against the total named, within one month or a twentieth."""
-    part = lambda k: F.regexp_extract("claim", _RATE, k)
-    month = lambda k: F.array_position(F.array(*map(F.lit, rules.MONTHS)), F.lower(F.left(part(k), F.lit(3)))).cast("int")
-    money = lambda k: F.replace(part(k), F.lit(","), F.lit("")).try_cast("int")
-    own = _RATES.frame(spark).where(F.col("claim").rlike(_RATE)).select("id", money(1).alias("rate"), money(2).alias("total"), ((part(6).try_cast("int") - part(4).try_cast("int")) * 12 + month(5) - month(3) + 1).alias("months"))
-    want = F.col("rate") * F.col("months")
-    return own.withColumn("flagged", F.abs(want - F.col("total")) > F.greatest(F.col("rate").cast("double"), 0.05 * want)).withColumn("implied", F.round(F.col("total") / F.col("rate"), 1))
+    """A claim of every order in words: a rate, a total and the months, read again and reckoned up. A fourth of them names no months."""
+    own = T(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 900 + 100).alias("r"), (F.col("o_orderkey") % 30 + 1).cast("int").alias("n"), (F.col("o_orderkey") % 4).alias("k"), F.trunc("o_orderdate", "month").alias("a"))
+    named = lambda c: F.date_format(c, "MMMM yyyy")
+    money = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
+    period = F.when(F.col("k") < 3, F.concat(F.lit(" from "), named("a"), F.lit(" to "), named(F.add_months("a", F.col("n") - 1)), F.lit("."))).otherwise(".")
+    said = F.concat(F.lit("The tenant pays "), money(F.col("r")), F.when(F.col("k") == 1, "/month").otherwise(" per month"), F.lit(" and owes "), money(F.col("r") * F.col("n") + F.col("k") * F.col("r")), period)
+    return own.select("o_orderkey", signals.monthly_claim(said).alias("c")).where("c is not null").select("o_orderkey", "c.*")
 
 
 @query("""SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, left(regexp_extract(text, '^([^.!?]*[.!?])', 1), 220) AS teaser FROM documents""")

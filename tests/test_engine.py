@@ -146,23 +146,6 @@ def test_streams(spark, tmp_path):
     assert verdicts.windowed_counts(events).first().n == 1
 
 
-def test_largest_cluster_against_all_pairs():
-    import random
-
-    from verilane.operators.clusters import LIKE, largest_cluster
-
-    rng = random.Random(5)
-    for _ in range(30):
-        sets = [frozenset(rng.sample("abcdefghij", rng.randint(4, 6))) for _ in range(12)]
-        group = list(range(12))
-        for a in range(12):
-            for b in range(a):
-                if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= LIKE:
-                    old, new = group[a], group[b]
-                    group = [new if g == old else g for g in group]
-        assert largest_cluster(sets) == max(group.count(g) for g in group)
-    assert largest_cluster([]) == 0
-
 
 def test_strict_names_and_guarded_positions(spark):
     rows = [("Smith v. Jones", "Jones", "Smith v. Jones", True), ("Smith v. Jones", "Jones", "Smith v. Quackenbush", False), ("In re Doe", None, "In re Doe", True), (None, None, "X v. Y", True), ("Smith v. Jones", "Jones", None, False)]

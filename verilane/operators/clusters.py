@@ -1,44 +1,32 @@
-"""Clusters of like propositions within a document: the largest group that chains of pairs at a given Jaccard similarity connect."""
+"""Clusters of like propositions within a document: groups that chains of pairs at a given Jaccard similarity connect."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType
 
-LIKE = 0.6
+from verilane.sources.session import cut
 
+from .components import component_labels
+from .similar import set_pairs
 
-def largest_cluster(sets: list[frozenset]) -> int:
-    """Union-find over pairs that share a token, found through an index of tokens, so unlike pairs are never compared."""
-    parent = list(range(len(sets)))
+#: Token sets of fewer words are no proposition; sets this much alike are one cluster. Fixed values.
+LEAST_WORDS, LIKE = 4, "0.6"
 
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
 
-    seen: dict[str, list[int]] = {}
-    for k, own in enumerate(sets):
-        for j in {j for t in own for j in seen.get(t, ())}:
-            if len(own & sets[j]) >= LIKE * len(own | sets[j]):
-                parent[root(k)] = root(j)
-        for t in own:
-            seen.setdefault(t, []).append(k)
-    sizes: dict[int, int] = {}
-    for k in range(len(sets)):
-        sizes[root(k)] = sizes.get(root(k), 0) + 1
-    return max(sizes.values(), default=0)
+def clusters(propositions: DataFrame, document: str, tokens: str) -> DataFrame:
+    """document, node (a proposition's number), root (its cluster's smallest number) for every proposition of LEAST_WORDS different words or more.
 
+    Equal sets of a document are one node with n, how many they are. Pairs come from the similarity join within a document, clusters from components
+    over all documents at once, so a long document is no single task.
+    """
+    own = propositions.select(F.col(document).alias("_d"), F.array_sort(F.array_distinct(tokens)).alias("_t")).where(F.size("_t") >= LEAST_WORDS)
+    nodes = cut(own.groupBy("_d", "_t").agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    labels = component_labels(set_pairs(nodes, "node", "_t", LIKE, ["_d"]).select("a", "b"))
+    return nodes.join(labels, "node", "left").select(F.col("_d").alias(document), "node", F.coalesce("root", "node").alias("root"), "n")
 
-@pandas_udf(IntegerType())
-def _largest(column: pd.Series) -> pd.Series:
-    return pd.Series([largest_cluster([frozenset(x) for x in own] if own is not None else []) for own in column], dtype="int32")
 
-
-def max_cluster(propositions: Column) -> Column:
-    """The size of the largest cluster of an array of token arrays."""
-    return _largest(F.filter(propositions, lambda p: F.size(p) >= 4))
+def largest_clusters(propositions: DataFrame, document: str, tokens: str) -> DataFrame:
+    """document, n_clusters and max_cluster, the size of its largest cluster; documents without a proposition have no row."""
+    sizes = clusters(propositions, document, tokens).groupBy(document, "root").agg(F.sum("n").alias("size"))
+    return sizes.groupBy(document).agg(F.count("*").alias("n_clusters"), F.max("size").alias("max_cluster"))

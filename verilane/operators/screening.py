@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,17 +13,47 @@ from verilane.functions.rules import robust_z
 LEAST_CELL, OUTLIER = 3, 3.5
 
 
+#: Shares of a cell between which its median lies for certain, and the sketch's accuracy: ranks are right to this part of the cell.
+BETWEEN, ACCURACY = (0.49, 0.51), 1000
+
+
+def exact_median(df: DataFrame, cell: list[str], x: Column, out: str) -> DataFrame:
+    """cell, out (the exact median of x, nulls left out) and n (the number of values), in bounded memory whatever a cell holds.
+
+    A sketch of fixed size gives two values of each cell between which its median lies; then only the values between them are counted one by one and ordered,
+    with all smaller ones as one number.
+    """
+    own = df.select(*cell, x.cast("double").alias("_x")).where("_x is not null")
+    sketch = own.groupBy(*cell).agg(F.percentile_approx("_x", list(BETWEEN), ACCURACY).alias("_q"), F.count("_x").alias("n"))
+    ends = sketch.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(cell)], "n", F.col("_q")[0].alias("_low"), F.col("_q")[1].alias("_high"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(cell)))
+    near = own.join(ends, same).where(F.col("_x") <= F.col("_high"))
+    counted = near.groupBy(*cell, "n", F.when(F.col("_x") >= F.col("_low"), F.col("_x")).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*cell).orderBy(F.col("_v").asc_nulls_first()))
+    placed = counted.withColumn("_upto", upto)
+    at = lambda rank: F.max(F.when((F.col("_upto") - F.col("_c") < rank) & (rank <= F.col("_upto")), F.col("_v")))
+    both = (at(F.floor((F.col("n") + 1) / 2)) + at(F.ceil((F.col("n") + 1) / 2))) / 2
+    return placed.groupBy(*cell, "n").agg(both.alias(out)).select(*cell, out, "n")
+
+
+def _in_cells(df: DataFrame, cells: DataFrame, cell: list[str]) -> DataFrame:
+    """df joined to its cells; null cells are cells."""
+    named = cells.withColumnsRenamed({c: f"_k{k}" for k, c in enumerate(cell)})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(cell)))
+    return df.join(named, same).drop(*[f"_k{k}" for k in range(len(cell))])
+
+
 def median_mad(df: DataFrame, cell: list[str], value: str) -> DataFrame:
-    """Per cell the median, the median absolute deviation and the number of values: two passes, both exact."""
-    centre = df.where(F.col(value).isNotNull()).groupBy(*cell).agg(F.median(F.col(value).cast("double")).alias("median"), F.count(value).alias("n"))
-    apart = df.join(centre, cell).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    return apart.groupBy(*cell, "median", "n").agg(F.median("_d").alias("mad")).select(*cell, "median", "mad", "n")
+    """Per cell the median, the median absolute deviation and the number of values, all exact."""
+    centre = exact_median(df, cell, F.col(value), "median")
+    apart = _in_cells(df.where(F.col(value).isNotNull()), centre.drop("n"), cell)
+    mads = exact_median(apart, cell, F.abs(F.col(value) - F.col("median")), "mad").drop("n")
+    return _in_cells(centre, mads, cell).select(*cell, "median", "mad", "n")
 
 
 def z_scores(df: DataFrame, cell: list[str], value: str) -> DataFrame:
     """df with z, its robust deviation within its cell, and outlier."""
-    base = median_mad(df, cell, value)
-    out = df.join(base, cell)
+    out = _in_cells(df, median_mad(df, cell, value), cell)
     return out.withColumn("z", robust_z(F.col(value), F.col("median"), F.col("mad"))).withColumn("outlier", F.abs("z") >= OUTLIER)
 
 

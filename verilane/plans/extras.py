@@ -149,12 +149,3 @@ def packed_jobs(spark, d):
     """One job for each opinion with the claims that still wait, in order."""
     open_ = _QUEUE.frame(spark).where(rules.assessable(F.col("opinion"), F.col("status")) & ~F.col("seen"))
     return open_.groupBy("opinion").agg(F.array_join(F.array_sort(F.collect_list("claim")), ";").alias("claims"), F.count("*").alias("n"))
-
-
-@query(None)
-def proposition_clusters(spark, d):
-    """The largest cluster of like lines of each document."""
-    from verilane.operators.clusters import max_cluster
-
-    lines = F.transform(F.split("text", "\n"), lambda x: text.tokens(x, 3))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", max_cluster(lines).alias("max_cluster"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verilane.functions import rules, text
 from verilane.operators import relational as rel
+from verilane.operators.clusters import largest_clusters
 from verilane.operators.passages import occurrences
 from verilane.operators.ranges import in_intervals, longest_prefix, numbered, without_gutters
 from verilane.operators.similar import TextSets, digest, set_pairs
@@ -101,6 +102,19 @@ def weighted_score(spark, d):
     return pairs.select(F.col("a").alias("p_partkey"), F.col("b").alias("candidate"), F.col("n_a").alias("copies"), F.col("n_b").alias("candidate_copies"), F.round(score, 3).alias("score"))
 
 
+_LINES = r"""l AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda t: len(t) >= 3))) AS tok FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+n AS (SELECT row_number() OVER (ORDER BY doc_id, tok) AS node, * FROM (SELECT doc_id, tok, count(*) AS n FROM l WHERE len(tok) >= 4 GROUP BY ALL))"""
+
+
+@query(f"""WITH RECURSIVE {_LINES}, e AS (SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.node <> b.node WHERE len(list_intersect(a.tok, b.tok)) * 5 >= 3 * len(list_distinct(list_concat(a.tok, b.tok)))),
+r AS (SELECT node, node AS reach FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach), c AS (SELECT node, min(reach) AS root FROM r GROUP BY node),
+s AS (SELECT doc_id, root, sum(n) AS size FROM n JOIN c USING (node) GROUP BY ALL) SELECT doc_id, count(*) AS n_clusters, CAST(max(size) AS BIGINT) AS max_cluster FROM s GROUP BY doc_id""")
+def proposition_clusters(spark, d):
+    """Clusters of like lines of each document, connected over all documents at once."""
+    lines = T(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", text.tokens(F.col("line"), 3).alias("tok"))
+    return largest_clusters(lines, "doc_id", "tok")
+
+
 # --- passages
 
 _CALLS = """p AS (SELECT DISTINCT array_to_string(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ')[:2], ' ') AS phrase FROM conversations WHERE role = 'user'),

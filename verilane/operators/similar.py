@@ -15,8 +15,8 @@ are compared, and of each list those with at least one text outside the list's l
 compared, so the result is exact. A crowd of near copies costs as many comparisons as it has texts; a text that no pivot reaches meets all the texts of its lists,
 most of which the shared prefixes rule out.
 
-Scale. Texts are read where they lie, twice; what is shuffled are a set's digest and prefix once, a row for each token of a prefix once or twice, and the texts
-of candidates. Lists are counted by aggregation and joined by keys that skew handling can split. Repeated rows and hot texts collapse within each
+Scale. What is shuffled are a set's digest and prefix once, a row for each token of a prefix, the texts once or twice to fetch the candidates' ones, and
+the tokens of each candidate once. Lists are counted by aggregation and joined by keys that skew handling can split. Repeated rows and hot texts collapse within each
 task before the shuffle. Nulls: a null text has no shingle and is in no pair. Texts without a shingle are in no pair and are groups of their own.
 """
 
@@ -35,7 +35,7 @@ from verilane.sources.session import cut
 
 WORDS, ALIKE = 5, "0.8"
 #: Rows of the sample that finds frequent tokens, the most tokens taken for frequent, and how often they are in the sample at least.
-SAMPLE_ROWS, FREQUENT, OFTEN = 20_000, 200_000, 4
+SAMPLE_ROWS, FREQUENT, OFTEN = 8_000, 200_000, 4
 #: Rows and bytes of a batch that crosses to Python.
 _ROWS, _BYTES = "2000", str(16 << 20)
 #: Bits of a text's number; its partition is in those above the 33rd.
@@ -138,22 +138,30 @@ class TextSets:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of different pairs (a, b) of numbers those that are alike, with shared and total, the sizes of intersection and union."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-        needed = self.sets.join(ends, "s").select("s", "t", F.col("i").alias("own"))
-        texts = self.rows.join(needed, (F.col("i").eqNullSafe(F.col("own"))) & (self.rows["t"] == needed["t"])).select("s", "text")
+        texts, tokens = self._texts, self._tokens
+        # of a pair, the text of b is fetched with the pair and travels as tokens to the one of a, which many pairs may share
+        own = tokens(texts(pairs.join(self.sets.select(F.col("s").alias("b"), "t", F.col("i").alias("own")), "b").select("a", "b", "t", "own")), "a long, b long", "y")
+        shared = tokens(texts(self.sets.join(pairs.select(F.col("a").alias("s")).distinct(), "s").select(F.col("s").alias("a"), "t", F.col("i").alias("own"))), "a long", "x").distinct()
+        both = own.join(shared, "a").withColumn("shared", F.size(F.array_intersect("x", "y"))).withColumn("total", F.size("x") + F.size("y") - F.col("shared"))
+        return both.where(F.col("shared") * F.lit(self.alike.denominator) >= F.col("total") * F.lit(self.alike.numerator)).select("a", "b", "shared", "total").distinct()
+
+    def _texts(self, named: DataFrame) -> DataFrame:
+        """named (with t and own, a text's digest and one of its rows' id) with the text instead."""
+        return self.rows.join(named, self.rows["i"].eqNullSafe(named["own"]) & (self.rows["t"] == named["t"])).select(*[named[c] for c in named.columns if c not in ("t", "own")], "text")
+
+    def _tokens(self, named: DataFrame, schema: str, out: str) -> DataFrame:
+        """named with the text's tokens instead of the text. Repeated rows of a task give one row."""
         words = self.words
 
         def made(batches):
-            seen: set[int] = set()
+            seen: set[tuple] = set()
             for batch in batches:
-                fresh = [k for k, s in enumerate(batch.column(0).to_pylist()) if s not in seen and not seen.add(s)]
-                arrays = [shingles(batch.column(1)[k].as_py() or b"", words) for k in fresh]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), _lists(arrays)], ["s", "tokens"])
+                keys = list(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True))
+                fresh = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+                arrays = [shingles(batch.column(batch.num_columns - 1)[k].as_py() or b"", words) for k in fresh]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(fresh, pa.int64())) for c in batch.columns[:-1]), _lists(arrays)], [*batch.schema.names[:-1], out])
 
-        tokens = cut(_map(texts, made, "s long, tokens array<long>").groupBy("s").agg(F.any_value("tokens").alias("tokens")))
-        both = pairs.join(tokens.select(F.col("s").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("s").alias("b"), F.col("tokens").alias("y")), "b")
-        both = both.withColumn("shared", F.size(F.array_intersect("x", "y"))).withColumn("total", F.size("x") + F.size("y") - F.col("shared"))
-        return both.where(F.col("shared") * F.lit(self.alike.denominator) >= F.col("total") * F.lit(self.alike.numerator)).select("a", "b", "shared", "total")
+        return _map(named, made, f"{schema}, {out} array<long>")
 
     def pairs(self) -> DataFrame:
         """All pairs of different texts that are alike: their digests t1 and t2, shared and total."""
@@ -170,20 +178,21 @@ class TextSets:
         stars = lists.where("s <> pivot").select(F.col("pivot").alias("a"), F.col("s").alias("b")).distinct()
         if known is not None:
             stars = stars.unionByName(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-        sizes = self.sets.select("s", "n")
-        first = cut(self.verified(cut(self._of_like_size(stars, sizes))).select("a", "b"))
-        roots = component_labels(first).withColumnsRenamed({"node": "s"})
-        own = lists.select("token", "s", "n").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
-        own = cut(own)
-        # lists that several parts meet in; all pairs of one largest part and any other text, and of texts outside it
-        parts = own.groupBy("token", "root").agg(F.count("*").alias("k"))
-        largest = parts.groupBy("token").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("n_parts")).where("n_parts > 1").select("token", "main")
-        mixed = own.join(largest, "token")
+        found = cut(self.verified(cut(self._of_like_size(stars))).select("a", "b"))
+        mixed = self._mixed(lists.select("token", "s", "n"), found)
+        # all pairs of one text outside the list's largest part and any text of another part
         outside = mixed.where("root <> main").select("token", F.col("s").alias("a"), F.col("n").alias("x"), F.col("root").alias("r"))
         inside = mixed.select("token", F.col("s").alias("b"), F.col("n").alias("y"), F.col("root").alias("q"), (F.col("root") == F.col("main")).alias("within"))
         met = outside.join(inside, "token").where((F.col("r") != F.col("q")) & (F.col("within") | (F.col("a") < F.col("b"))) & self.near(F.col("x"), F.col("y")))
         rest = cut(self._counted(met.select("token", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.col("a") < F.col("b"), F.col("y")).otherwise(F.col("x")).alias("y"))))
-        return first.unionByName(self.verified(rest).select("a", "b"))
+        return found.unionByName(self.verified(rest).select("a", "b"))
+
+    def _mixed(self, lists: DataFrame, found: DataFrame) -> DataFrame:
+        """Rows of the lists in which several parts that found connects meet, with root, their part, and main, the list's largest part."""
+        own = lists.join(component_labels(found).withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+        parts = own.groupBy("token", "root").agg(F.count("*").alias("k"))
+        main = parts.groupBy("token").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("n_parts")).where("n_parts > 1").select("token", "main")
+        return cut(own.join(main, "token"))
 
     def _counted(self, met: DataFrame) -> DataFrame:
         """Different pairs (a, b), met once for each token that their prefixes share, that share enough of them to be alike.
@@ -197,8 +206,8 @@ class TextSets:
         most = F.col("c") + F.greatest(behind(x), behind(y))
         return counted.where(most * (t.numerator + t.denominator) >= (x + y) * t.numerator).select("a", "b")
 
-    def _of_like_size(self, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-        ends = sizes.select(F.col("s").alias("a"), F.col("n").alias("x")), sizes.select(F.col("s").alias("b"), F.col("n").alias("y"))
+    def _of_like_size(self, pairs: DataFrame) -> DataFrame:
+        ends = self.sets.select(F.col("s").alias("a"), F.col("n").alias("x")), self.sets.select(F.col("s").alias("b"), F.col("n").alias("y"))
         return pairs.join(ends[0], "a").join(ends[1], "b").where(self.near(F.col("x"), F.col("y"))).select("a", "b")
 
     def groups(self, known: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verilane.functions import rules, text
+from verilane.operators import citestream
 from verilane.operators import relational as rel
 from verilane.operators.clusters import largest_clusters
 from verilane.operators.passages import occurrences
@@ -204,3 +205,40 @@ def card_numbers(spark, d):
     lane = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 0, 2).otherwise(9)
     own = T(spark, d, "documents").select("doc_id", "lang").join(T(spark, d, "labels"), "doc_id").withColumn("lane", lane).where("lane < 9")
     return numbered(own.select("lang", "doc_id", "lane"), ["lang"], [F.col("lane"), F.col("doc_id")], "card")
+
+
+# --- citation streams
+
+
+def _briefs(spark, d):
+    """A brief for each customer: its orders by date, each of which cites one of three cases in full, in short, by name or by Id."""
+    own = T(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 4).alias("k"), (F.floor(F.col("o_orderkey") / 4) % 3).alias("j"), "o_orderdate")
+    word = F.translate(F.lpad((F.col("o_custkey") * 10 + F.col("j")).cast("string"), 9, "0"), "0123456789", "bcdfghjklm")
+    page = F.col("o_custkey") % 500 + 1
+    said = (
+        F.when(F.col("k") == 0, F.format_string("See P%s v. D%s, %d F.3d %d (holding so).", word, word, F.col("j") + 100, page))
+        .when(F.col("k") == 1, F.lit("Id. at 5."))
+        .when(F.col("k") == 2, F.format_string("See %d F.3d at 7.", F.col("j") + 100))
+        .otherwise(F.format_string("See D%s, supra, at 9.", word))
+    )
+    lines = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", said.alias("said"))))
+    return own.groupBy("o_custkey").agg(F.array_join(F.transform(lines, lambda x: x["said"]), " ").alias("text"))
+
+
+_STREAM = """e AS (SELECT o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS ord, o_orderkey % 4 AS k, o_orderkey // 4 % 3 AS j FROM orders),
+n AS (SELECT *, CASE WHEN k = 0 OR EXISTS (SELECT 1 FROM e f WHERE f.c = e.c AND f.k = 0 AND f.j = e.j AND f.ord < e.ord) THEN j END AS t FROM e WHERE k <> 1),
+a AS (SELECT e.c, e.ord, e.k, CASE WHEN e.k <> 1 THEN any_value(e.j) FILTER (e.k = 0 OR x.t IS NOT NULL) ELSE arg_max(m.s, m.ord).t END AS t FROM e LEFT JOIN n x ON x.c = e.c AND x.ord = e.ord LEFT JOIN (SELECT *, struct_pack(t := t) AS s FROM n) m ON e.k = 1 AND m.c = e.c AND m.ord < e.ord GROUP BY e.c, e.ord, e.k),
+r AS (SELECT *, t IS NOT NULL AND row_number() OVER (PARTITION BY c, t ORDER BY ord) > 1 AS again FROM a)"""
+
+
+@query(f"""WITH {_STREAM} SELECT c AS o_custkey, CAST(ord AS INTEGER) AS ord, CASE k WHEN 0 THEN 'full' WHEN 1 THEN 'id' WHEN 2 THEN 'short' ELSE 'supra' END AS kind, (t + 100) || ' F.3d ' || (c % 500 + 1) AS target, again FROM r""")
+def citation_stream(spark, d):
+    """Every citation of every brief with its kind and what it stands for."""
+    return citestream.resolved(_briefs(spark, d), "o_custkey", "text")
+
+
+@query(f"""WITH {_STREAM} SELECT c AS o_custkey, count(*) AS n_cites, count_if(k = 0) AS n_full, count_if(k = 2) AS n_short, count_if(k = 3) AS n_supra, count_if(k = 1) AS n_id, count_if(t IS NULL) AS unresolved, count(DISTINCT t) AS targets,
+round(count_if(again) / count(*), 3) AS repeat_rate, round(count_if(k = 0) / count(*), 3) AS parenthetical_rate FROM r GROUP BY c""")
+def citation_rates(spark, d):
+    """How often briefs repeat what they cite, by which forms, and with a parenthetical."""
+    return citestream.rates(_briefs(spark, d), "o_custkey", "text")

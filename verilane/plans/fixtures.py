@@ -408,12 +408,3 @@ def seq_ratio(spark, d):
     own = spark.read.parquet(f"{d}/part.parquet").select("p_brand", "p_partkey", "p_name")
     first = rel.first_wins(own, ["p_brand"], [F.col("p_partkey")]).select("p_brand", F.col("p_name").alias("other"))
     return own.join(first, "p_brand").select("p_partkey", F.round(similarity.seq_ratio(F.col("p_name"), F.col("other")), 6).alias("ratio"))
-
-
-@query(None)
-def fuzzy_quote(spark, d):
-    """Passages with a word changed, looked for in the documents that hold them."""
-    from .tables import _hits
-
-    hits = _hits(spark, d).select("item_id", "doc_id", F.regexp_replace("needle", r"^(\S+) (\S+)", "$1 changed").alias("quote"), "haystack")
-    return hits.select("item_id", "doc_id", similarity.verify_quote(F.col("quote"), F.col("haystack")).alias("q")).select("item_id", "doc_id", "q.result", "q.similarity")

@@ -9,6 +9,7 @@ from verilane.functions import rules, text
 from verilane.operators import citestream
 from verilane.operators import relational as rel
 from verilane.operators.clusters import largest_clusters
+from verilane.operators.fuzzy import fuzzy_quotes
 from verilane.operators.passages import occurrences
 from verilane.operators.ranges import in_intervals, longest_prefix, numbered, without_gutters
 from verilane.operators.similar import TextSets, digest, set_pairs
@@ -133,6 +134,17 @@ def known_fakes(spark, d):
     return found.groupBy("doc_id").agg(F.count("needle").alias("n_phrases"), F.min("at").cast("long").alias("first_at"), F.min("needle").alias("least"))
 
 
+@query(None)
+def fuzzy_quote(spark, d):
+    """Every passage with each ninth word changed, looked for in all documents: where a fifth of its words or fewer differ, how many and what that makes of the quote."""
+    quote_words = F.split(F.regexp_replace(F.lower(F.trim("text")), r"\s+", " "), " ")
+    changed = F.array_join(F.transform(quote_words, lambda w, i: F.when(i % 9 == 4, "changed").otherwise(w)), " ")
+    quotes = T(spark, d, "benchmark").select("item_id", changed.alias("quote"))
+    found = fuzzy_quotes(quotes, T(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id", "quote", "text")
+    likeness = 1 - F.col("edits") / F.col("words")
+    return found.select("item_id", "doc_id", "words", "edits", F.round(likeness, 4).alias("similarity"), rules.quote_bucket(likeness).alias("result"))
+
+
 # --- intervals, prefixes, runs, numbers
 
 

@@ -128,3 +128,21 @@ def test_query(spark, tmp_path):
     spark.createDataFrame([(1, "u", PAGE, 5), (None, None, None, 6)], "page_id long, url string, html string, n_chars int").write.parquet(f"{tmp_path}/pages.parquet")
     out = ht.query(spark, str(tmp_path)).collect()
     assert sorted(r.n_chars for r in out)[0] == 0 and len(out) == 2
+
+
+#: Pages with short or unwrapped articles, and their main text.
+BRIEF = [
+    ("<article><p>Short news.</p></article>", "Short news."),
+    ("<article>" + "direct text of an article that no paragraph wraps, and more of it. " * 9 + "</article>", ("direct text of an article that no paragraph wraps, and more of it. " * 9).strip()),
+    ("<p>one</p><p>two</p>", "one\n\ntwo"),
+    ("plain text only, no markup at all", "plain text only, no markup at all"),
+    ("<body>line one<br>line two<br>line three</body>", "line one line two line three"),
+    ("<div class=content>Hello world.</div>", "Hello world."),
+    ("<html><head><title>T</title></head><body><main>Some text here<br>and there</main><aside>Related links</aside></body></html>", "Some text here and there"),
+    ("<body><h1>Title</h1><p>Text.</p></body>", "Title\n\nText."),
+    ("<body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article>Just this.</article><footer>&copy; us</footer></body>", "Just this."),
+]
+
+
+def test_short_and_unwrapped_articles():
+    assert [text_of(html) for html, _ in BRIEF] == [text for _, text in BRIEF]

@@ -54,10 +54,14 @@ def static_features(tag: str, names: str) -> list[str]:
 
 
 def text_features(node: Node) -> list[str]:
+    """What a node holds, whether text of its own, and the plain element that it stands in."""
     if not node.shown:
         return ["empty"]
     links = node.linked / max(1, node.shown)
-    return [f"n:{min(5, int(math.log(node.shown + 1, 4)))}", "linked" if links > 0.6 else "some links" if links > 0.1 else "no links"]
+    place = [f"d:{node.tag}"] if node.blocks else []
+    if node.parent and not node.parent.names:
+        place.append(f"u:{node.parent.tag}:{kind(node.tag)}")
+    return [*place, f"n:{min(5, int(math.log(node.shown + 1, 4)))}", "linked" if links > 0.6 else "some links" if links > 0.1 else "no links"]
 
 
 class TreeModel:
@@ -160,6 +164,7 @@ def labelled(html: str) -> list[Node]:
         found = re.search(r"\bmark(\d)\b", n.names)
         n.label = int(found.group(1)) if found else max(0, n.parent.label if n.parent else 0)
         n.names = re.sub(r"\s*\bmark\d\b\s*", " ", n.names).strip()
+    nodes[0].label = int(html.startswith(f'<html {MARK}="1"'))  # the root, whose attributes the reader leaves out
     return nodes
 
 

@@ -23,6 +23,10 @@ OTHERS = ["div.share", "div.social", "div.author-bio", "div.meta", "div.rating"]
 WRAPPERS = ["div.page", "div#wrapper", "div.container", "div", "section", "div.row", "div.layout", "table"]
 
 
+#: Shares of pages whose text stands in no element of its own, and of the others' articles that are short or unwrapped.
+BARE, BRIEF = 0.2, 0.15
+
+
 class Maker:
     def __init__(self, seed: int):
         self.rng = random.Random(seed)
@@ -88,12 +92,41 @@ class Maker:
                 parts.append(self.clutter(r.choice([ADVERTS, SIDEBARS, OTHERS, FORMS, NOTICES])))
         return self.box(r.choice(ARTICLE), 1, "".join(parts))
 
+    def brief(self) -> str:
+        """An article of one short block, or of text that no block wraps, in an element of its own or in none."""
+        r = self.rng
+        style = r.random()
+        if style < 0.4:
+            inner = self.block("p", 1, self.words(1, 8))
+        elif style < 0.7:
+            inner = self.words(*r.choice([(1, 6), (8, 40), (60, 150)]))
+        else:
+            inner = r.choice(["<br>", "<br/>\n", "<br><br>"]).join(self.words(1, 25) for _ in range(r.randint(2, 6)))
+        return self.box(r.choice([*ARTICLE[:2], *ARTICLE]), 1, inner)
+
+    def bare(self) -> str:
+        """A page whose blocks or text stand in the body, or in no element at all, with little else around them."""
+        r = self.rng
+        style = r.random()
+        if style < 0.5:
+            parts = [self.block(r.choice(["p", "p", "p", "h1", "h2"]), 1, self.words(*r.choice([(1, 4), (5, 40), (40, 120)]))) for _ in range(r.randint(1, 6))]
+            around = [self.clutter(r.choice([MENUS, HEADERS, FOOTERS, ADVERTS, FORMS, COMMENTS])) if r.random() < 0.5 else "" for _ in range(2)]
+            inner, mark = around[0] + "".join(parts) + around[1], 0
+        else:
+            inner, mark = r.choice(["<br>", "\n", "<br>\n"]).join(self.words(1, 40) for _ in range(r.randint(1, 8))), 1
+        style = r.random()
+        if style < 0.35:
+            return f'<html {MARK}="{mark}">{inner}</html>'  # the reader's root stands for a page without any element
+        return f'<html {MARK}="0"><head><title>{self.words(2, 5)}</title></head><body {MARK}="{mark}">{inner}</body></html>'
+
     def page(self) -> str:
         r = self.rng
+        if r.random() < BARE:
+            return self.bare()
         before = [self.clutter(k) for k in (NOTICES, HEADERS, MENUS, ADVERTS, FORMS) if r.random() < 0.5]
         after = [self.clutter(k) for k in (OTHERS, COMMENTS, SIDEBARS, ADVERTS, FORMS, FOOTERS) if r.random() < 0.5]
         r.shuffle(before)
-        middle = "".join(before) + self.article() + "".join(after)
+        middle = "".join(before) + (self.brief() if r.random() < BRIEF else self.article()) + "".join(after)
         for _ in range(r.choice([0, 0, 1, 1, 2])):
             spec = r.choice(WRAPPERS)
             middle = f'<table {MARK}="0"><tr {MARK}="0"><td {MARK}="0">{middle}</td></tr></table>' if spec == "table" else self.box(spec, 0, middle)

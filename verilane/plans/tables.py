@@ -53,15 +53,14 @@ def quote_verbatim(spark, d):
 LEFT JOIN (SELECT DISTINCT h.item_id, x.lang, h.doc_id FROM hits h JOIN documents x USING (doc_id)) h ON h.item_id = b.item_id AND h.lang = d.lang GROUP BY ALL)
 SELECT item_id, CASE max(sev) WHEN 2 THEN 'FABRICATED' ELSE 'VERBATIM' END AS worst, CASE WHEN bool_or(sev = 2) THEN 'Yellow' ELSE '' END AS quote_floor FROM p GROUP BY item_id""")
 def quote_worst_floor(spark, d):
-    """Each passage is checked in every language; the worst result of a passage decides."""
+    """Each passage is checked in every language; the worst result of a passage decides. A passage that some language lacks isn't there."""
     docs = T(spark, d, "documents")
-    langs = [r.lang for r in docs.select("lang").distinct().collect()]
-    claims = T(spark, d, "benchmark").select("item_id", F.explode(F.array(*map(F.lit, langs))).alias("lang"))
-    found = _hits(spark, d).select("item_id", "doc_id").join(docs.select("doc_id", "lang"), "doc_id").select("item_id", "lang").distinct().withColumn("sim", F.lit(1.0))
-    checked = claims.join(found, ["item_id", "lang"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0))).withColumn("result", rules.quote_bucket(F.col("sim")))
-    order = F.when(F.col("result") == "FABRICATED", 2).when(F.col("result") == "CLOSE", 1).otherwise(0)
-    worst = checked.groupBy("item_id").agg(F.max(order).alias("s"), F.bool_or(rules.quote_floors(F.col("result"), F.col("sim"))).alias("f"))
-    return worst.select("item_id", F.element_at(F.array(F.lit("VERBATIM"), F.lit("CLOSE"), F.lit("FABRICATED")), F.col("s") + 1).alias("worst"), F.when(F.col("f"), "Yellow").otherwise("").alias("quote_floor"))
+    langs = docs.select("lang").distinct().count()
+    found = _hits(spark, d).select("item_id", "doc_id").join(docs.select("doc_id", "lang"), "doc_id").groupBy("item_id").agg(F.countDistinct("lang").alias("n"))
+    checked = T(spark, d, "benchmark").select("item_id").distinct().join(found, "item_id", "left")
+    sim = F.when(F.coalesce("n", F.lit(0)) == langs, 1.0).otherwise(0.0)
+    worst = checked.withColumn("sim", sim).withColumn("worst", rules.quote_bucket(F.col("sim")))
+    return worst.select("item_id", "worst", F.when(rules.quote_floors(F.col("worst"), F.col("sim")), "Yellow").otherwise("").alias("quote_floor"))
 
 
 @query(f"""WITH {_HITS}, q AS (SELECT item_id, doc_id, haystack, strpos(haystack, needle) AS p, length(needle) AS n FROM hits)
@@ -147,12 +146,14 @@ def date_score_proximity(spark, d):
 f AS (SELECT o_orderkey, l, CASE WHEN l = o THEN 1 WHEN year(l) = year(o) AND abs(month(l) - month(o)) <= 1 THEN 2 WHEN year(l) = year(o) THEN 3 END AS ord FROM p)
 SELECT o_orderkey, min(ord) AS ord, count_if(ord = m) AS n FROM (SELECT *, min(ord) OVER (PARTITION BY o_orderkey) AS m FROM f WHERE ord IS NOT NULL) GROUP BY o_orderkey""")
 def progressive_ranges(spark, d):
-    """The first range that holds a document wins: the day, then the months around, then the year."""
-    own = T(spark, d, "orders").select("o_orderkey", F.explode(rules.date_ranges(F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate"))).alias("r")).select("o_orderkey", "r.*")
-    items = T(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("filed"))
-    found = own.join(items, "o_orderkey").where("filed between lo and hi")
-    least = found.withColumn("m", F.min("ord").over(Window.partitionBy("o_orderkey"))).where("ord = m")
-    return least.groupBy("o_orderkey").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
+    """The first range that holds a document wins: the day, then the months around, then the year. One join and one aggregation."""
+    ranges = rules.date_ranges(F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate"))
+    filed = F.date_format("l_shipdate", "yyyy-MM-dd")
+    first = F.get(F.filter(ranges, lambda r: filed.between(r["lo"], r["hi"])), F.lit(0))["ord"]
+    # only lines of the order's year can lie in a range
+    held = _dated(spark, d).where(F.year("l_shipdate") == F.year("o_orderdate")).select("o_orderkey", first.alias("ord")).where("ord is not null")
+    counts = held.groupBy("o_orderkey").agg(F.min("ord").alias("ord"), *[F.count_if(F.col("ord") == k).alias(f"n{k}") for k in (1, 2, 3)])
+    return counts.select("o_orderkey", "ord", F.get(F.array("n1", "n2", "n3"), F.col("ord") - 1).alias("n"))
 
 
 @query("""WITH s AS (SELECT p_brand, p_partkey, p_type, p_retailprice, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_size, p_partkey) AS rn FROM part)

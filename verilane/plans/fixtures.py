@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verilane.functions import rules, similarity, text
+from verilane.functions import courts, rules, similarity, text
 from verilane.functions.parse import parse_citation
 from verilane.operators import relational as rel
 
@@ -132,24 +132,25 @@ def parse_citations(spark, d):
     return PARSED.frame(spark).select(parse_citation(F.col("raw_text")).alias("p")).select(*[F.col(f"p.{n}") for n in names])
 
 
-COURTS = [("U.S.", "scotus"), ("SCOTUS", "scotus"), ("2d Cir.", "ca2"), ("9th Cir.", "ca9"), ("S.D.N.Y.", "nysd"), ("N.D. Cal.", "cand"), ("D. Del.", "ded"), ("D. Mass.", "mad")]
-ASKED = Fixture("court string", [("SDNY",), ("S.D. N.Y.",), ("nysd",), ("Bankr. D. Del.",), ("2d Cir.",), ("Moon Ct.",), ("scotus",), ("Bankr. S.D.N.Y.",)])
-_MAP = Fixture("abbrev string, id string", COURTS)
+_SEATS = [(code, state, letter) for code, state, divisions in courts.DISTRICTS for letter in divisions or [""]]
+_SEAT = "[" + ", ".join(f"struct_pack(code := '{c}', state := '{s}', letter := '{x}')" for c, s, x in _SEATS) + "]"
 
 
-@query(rf"""WITH m AS (SELECT * FROM {_MAP.sql}), q AS (SELECT court, regexp_matches(court, '(?i)^Bankr\.?\s+') AS b, regexp_replace(court, '(?i)^Bankr\.?\s+', '') AS own FROM {ASKED.sql}),
-r AS (SELECT court, b, coalesce((SELECT min(id) FROM m WHERE id = own), (SELECT min(id) FROM m WHERE abbrev = own), (SELECT min(id) FROM m WHERE regexp_replace(lower(abbrev), '[\s.]', '', 'g') = regexp_replace(lower(own), '[\s.]', '', 'g'))) AS id FROM q)
-SELECT court, CASE WHEN NOT b THEN id WHEN id LIKE '%d' THEN left(id, length(id) - 1) || 'b' END AS id FROM r""")
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS way, {_SEAT}[o_orderkey % {len(_SEATS)} + 1] AS s FROM orders)
+SELECT o_orderkey, CASE way WHEN 4 THEN NULL WHEN 3 THEN s.code || lower(s.letter) || 'b' ELSE s.code || lower(s.letter) || 'd' END AS id FROM o""")
 def court_lookup(spark, d):
-    """An id passes through; else the abbreviation as it is, then without spaces and points; a bankruptcy court is its district's."""
-    asked = ASKED.frame(spark).withColumn("bankr", F.col("court").rlike(r"(?i)^Bankr\.?\s+")).withColumn("own", F.regexp_replace("court", r"(?i)^Bankr\.?\s+", ""))
-    squash = lambda c: F.regexp_replace(F.lower(c), r"[\s.]", "")
-    dim = _MAP.frame(spark)
-    keys = dim.select(F.explode(F.array(F.struct(F.lit(1).alias("at"), F.col("id").alias("key")), F.struct(F.lit(2).alias("at"), F.col("abbrev").alias("key")), F.struct(F.lit(3).alias("at"), squash(F.col("abbrev")).alias("key")))).alias("k"), "id").select("k.*", "id").distinct()
-    probes = asked.select("court", "bankr", F.explode(F.array(F.struct(F.lit(1).alias("at"), F.col("own").alias("key")), F.struct(F.lit(2).alias("at"), F.col("own").alias("key")), F.struct(F.lit(3).alias("at"), squash(F.col("own")).alias("key")))).alias("k")).select("court", "bankr", "k.*")
-    found = rel.first_wins(probes.join(F.broadcast(keys), ["at", "key"]), ["court"], [F.col("at"), F.col("id")])
-    shown = asked.select("court").join(found.select("court", "bankr", "id"), "court", "left")
-    return shown.select("court", F.when(~F.col("bankr"), F.col("id")).when(F.col("id").endswith("d"), F.concat(F.expr("left(id, length(id) - 1)"), F.lit("b"))).alias("id"))
+    """Every order names a district court: as it is printed, without points and blanks, by its id, as its bankruptcy court, or as a court that isn't federal."""
+    seats = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(s).alias("state"), F.lit(x).alias("letter")) for c, s, x in _SEATS])
+    own = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 5).alias("way"), F.get(seats, (F.col("o_orderkey") % len(_SEATS)).cast("int")).alias("s"))
+    printed = F.concat(F.when(F.col("s.letter") != "", F.concat("s.letter", F.lit("."))).otherwise(""), F.lit("D. "), F.col("s.state"))
+    said = (
+        F.when(F.col("way") == 0, printed)
+        .when(F.col("way") == 1, F.translate(printed, ". ", ""))
+        .when(F.col("way") == 2, F.concat("s.code", F.lower("s.letter"), F.lit("d")))
+        .when(F.col("way") == 3, F.concat(F.lit("Bankr. "), printed))
+        .otherwise(F.concat("s.state", F.lit(" Ct. App.")))
+    )
+    return own.select("o_orderkey", courts.court_id(said).alias("id"))
 
 
 DOCS = Fixture("id int, descr string, pages int, free boolean, filed string, wl boolean", [

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verilane.functions import abbreviations, rules, text
 
-from .fixtures import Fixture
+from .fixtures import Fixture, Mixed
 from .fixtures import QUERIES as FIXTURE_QUERIES
 from .fixtures import SQL as FIXTURE_SQL
 
@@ -86,15 +86,15 @@ def first_verdict_object(spark, d):
     return _REPLY.frame(spark).select("id", F.from_json(F.regexp_extract("reply", r"(\{[^{}]*\})", 1), "support string")["support"].alias("support"))
 
 
-_WL = Fixture("id int, volume string, reporter string", [(1, "2025", "WL"), (2, "12", "WL"), (3, "2025", "F.3d"), (4, None, "WL")])
+_WL = Mixed("id int, volume string, reporter string", [(1, "2025", "WL"), (2, "12", "WL"), (3, "2025", "F.3d"), (4, None, "WL")])
 
 
 @query(f"SELECT id, CASE WHEN reporter = 'WL' AND regexp_matches(volume, '^\\d{{4}}$') THEN volume END AS year FROM {_WL.sql}")
 def wl_year(spark, d):
-    return _WL.frame(spark).select("id", F.when((F.col("reporter") == "WL") & F.col("volume").rlike(r"^\d{4}$"), F.col("volume")).alias("year"))
+    return _WL.frame(spark, d).select("id", F.when((F.col("reporter") == "WL") & F.col("volume").rlike(r"^\d{4}$"), F.col("volume")).alias("year"))
 
 
-_NUMBERS = Fixture("id int, cite string", [(1, "No. 1:20-cv-00012"), (2, "2019 WL 55"), (3, "Case No. 20-cr-7"), (4, "12 F.3d 4"), (5, "plain")])
+_NUMBERS = Mixed("id int, cite string", [(1, "No. 1:20-cv-00012"), (2, "2019 WL 55"), (3, "Case No. 20-cr-7"), (4, "12 F.3d 4"), (5, "plain")])
 _REPORTERS = r"\b(?:U\.S\.|F\.\s*\d|F\.\s*Supp|S\.\s*Ct|L\.\s*Ed|Cal\.|N\.Y\.|A\.\s*\d|P\.\s*\d)"
 _ONLY = r"^(?:No\.\s*|Case\s+No\.\s*)?\d+[:\-]?\d*-(?:cv|cr|mc|md|mj|po)-\d"
 
@@ -102,17 +102,17 @@ _ONLY = r"^(?:No\.\s*|Case\s+No\.\s*)?\d+[:\-]?\d*-(?:cv|cr|mc|md|mj|po)-\d"
 @query(rf"SELECT id, NOT (contains(cite, 'WL') OR contains(cite, 'LEXIS') OR regexp_matches(cite, '{_REPORTERS}')) AND regexp_matches(trim(cite), '{_ONLY}') AS docket_only FROM {_NUMBERS.sql}")
 def docket_only_strings(spark, d):
     c = F.col("cite")
-    return _NUMBERS.frame(spark).select("id", (~(c.contains("WL") | c.contains("LEXIS") | c.rlike(_REPORTERS)) & F.trim(c).rlike(_ONLY)).alias("docket_only"))
+    return _NUMBERS.frame(spark, d).select("id", (~(c.contains("WL") | c.contains("LEXIS") | c.rlike(_REPORTERS)) & F.trim(c).rlike(_ONLY)).alias("docket_only"))
 
 
-_CAPTIONS = Fixture("id int, caption string", [(1, "Smith v. Jones"), (2, "In re Vessel"), (3, "(PC) Doe v. State"), (4, "In the Matter of the Complaint of X"), (5, "Acme vs. Roe"), (6, None), (7, "Solo")])
+_CAPTIONS = Mixed("id int, caption string", [(1, "Smith v. Jones"), (2, "In re Vessel"), (3, "(PC) Doe v. State"), (4, "In the Matter of the Complaint of X"), (5, "Acme vs. Roe"), (6, None), (7, "Solo")])
 
 
 @query(f"SELECT id, coalesce(NOT (starts_with(l, '(pc)') OR starts_with(l, 'in re ') OR starts_with(l, 'in the matter') OR starts_with(l, 'complaint of')) AND (contains(l, ' v. ') OR contains(l, ' v ') OR contains(l, ' vs. ')), false) AS ordinary FROM (SELECT id, lower(trim(caption)) AS l FROM {_CAPTIONS.sql})")
 def ordinary_captions(spark, d):
     """Two-party captions; limitation petitions, miscellaneous actions and tagged prisoner cases don't count."""
     low = F.lower(F.trim("caption"))
-    return _CAPTIONS.frame(spark).select("id", F.coalesce(~text.starts_with_any(low, ["(pc)", "in re ", "in the matter", "complaint of"]) & text.any_of(low, [" v. ", " v ", " vs. "]), F.lit(False)).alias("ordinary"))
+    return _CAPTIONS.frame(spark, d).select("id", F.coalesce(~text.starts_with_any(low, ["(pc)", "in re ", "in the matter", "complaint of"]) & text.any_of(low, [" v. ", " v ", " vs. "]), F.lit(False)).alias("ordinary"))
 
 
 _PAGES = Fixture("id int, page string, cite string, whole string", [

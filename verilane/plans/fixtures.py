@@ -41,10 +41,32 @@ class Fixture:
         casts = ", ".join(f"CAST({n} AS {_TYPES[t]}) AS {n}" for n, t in fields)
         self.sql = f"(SELECT {casts} FROM (VALUES {body}) AS v({', '.join(n for n, _ in fields)}))"
 
-    def frame(self, spark: SparkSession) -> DataFrame:
+    def frame(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
         return spark.createDataFrame(self.rows, self.ddl)
 
 
+class Mixed:
+    """A row for every order: its key as the first column, and in each other column one of the values that the rows have there, by the key, so that the
+    columns meet in all sorts of combinations. frame() in Spark, and sql for a FROM clause in DuckDB."""
+
+    STEPS = (1, 2, 3, 5, 7, 11, 13, 17, 19, 23)
+
+    def __init__(self, ddl: str, rows: list[tuple]):
+        self.fields = [f.strip().split(" ") for f in ddl.split(", ")]
+        self.values = [list(dict.fromkeys(tuple(r[k]) if isinstance(r[k], list) else r[k] for r in rows)) for k in range(len(self.fields))]
+        key = "o_orderkey" if self.fields[0][1] in ("int", "long") else "'c' || o_orderkey"
+        parts = [f"CAST([{', '.join(map(_sql, own))}] AS {_TYPES[kind]}[])[o_orderkey // {step} % {len(own)} + 1] AS {name}" for (name, kind), own, step in zip(self.fields[1:], self.values[1:], self.STEPS, strict=False)]
+        self.sql = f"(SELECT {key} AS {self.fields[0][0]}, {', '.join(parts)} FROM orders)"
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = F.col("o_orderkey")
+        first = key if self.fields[0][1] in ("int", "long") else F.concat(F.lit("c"), key.cast("string"))
+        one = lambda v: F.array(*map(F.lit, v)) if isinstance(v, tuple) else F.lit(v)
+        at = lambda own, step: F.get(own, (F.floor(key / step) % F.size(own)).cast("int"))
+        cells = [at(F.array(*map(one, own)).cast(f"array<{kind}>"), step).alias(name) for (name, kind), own, step in zip(self.fields[1:], self.values[1:], self.STEPS, strict=False)]
+        return spark.read.parquet(f"{sf_dir}/orders.parquet").select(first.alias(self.fields[0][0]), *cells)
+
+
 def query(sql: str | None):
     def register(function):
         QUERIES[function.__name__] = function
@@ -153,7 +175,7 @@ def court_lookup(spark, d):
     return own.select("o_orderkey", courts.court_id(said).alias("id"))
 
 
-DOCS = Fixture("id int, descr string, pages int, free boolean, filed string, wl boolean", [
+DOCS = Mixed("id int, descr string, pages int, free boolean, filed string, wl boolean", [
     (1, "opinion and order", 12, True, "2018-03-05", False), (2, "motion to dismiss", 9, True, "2018-03-05", False), (3, "proposed order", 3, False, "2018-03-06", False), (4, "order granting motion", 7, True, "2017-01-01", False), (5, "memorandum opinion", 4, False, "2018-03-19", False),
     (6, "memorandum opinion", 4, False, "2018-03-20", False), (7, "minute order", 30, True, "2018-03-05", True), (8, "exhibit", 2, False, None, True), (9, "report and recommendation", 20, False, "bad", False), (10, "notice of ruling", 6, True, "2018-03-05", False), (11, "decree", 60, False, "2018-02-20", False),
 ])
@@ -176,18 +198,20 @@ CASE WHEN {_like('descr', text.LIKELY_OPINION_WORDS)} THEN CASE WHEN free THEN 3
 def docket_documents(spark, d):
     near = rules.within_days(F.lit(2018), F.lit(3), F.lit(5), F.col("filed"))
     c = F.col("descr")
-    return DOCS.frame(spark).select("id", text.is_substantive(c).alias("substantive"), text.opinion_tier(c, F.col("free")).alias("tier"), F.least("pages", F.lit(50)).alias("pages"), near.alias("near"), rules.is_cited_opinion(c, near, F.col("wl"), F.col("pages"), F.col("free")).alias("is_opinion"))
+    return DOCS.frame(spark, d).select("id", text.is_substantive(c).alias("substantive"), text.opinion_tier(c, F.col("free")).alias("tier"), F.least("pages", F.lit(50)).alias("pages"), near.alias("near"), rules.is_cited_opinion(c, near, F.col("wl"), F.col("pages"), F.col("free")).alias("is_opinion"))
 
 
 @query(f"""WITH s AS (SELECT *, NOT {_begins('descr', text.NOT_SUBSTANTIVE_PREFIXES)} AND {_like('descr', text.SUBSTANTIVE_WORDS)} AS substantive FROM {DOCS.sql})
 SELECT y, m, coalesce(bool_or((substantive OR free) AND TRY_CAST(left(filed, 4) AS INTEGER) = y AND (m IS NULL OR TRY_CAST(substring(filed, 6, 2) AS INTEGER) = m)), false) AS has_match FROM s, (VALUES (2018, 3), (2018, NULL), (2016, NULL), (2018, 2)) AS q(y, m) GROUP BY y, m""")
 def recap_date_match(spark, d):
+    """Whether any ruling or free document is of the year and, where it is known, the month asked for; of the documents only their different months are kept."""
     asked = spark.createDataFrame([(2018, 3), (2018, None), (2016, None), (2018, 2)], "y int, m int")
-    docs = DOCS.frame(spark).where(text.is_substantive(F.col("descr")) | F.col("free")).groupBy().agg(F.collect_list(F.struct(rules.year_of(F.col("filed")).alias("y"), rules.month_of(F.col("filed")).alias("m"))).alias("docs"))
-    return asked.join(F.broadcast(docs)).select("y", "m", F.coalesce(F.exists("docs", lambda x: (x["y"] == F.col("y")) & (F.col("m").isNull() | (x["m"] == F.col("m")))), F.lit(False)).alias("has_match"))
+    dated = DOCS.frame(spark, d).where(text.is_substantive(F.col("descr")) | F.col("free")).select(rules.year_of(F.col("filed")).alias("y"), rules.month_of(F.col("filed")).alias("month")).distinct()
+    hit = F.bool_or(F.col("month").isNotNull() & F.col("m").isNull() | F.coalesce(F.col("month") == F.col("m"), F.lit(False)))
+    return asked.join(dated, "y", "left").groupBy("y", "m").agg(F.coalesce(hit, F.lit(False)).alias("has_match"))
 
 
-SCORES = Fixture("id int, court string, year int, sim double, court_hit boolean, date double, docket boolean, cite boolean, parties boolean, contra boolean", [
+SCORES = Mixed("id int, court string, year int, sim double, court_hit boolean, date double, docket boolean, cite boolean, parties boolean, contra boolean", [
     (1, "ca2", 1999, 0.9, True, 1.0, False, False, True, False), (2, None, 1999, 0.9, False, 0.9, False, True, True, False), (3, "ca2", None, 0.5, True, 0.0, True, False, True, False), (4, None, None, 0.8, False, 0.0, False, False, True, False),
     (5, "ca2", 1999, 1.0, True, 1.0, False, False, False, False), (6, "ca2", 1999, 1.0, True, 1.0, True, False, False, False), (7, "ca2", 1999, 1.0, True, 1.0, False, False, True, True), (8, "ca2", 1999, 0.3, False, 0.5, False, True, False, False),
 ])
@@ -199,11 +223,11 @@ t AS (SELECT *, (0.5 + r * 0.5 / 0.6) * sim * CASE WHEN parties OR cite THEN 1 E
 SELECT id, round(CASE WHEN (NOT parties OR contra) AND NOT cite AND NOT docket THEN least(s, 0.39) ELSE s END, 4) AS score, round(CASE WHEN (NOT parties OR contra) AND NOT cite AND NOT docket THEN least(s, 0.39) ELSE s END, 4) >= 0.40 AS resolves FROM t""")
 def candidate_score(spark, d):
     c = F.col
-    out = SCORES.frame(spark).select("id", rules.candidate_score(c("court"), c("year"), c("sim"), c("court_hit"), c("date"), c("docket"), c("cite"), c("parties"), c("contra")).alias("score"))
+    out = SCORES.frame(spark, d).select("id", rules.candidate_score(c("court"), c("year"), c("sim"), c("court_hit"), c("date"), c("docket"), c("cite"), c("parties"), c("contra")).alias("score"))
     return out.withColumn("resolves", F.col("score") >= rules.RESOLVES)
 
 
-CHECKS = Fixture("id int, cited string, reporter string, record array<string>, status string, docket_ok boolean", [
+CHECKS = Mixed("id int, cited string, reporter string, record array<string>, status string, docket_ok boolean", [
     (1, "601 U.S. 346", "U.S.", ["601 U.S. 346", "144 S. Ct. 967"], "VERIFIED", False), (2, "601 U.S. 999", "U.S.", ["601 U.S. 346"], "VERIFIED", False), (3, "144 S. Ct. 1", "S. Ct.", ["601 U.S. 346"], "VERIFIED", False), (4, "12 F.3d 1", "F.3d", [], "VERIFIED", False),
     (5, None, None, ["1 U.S. 1"], "VERIFIED", False), (6, "9 N.E.2d 4", "N.E.2d", ["8 N.E.3d 77"], "VERIFIED", False), (7, "5 F.4th 6", "F.4th", [], "VERIFIED_DOCKET_ONLY", False), (8, "5 F.4th 6", "F.4th", [], "VERIFIED_DOCKET_ONLY", True), (9, "5 F.4th 6", "F.4th", [], "VERIFIED_VIA_RECAP", False), (10, "5 F.4th 6", "F.4th", [], "NOT_FOUND", False),
 ])
@@ -216,12 +240,12 @@ WHEN len(list_filter(record, lambda r: {_FAM.format(_REPORTER)} = {_FAM.format('
 SELECT id, cite_check, CASE WHEN cited IS NOT NULL AND ((status = 'VERIFIED' AND cite_check = 'CONTRADICTED') OR (status = 'VERIFIED_DOCKET_ONLY' AND NOT docket_ok)) THEN 'CITE_UNCONFIRMED' ELSE status END AS new_status,
 CASE WHEN cited IS NULL THEN NULL WHEN status = 'VERIFIED' AND cite_check = 'CONTRADICTED' THEN 'cite_contradicted' WHEN status = 'VERIFIED' AND cite_check = 'NOT_ON_RECORD' THEN 'cite_not_on_record' WHEN status IN ('VERIFIED_VIA_RECAP', 'VERIFIED_DOCKET_ONLY') THEN 'cite_not_on_record' END AS warning FROM c""")
 def cite_check(spark, d):
-    own = CHECKS.frame(spark).withColumn("cite_check", rules.cite_check(F.col("cited"), F.col("reporter"), F.col("record")))
+    own = CHECKS.frame(spark, d).withColumn("cite_check", rules.cite_check(F.col("cited"), F.col("reporter"), F.col("record")))
     has = F.col("cited").isNotNull()
     return own.select("id", "cite_check", rules.demoted(F.col("status"), has, F.col("cite_check"), F.col("docket_ok")).alias("new_status"), rules.demotion_warning(F.col("status"), has, F.col("cite_check")).alias("warning"))
 
 
-PROMOTE = Fixture("id int, status string, errored boolean, resolved boolean, court string, year int", [
+PROMOTE = Mixed("id int, status string, errored boolean, resolved boolean, court string, year int", [
     (1, "NOT_FOUND", True, False, None, None), (2, "NOT_FOUND", True, True, None, None), (3, "NOT_FOUND", False, False, None, None), (4, "NOT_FOUND", False, False, "ca2", None), (5, "NOT_FOUND", False, False, None, 1999), (6, "VERIFIED", True, False, None, None), (7, "WRONG_CASE", True, False, None, None),
 ])
 
@@ -229,10 +253,10 @@ PROMOTE = Fixture("id int, status string, errored boolean, resolved boolean, cou
 @query(f"SELECT id, CASE WHEN status <> 'NOT_FOUND' THEN status WHEN errored AND NOT resolved THEN 'VERIFICATION_INCOMPLETE' WHEN court IS NULL AND year IS NULL THEN 'INSUFFICIENT_DATA' ELSE status END AS final FROM {PROMOTE.sql}")
 def status_promotions(spark, d):
     c = F.col
-    return PROMOTE.frame(spark).select("id", rules.promoted(c("status"), c("errored"), c("resolved"), c("court"), c("year")).alias("final"))
+    return PROMOTE.frame(spark, d).select("id", rules.promoted(c("status"), c("errored"), c("resolved"), c("court"), c("year")).alias("final"))
 
 
-CLAIMS = Fixture("claim_id string, cited_case string, opinion_file string, status string, worst string, floor string, quoted string, flags string, assessment string, label string, diagnostics string", [
+CLAIMS = Mixed("claim_id string, cited_case string, opinion_file string, status string, worst string, floor string, quoted string, flags string, assessment string, label string, diagnostics string", [
     ("m-01", "A v. B, 1 U.S. 1, 3 (1990)", "opinions/a.txt", "VERIFIED", "VERBATIM", "", "[]", "", "Green", "", ""), ("m-02", "C v. D, 2 F.3d 4 (1995)", "", "NOT_FOUND", "NO_OPINION", "", "", "", "", "", ""), ("m-03", "E v. F, 9 P.2d 8", "opinions/e.txt", "WRONG_CASE", "", "", "", "", "", "", "Name Mismatch: x"),
     ("m-04", "G v. H, 9 P.3d 8", "opinions/g.txt", "VERIFIED", "CLOSE", "Yellow", '["q"]', "", "Red", " Misread ", ""), ("m-05", "I v. J, 5 U.S. 5", "opinions/i.txt", "CITE_UNCONFIRMED", "VERBATIM", "", "[]", "", "Red", "mine", ""), ("m-06", "K v. L, 6 U.S. 5", "opinions/k.txt", "VERIFIED_PARTIAL", "NO_QUOTES", "", None, None, None, None, None),
     ("m-07", "M v. N, 6 U.S. 7", "opinions/m.txt", "VERIFIED", "VERBATIM", "", "[]", '{"x":1}', "yellow", "", "name mismatch"), ("m-08", "O v. P, 6 U.S. 8", "", "VERIFIED_DOCKET_ONLY", "NO_OPINION", "", "[]", "", "Red", "", ""),
@@ -243,7 +267,7 @@ CLAIMS = Fixture("claim_id string, cited_case string, opinion_file string, statu
 WHEN status NOT IN ('VERIFIED', 'VERIFIED_PARTIAL', 'VERIFIED_VIA_RECAP', 'VERIFIED_DOCKET_ONLY') THEN 'full' ELSE 'fast' END AS track FROM {CLAIMS.sql}""")
 def triage_track(spark, d):
     c = F.col
-    return CLAIMS.frame(spark).select("claim_id", rules.triage_track(c("opinion_file"), c("status"), c("worst"), c("floor"), c("quoted"), c("flags")).alias("track"))
+    return CLAIMS.frame(spark, d).select("claim_id", rules.triage_track(c("opinion_file"), c("status"), c("worst"), c("floor"), c("quoted"), c("flags")).alias("track"))
 
 
 _BADGE = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.BADGES.items()) + " END"
@@ -253,14 +277,14 @@ _BADGE = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.BA
 WHEN lower(trim(coalesce(assessment, ''))) = 'green' THEN 'Green' WHEN lower(trim(coalesce(assessment, ''))) = 'red' THEN 'Red' ELSE 'Yellow' END AS lane FROM {CLAIMS.sql})
 SELECT claim_id, lane, CASE lane WHEN 'Green' THEN 'Supported' WHEN 'Gray' THEN '' WHEN 'CheckCite' THEN '{rules.BADGES["CITE_UNCONFIRMED"]}' ELSE coalesce(nullif(trim(label), ''), {_BADGE}, CASE lane WHEN 'Red' THEN 'Not supported by cited case' ELSE 'Overstated -- case partially supports' END) END AS badge FROM l""")
 def report_lanes(spark, d):
-    own = CLAIMS.frame(spark).withColumn("lane", rules.lane(F.col("status"), F.col("assessment"), F.col("opinion_file")))
+    own = CLAIMS.frame(spark, d).withColumn("lane", rules.lane(F.col("status"), F.col("assessment"), F.col("opinion_file")))
     return own.select("claim_id", "lane", rules.badge(F.col("lane"), F.col("label"), F.col("status")).alias("badge"))
 
 
 @query(f"""SELECT count(*) AS total, count_if(contains(lower(coalesce(diagnostics, '')), 'name mismatch')) AS name_mismatches, count_if(status = 'NOT_FOUND') AS not_found, count_if(coalesce(opinion_file, '') = '' AND status NOT IN ('NOT_FOUND', '')) AS no_opinion FROM {CLAIMS.sql}""")
 def metadata_flags(spark, d):
     c = F.col
-    return CLAIMS.frame(spark).agg(F.count("*").alias("total"), F.count_if(F.lower(F.coalesce(c("diagnostics"), F.lit(""))).contains("name mismatch")).alias("name_mismatches"), F.count_if(c("status") == "NOT_FOUND").alias("not_found"), F.count_if((F.coalesce(c("opinion_file"), F.lit("")) == "") & ~c("status").isin("NOT_FOUND", "")).alias("no_opinion"))
+    return CLAIMS.frame(spark, d).agg(F.count("*").alias("total"), F.count_if(F.lower(F.coalesce(c("diagnostics"), F.lit(""))).contains("name mismatch")).alias("name_mismatches"), F.count_if(c("status") == "NOT_FOUND").alias("not_found"), F.count_if((F.coalesce(c("opinion_file"), F.lit("")) == "") & ~c("status").isin("NOT_FOUND", "")).alias("no_opinion"))
 
 
 PINS = Fixture("id int, cite string, body string", [
@@ -280,7 +304,7 @@ def pincite_flag(spark, d):
     return own.select("id", F.when(outside, F.col("pin")).alias("pinpoint"), F.when(F.col("ok") & ~shown, F.col("note")).alias("footnote_missing"))
 
 
-AUDIT = Fixture("id int, quick string, whole string, notes string, warning string", [
+AUDIT = Mixed("id int, quick string, whole string, notes string, warning string", [
     (1, "VERIFIED", None, None, None), (2, "NOT_FOUND", "VERIFIED_VIA_RECAP", "found by RECAP doc", None), (3, "NOT_FOUND", "VERIFIED", "opinion", None), (4, "NOT_FOUND", "NOT_FOUND", "", None), (5, None, None, None, None), (6, "WRONG_CASE", "CITE_UNCONFIRMED", None, "recap_gap"),
 ])
 _LOC = "('VERIFIED', 'VERIFIED_PARTIAL', 'VERIFIED_VIA_RECAP', 'VERIFIED_DOCKET_ONLY', 'CITE_UNCONFIRMED')"
@@ -290,7 +314,7 @@ _LOC = "('VERIFIED', 'VERIFIED_PARTIAL', 'VERIFIED_VIA_RECAP', 'VERIFIED_DOCKET_
 def audit_path(spark, d):
     hint = F.lower(F.concat(F.coalesce("notes", F.lit("")), F.coalesce("warning", F.lit("")))).contains("recap")
     path = F.when(F.col("quick").isin(*rules.LOCATED), "citation-lookup").when(~F.coalesce(F.col("whole").isin(*rules.LOCATED), F.lit(False)), "no_match").when(hint, "RECAP").otherwise("opinion-search")
-    return AUDIT.frame(spark).select("id", path.alias("path"))
+    return AUDIT.frame(spark, d).select("id", path.alias("path"))
 
 
 LEGACY = Fixture("old string", [("VERIFIED",), ("LIKELY_REAL",), ("POSSIBLE_MATCH",), ("NOT_FOUND",), ("",), ("WRONG_CASE",), (None,)])
@@ -304,7 +328,7 @@ def legacy_status(spark, d):
     return LEGACY.frame(spark).select("old", mapped.alias("status"))
 
 
-FIELDS = Fixture("id int, plain_text string, html_with_citations string, html string, xml_harvard string, local_path string, download_url string", [
+FIELDS = Mixed("id int, plain_text string, html_with_citations string, html string, xml_harvard string, local_path string, download_url string", [
     (1, "text", "<p>h</p>", None, None, "pdf/2018/a.pdf", None), (2, "  ", "<p>h</p>", "x", None, "txt/a", "http://x/a.pdf"), (3, None, None, " ", "<x>q</x>", None, "http://x/a.html"), (4, None, None, None, None, None, None),
 ])
 
@@ -314,7 +338,7 @@ CASE WHEN trim(plain_text) <> '' THEN plain_text WHEN trim(html_with_citations)
 CASE WHEN starts_with(local_path, 'pdf/') THEN local_path WHEN NOT regexp_matches(lower(download_url), '\.(html?|xml)$') THEN download_url END AS pdf FROM {FIELDS.sql}""")
 def opinion_text(spark, d):
     """The first field with text, its markup stripped, and where the print is."""
-    own = FIELDS.frame(spark).withColumn("f", text.first_text(["plain_text", "html_with_citations", "html", "xml_harvard"]))
+    own = FIELDS.frame(spark, d).withColumn("f", text.first_text(["plain_text", "html_with_citations", "html", "xml_harvard"]))
     body = F.when(F.col("f.field") == "plain_text", F.col("f.text")).otherwise(F.trim(F.regexp_replace(F.col("f.text"), "<[^>]+>", " ")))
     pdf = F.when(F.col("local_path").startswith("pdf/"), F.col("local_path")).when(~F.lower("download_url").rlike(r"\.(html?|xml)$"), F.col("download_url"))
     return own.select("id", F.col("f.field").alias("field"), body.alias("text"), pdf.alias("pdf"))
@@ -331,7 +355,7 @@ SELECT c.claim_id, CASE WHEN support IN ('supported', 'partial', 'unsupported',
 def apply_assessments(spark, d):
     """Verdicts on claims by claim and prompt version, the last line winning; values outside the enumeration leave a row untouched."""
     last = rel.last_wins(VERDICTS.frame(spark), ["claim_id", "prompt_version"], ["line"]).where("prompt_version = 'v1'").select("claim_id", "support").withColumn("seen", F.lit(True))
-    joined = ASKED_CLAIMS.frame(spark).join(last, "claim_id", "left")
+    joined = ASKED_CLAIMS.frame(spark, d).join(last, "claim_id", "left")
     valid = F.when(F.col("support").isin("supported", "partial", "unsupported", "unverifiable"), F.col("support"))
     colour = F.when(valid.isNotNull(), rules.color(F.lit("VERIFIED"), valid, F.when(F.col("floor") == "Yellow", "CLOSE")))
     return joined.select("claim_id", valid.alias("support"), colour.alias("assessment"), F.col("seen").isNull().alias("pending"))

@@ -10,7 +10,7 @@ from verilane.operators import signals
 from verilane.sources.readers import replay
 from verilane.sources.sinks import distinct_names, merged_manifest
 
-from .fixtures import Fixture
+from .fixtures import Fixture, Mixed
 from .tables import T
 
 QUERIES: dict = {}
@@ -110,12 +110,12 @@ def headline_confidence(spark, d):
 
 # --- text rules
 
-_NOTES = Fixture("id int, note string", [(1, "Items|a || Cases|b|c ||  "), (2, "Only"), (3, ""), (4, "X|real case is Y, instead")])
+_NOTES = Mixed("id int, note string", [(1, "Items|a || Cases|b|c ||  "), (2, "Only"), (3, ""), (4, "X|real case is Y, instead")])
 
 
 @query(f"""SELECT id, trim(split_part(c, '|', 1)) AS category, trim(CASE WHEN contains(c, '|') THEN substring(c, strpos(c, '|') + 1) ELSE '' END) AS description FROM (SELECT id, unnest(string_split(note, '||')) AS c FROM {_NOTES.sql}) WHERE trim(c) <> ''""")
 def double_bar_items(spark, d):
-    chunks = _NOTES.frame(spark).select("id", F.explode(F.split("note", r"\|\|")).alias("c")).where(F.trim("c") != "")
+    chunks = _NOTES.frame(spark, d).select("id", F.explode(F.split("note", r"\|\|")).alias("c")).where(F.trim("c") != "")
     at = F.instr("c", "|")
     return chunks.select("id", F.trim(F.substring_index("c", "|", 1)).alias("category"), F.trim(F.when(at > 0, F.substr("c", at + 1)).otherwise("")).alias("description"))
 
@@ -130,7 +130,7 @@ def contrast_markers(spark, d):
     return T(spark, d, "documents").select("doc_id", ((at > 0) & (span > at)).alias("real_contrast"), F.lower("text").rlike(_MARKS).alias("spans_prose"), F.col("text").rlike("^[0-9]").alias("incomplete"))
 
 
-_REFS = Fixture("id int, ref string", [
+_REFS = Mixed("id int, ref string", [
     (1, "Smith v. Jones, No. 1:20-cv-1 (S.D.N.Y. 2020)"), (2, "Smith v. Jones, 12 F.3d 4 (2d Cir. 1999)"), (3, "ECF No. 12 at 3"), (4, "Smith v. Jones, No. 5"), (5, "plain words"), (6, "Doe v. Roe, 2019 WL 5"),
 ])
 _REP, _FED = r"\d+\s+(F\.|U\.S\.|S\. ?Ct\.|WL)", r"\((S|N|E|W|C|M)?\.?D\.\s*[A-Z]"
@@ -140,17 +140,17 @@ _REP, _FED = r"\d+\s+(F\.|U\.S\.|S\. ?Ct\.|WL)", r"\((S|N|E|W|C|M)?\.?D\.\s*[A-Z
 def docket_reference_kinds(spark, d):
     c = F.col("ref")
     versus = c.contains(" v. ")
-    return _REFS.frame(spark).select("id", F.when(c.rlike(_REP), "has_reporter_or_wl").when(versus & c.rlike(_FED), "docket_only").when(versus, "no_court").when(c.contains("ECF") | c.contains("Dkt."), "internal").otherwise("other").alias("kind"))
+    return _REFS.frame(spark, d).select("id", F.when(c.rlike(_REP), "has_reporter_or_wl").when(versus & c.rlike(_FED), "docket_only").when(versus, "no_court").when(c.contains("ECF") | c.contains("Dkt."), "internal").otherwise("other").alias("kind"))
 
 
-_DESCR = Fixture("id int, descr string", [(1, "BRIEF in support of motion"), (2, "Motion to extend time"), (3, "COMPLAINT filed"), (4, "Letter"), (5, None), (6, "Amended complaint and memorandum of law")])
+_DESCR = Mixed("id int, descr string", [(1, "BRIEF in support of motion"), (2, "Motion to extend time"), (3, "COMPLAINT filed"), (4, "Letter"), (5, None), (6, "Amended complaint and memorandum of law")])
 
 
 @query(f"""SELECT id, CASE WHEN regexp_matches(lower(descr), 'brief|memorandum of law') THEN 'merits_brief' WHEN contains(lower(descr), 'motion') THEN 'procedural_motion' WHEN regexp_matches(lower(descr), 'complaint|answer') THEN 'pleading' END AS doc_type FROM {_DESCR.sql}""")
 def doc_types(spark, d):
     """First hit in order of precedence."""
     low = F.lower("descr")
-    return _DESCR.frame(spark).select("id", F.when(low.rlike("brief|memorandum of law"), "merits_brief").when(low.contains("motion"), "procedural_motion").when(low.rlike("complaint|answer"), "pleading").alias("doc_type"))
+    return _DESCR.frame(spark, d).select("id", F.when(low.rlike("brief|memorandum of law"), "merits_brief").when(low.contains("motion"), "procedural_motion").when(low.rlike("complaint|answer"), "pleading").alias("doc_type"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey % 900 + 100 AS rate, CAST(o_orderkey % 30 + 1 AS INTEGER) AS months, o_orderkey % 4 AS k FROM orders), t AS (SELECT *, rate * months + k * rate AS total FROM o)
@@ -185,7 +185,7 @@ def line_cleanup(spark, d):
 
 # --- rows of the quality-control table
 
-_QC = Fixture("id int, qc_status string, v_status string, is_westlaw string, year string, case_name string", [
+_QC = Mixed("id int, qc_status string, v_status string, is_westlaw string, year string, case_name string", [
     (1, "rerun", "VERIFIED", "TRUE", "2022", "A v. B"), (2, "ignore", None, "no", "1999", "C v. D"), (3, None, None, "yes", "x", "v."), (4, None, "NOT_FOUND", "0", "2021", "E v. F"), (5, None, "", "1", "2000", "None v. None x"), (6, "approved", None, None, "2023", "G v. H"),
 ])
 
@@ -197,19 +197,19 @@ def qc_filters(spark, d):
     wl = F.upper(c("is_westlaw")).isin("TRUE", "1", "YES")
     late = F.coalesce(F.col("year").try_cast("int") >= 2021, F.lit(False))
     open_ = ~c("qc_status").isin("duplicate", "ignore", "investigate", "data") & (c("v_status") == "")
-    return _QC.frame(spark).select("id", ((c("qc_status") == "rerun") | open_).alias("actionable"), wl.alias("unpublished"), late.alias("post2020"), (wl | late).alias("hard"), (F.col("case_name").isin("", "v.") | F.col("case_name").startswith("None v. None")).alias("skipped"))
+    return _QC.frame(spark, d).select("id", ((c("qc_status") == "rerun") | open_).alias("actionable"), wl.alias("unpublished"), late.alias("post2020"), (wl | late).alias("hard"), (F.col("case_name").isin("", "v.") | F.col("case_name").startswith("None v. None")).alias("skipped"))
 
 
-_OVER = Fixture("id int, parsed_name string, given_name string, parsed_year int, given_year string", [(1, "A v. B", "", 1999, "2001"), (2, "A v. B", "X v. Y", 1999, "bad"), (3, None, " Z ", None, None)])
+_OVER = Mixed("id int, parsed_name string, given_name string, parsed_year int, given_year string", [(1, "A v. B", "", 1999, "2001"), (2, "A v. B", "X v. Y", 1999, "bad"), (3, None, " Z ", None, None)])
 
 
 @query(f"SELECT id, coalesce(nullif(trim(given_name), ''), parsed_name) AS case_name, coalesce(TRY_CAST(trim(given_year) AS INTEGER), parsed_year) AS year FROM {_OVER.sql}")
 def metadata_override(spark, d):
     """What a row states wins over what was parsed, if it isn't blank or malformed."""
-    return _OVER.frame(spark).select("id", F.coalesce(F.nullif(F.trim("given_name"), F.lit("")), "parsed_name").alias("case_name"), F.coalesce(F.trim("given_year").try_cast("int"), "parsed_year").alias("year"))
+    return _OVER.frame(spark, d).select("id", F.coalesce(F.nullif(F.trim("given_name"), F.lit("")), "parsed_name").alias("case_name"), F.coalesce(F.trim("given_year").try_cast("int"), "parsed_year").alias("year"))
 
 
-_STAND = Fixture("id int, cite string, name string, hint string, year string", [(1, "650 F.2d at 321", "A v. B", "2d Cir.", "1981"), (2, "22 F.4th 450, 459", "C v. D", "", "2022"), (3, "2019 WL 5", "E v. F", "S.D.N.Y.", ""), (4, "WL 5", "G", "", ""), (5, "12 U.S. 3", "", "", "")])
+_STAND = Mixed("id int, cite string, name string, hint string, year string", [(1, "650 F.2d at 321", "A v. B", "2d Cir.", "1981"), (2, "22 F.4th 450, 459", "C v. D", "", "2022"), (3, "2019 WL 5", "E v. F", "S.D.N.Y.", ""), (4, "WL 5", "G", "", ""), (5, "12 U.S. 3", "", "", "")])
 
 
 @query(rf"""WITH s AS (SELECT *, CASE WHEN regexp_matches(cite, '\bat\b') AND NOT contains(cite, ',') THEN false WHEN contains(cite, 'WL') THEN regexp_matches(cite, '\d{{4}}\s+WL\s+\d+') ELSE regexp_matches(cite, '^\d+\s+[A-Za-z. 0-9]+?\s+\d+') END AS standalone FROM {_STAND.sql})
@@ -222,10 +222,10 @@ def standalone_cites(spark, d):
     alone = F.when(short, F.lit(False)).when(c.contains("WL"), c.rlike(r"\d{4}\s+WL\s+\d+")).otherwise(full)
     paren = F.concat_ws(" ", F.nullif("hint", F.lit("")), F.nullif("year", F.lit("")))
     whole = F.concat(F.concat_ws(", ", "name", "cite"), F.when(paren == "", "").otherwise(F.concat(F.lit(" ("), paren, F.lit(")"))))
-    return _STAND.frame(spark).select("id", alone.alias("standalone"), F.when(alone & (F.col("name") != ""), whole).alias("citation"))
+    return _STAND.frame(spark, d).select("id", alone.alias("standalone"), F.when(alone & (F.col("name") != ""), whole).alias("citation"))
 
 
-_DIAG = Fixture("id int, message string, score double", [(1, "Year 1999 could be verified", 0.9), (2, "Court mismatch", 0.5), (3, None, 0.86), (4, "Court mismatch", 0.2), (5, None, 0.1)])
+_DIAG = Mixed("id int, message string, score double", [(1, "Year 1999 could be verified", 0.9), (2, "Court mismatch", 0.5), (3, None, 0.86), (4, "Court mismatch", 0.2), (5, None, 0.1)])
 
 
 @query(f"""SELECT id, CASE WHEN score < 0.40 THEN message WHEN message IS NULL THEN 'We identified a ' || w || ' match.' WHEN ends_with(message, 'could be verified') THEN message || '. However, we identified a ' || w || ' match.' ELSE message || ', but we identified a ' || w || ' match.' END AS message
@@ -233,13 +233,13 @@ FROM (SELECT *, CASE WHEN score >= 0.85 THEN 'likely' ELSE 'possible' END AS w F
 def diagnostics_wording(spark, d):
     w, m = F.when(F.col("score") >= 0.85, "likely").otherwise("possible"), F.col("message")
     said = F.when(m.isNull(), F.concat(F.lit("We identified a "), w, F.lit(" match."))).when(m.endswith("could be verified"), F.concat(m, F.lit(". However, we identified a "), w, F.lit(" match."))).otherwise(F.concat(m, F.lit(", but we identified a "), w, F.lit(" match.")))
-    return _DIAG.frame(spark).select("id", F.when(F.col("score") < rules.RESOLVES, m).otherwise(said).alias("message"))
+    return _DIAG.frame(spark, d).select("id", F.when(F.col("score") < rules.RESOLVES, m).otherwise(said).alias("message"))
 
 
-_COUNTS = Fixture("id int, status string, cluster long, wanted long", [(1, "VERIFIED", 1, 1), (2, "VERIFIED", 2, 3), (3, "CITE_UNCONFIRMED", 1, None), (4, "NOT_FOUND", None, 4), (5, "VERIFICATION_INCOMPLETE", None, 5), (6, None, None, 6)])
+_COUNTS = Mixed("id int, status string, cluster long, wanted long", [(1, "VERIFIED", 1, 1), (2, "VERIFIED", 2, 3), (3, "CITE_UNCONFIRMED", 1, None), (4, "NOT_FOUND", None, 4), (5, "VERIFICATION_INCOMPLETE", None, 5), (6, None, None, 6)])
 
 
 @query(f"""SELECT count(*) AS total, count_if(status IN {tuple(rules.CLEAN)!r}) AS found, count_if(cluster = wanted) AS cluster_match, count_if(status = 'CITE_UNCONFIRMED') AS check_cite, count_if(status = 'VERIFICATION_INCOMPLETE') AS incomplete, count_if(status IS NULL) AS errors, count_if(status = 'NOT_FOUND') AS not_found FROM {_COUNTS.sql}""")
 def baseline_counts(spark, d):
     s = F.col("status")
-    return _COUNTS.frame(spark).agg(F.count("*").alias("total"), F.count_if(s.isin(*rules.CLEAN)).alias("found"), F.count_if(F.col("cluster") == F.col("wanted")).alias("cluster_match"), F.count_if(s == "CITE_UNCONFIRMED").alias("check_cite"), F.count_if(s == "VERIFICATION_INCOMPLETE").alias("incomplete"), F.count_if(s.isNull()).alias("errors"), F.count_if(s == "NOT_FOUND").alias("not_found"))
+    return _COUNTS.frame(spark, d).agg(F.count("*").alias("total"), F.count_if(s.isin(*rules.CLEAN)).alias("found"), F.count_if(F.col("cluster") == F.col("wanted")).alias("cluster_match"), F.count_if(s == "CITE_UNCONFIRMED").alias("check_cite"), F.count_if(s == "VERIFICATION_INCOMPLETE").alias("incomplete"), F.count_if(s.isNull()).alias("errors"), F.count_if(s == "NOT_FOUND").alias("not_found"))

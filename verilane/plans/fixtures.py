@@ -14,6 +14,8 @@ from verilane.operators import relational as rel
 
 QUERIES: dict = {}
 SQL: dict = {}
+#: Published values: a query over the rows and the rows; some of the rules have queries over tables besides, in spellings.
+VECTORS: dict = {}
 
 
 def _sql(v) -> str:
@@ -85,6 +87,7 @@ def expected(name: str, ddl: str, rows: list[tuple], rule) -> None:
     def run(spark, d):
         return made.frame(spark).withColumn(fields[-1], rule(*map(F.col, fields[:-1])))
 
+    VECTORS[name] = (run, rows)
     QUERIES[name], SQL[name] = run, f"SELECT {', '.join(fields)} FROM {made.sql}"
 
 
@@ -148,8 +151,7 @@ PARSED = Fixture("raw_text string, plaintiff string, defendant string, volume st
 ])
 
 
-@query(f"SELECT * FROM {PARSED.sql}")
-def parse_citations(spark, d):
+def parsed_vectors(spark, d):
     names = [f.split(" ")[0] for f in PARSED.ddl.split(", ")]
     return PARSED.frame(spark).select(parse_citation(F.col("raw_text")).alias("p")).select(*[F.col(f"p.{n}") for n in names])
 

@@ -56,14 +56,6 @@ def opinion_search(spark, d):
     return who.join(orders, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey").agg(F.countDistinct("o_orderkey").alias("hits"), F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first"))
 
 
-_DN = Fixture("id int, number string, other string", [(1, "2:17-cv-00012676", "17-CV-12676-JCC"), (2, "C 09-02727 WHA", "9-cv-2727"), (3, "03 C 7956", "04 C 7956"), (4, None, "1-cv-1"), (5, "24-61529-CIV", "0:24-cv-61529")])
-
-
-@query(f"SELECT id, id IN (1, 2, 5) AS same FROM {_DN.sql}")
-def docket_post_filter(spark, d):
-    return _DN.frame(spark).select("id", F.coalesce(text.docket_number(F.col("number")) == text.docket_number(F.col("other")), F.lit(False)).alias("same"))
-
-
 @query("""SELECT doc_id, 'r' || (doc_id % 5) AS response FROM documents""")
 def cassette_replay(spark, d):
     """Calls answered from recorded responses; a call without one would raise."""

@@ -7,6 +7,7 @@ Candidates (prefix filter). All sets are ordered by one order of the tokens. Set
 them, so each one's first x - ceil(t x) + 1 tokens hold one that the other's first ones hold too: only prefixes are joined, and every pair that is
 alike meets in one of their lists. That is so for any order; the better one has rare tokens first, which keeps the lists short. Here the tokens that a
 bounded sample finds frequent come last, by how often, all others first, by their hash. The sample shapes the order alone: it never decides what is found.
+Of the smaller set only the first places count, since the first common token must be among them.
 Prefixes must also share so many tokens that, with all that stands behind them, the sets could be alike; the pairs left are verified on whole sets.
 
 Equal texts are one row, told apart by their MD5. `pairs` gives all pairs of different texts that are alike. `groups` gives what chains of such pairs
@@ -126,8 +127,8 @@ class TextSets:
         self.sets = cut(one.withColumn("s", F.monotonically_increasing_id()))
 
     def lists(self) -> DataFrame:
-        """token, s and n of every prefix token that several sets have, with pivot, the one of them whose prefix is the least its own."""
-        rows = self.sets.select("s", "n", "weight", F.explode("prefix").alias("token"))
+        """token, s, n and pos (the token's place in the prefix) of every prefix token that several sets have, with pivot, the one of them whose prefix is the least its own."""
+        rows = self.sets.select("s", "n", "weight", F.posexplode("prefix").alias("pos", "token"))
         central = F.shiftleft("weight", _PLACES) + F.col("s")  # one long, so that the aggregation stays one of hashes
         several = rows.groupBy("token").agg(F.count("*").alias("many"), F.max(central).alias("pivot")).where("many > 1")
         return rows.drop("weight").join(several.select("token", F.col("pivot").bitwiseAND(F.lit((1 << _PLACES) - 1)).alias("pivot")), "token")
@@ -165,10 +166,10 @@ class TextSets:
 
     def pairs(self) -> DataFrame:
         """All pairs of different texts that are alike: their digests t1 and t2, shared and total."""
-        lists = cut(self.lists().select("token", "s", "n"))
-        left, right = lists.select("token", F.col("s").alias("a"), F.col("n").alias("x")), lists.select("token", F.col("s").alias("b"), F.col("n").alias("y"))
-        met = left.join(right, "token").where((F.col("a") < F.col("b")) & self.near(F.col("x"), F.col("y")))
-        found = self.verified(cut(self._counted(met)))
+        lists = cut(self.lists().select("token", "s", "n", "pos"))
+        left, right = lists.select("token", F.col("s").alias("a"), F.col("n").alias("x"), F.col("pos").alias("i")), lists.select("token", F.col("s").alias("b"), F.col("n").alias("y"), F.col("pos").alias("j"))
+        met = left.join(right, "token").where((F.col("a") < F.col("b")) & self.near(F.col("x"), F.col("y")) & self._leads()).select("a", "b").distinct()
+        found = self.verified(cut(self._hopeful(cut(met))))
         names = self.sets.select("s", "t")
         return found.join(names.select(F.col("s").alias("a"), F.col("t").alias("t1")), "a").join(names.select(F.col("s").alias("b"), F.col("t").alias("t2")), "b").select("t1", "t2", "shared", "total")
 
@@ -179,12 +180,12 @@ class TextSets:
         if known is not None:
             stars = stars.unionByName(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
         found = cut(self.verified(cut(self._of_like_size(stars))).select("a", "b"))
-        mixed = self._mixed(lists.select("token", "s", "n"), found)
+        mixed = self._mixed(lists.select("token", "s", "n", "pos"), found)
         # all pairs of one text outside the list's largest part and any text of another part
-        outside = mixed.where("root <> main").select("token", F.col("s").alias("a"), F.col("n").alias("x"), F.col("root").alias("r"))
-        inside = mixed.select("token", F.col("s").alias("b"), F.col("n").alias("y"), F.col("root").alias("q"), (F.col("root") == F.col("main")).alias("within"))
-        met = outside.join(inside, "token").where((F.col("r") != F.col("q")) & (F.col("within") | (F.col("a") < F.col("b"))) & self.near(F.col("x"), F.col("y")))
-        rest = cut(self._counted(met.select("token", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.col("a") < F.col("b"), F.col("y")).otherwise(F.col("x")).alias("y"))))
+        outside = mixed.where("root <> main").select("token", F.col("s").alias("a"), F.col("n").alias("x"), F.col("pos").alias("i"), F.col("root").alias("r"))
+        inside = mixed.select("token", F.col("s").alias("b"), F.col("n").alias("y"), F.col("pos").alias("j"), F.col("root").alias("q"), (F.col("root") == F.col("main")).alias("within"))
+        met = outside.join(inside, "token").where((F.col("r") != F.col("q")) & (F.col("within") | (F.col("a") < F.col("b"))) & self.near(F.col("x"), F.col("y")) & self._leads())
+        rest = cut(self._hopeful(cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
         return found.unionByName(self.verified(rest).select("a", "b"))
 
     def _mixed(self, lists: DataFrame, found: DataFrame) -> DataFrame:
@@ -194,17 +195,26 @@ class TextSets:
         main = parts.groupBy("token").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("n_parts")).where("n_parts > 1").select("token", "main")
         return cut(own.join(main, "token"))
 
-    def _counted(self, met: DataFrame) -> DataFrame:
-        """Different pairs (a, b), met once for each token that their prefixes share, that share enough of them to be alike.
+    def _leads(self) -> Column:
+        """Whether a common token stands early enough in the smaller set (x tokens with place i, y tokens with place j) to be the first one that the two share.
+
+        Sets of x >= y tokens that are alike share at least 2 t / (1 + t) y of them, so the first one is among the smaller one's first y less that, plus one.
+        """
+        t = self.alike
+        early = lambda n, at: at <= n - F.ceil((n * (2 * t.numerator)) / (t.numerator + t.denominator) - 1e-9)
+        return F.when(F.col("x") <= F.col("y"), early(F.col("x"), F.col("i"))).otherwise(early(F.col("y"), F.col("j")))
+
+    def _hopeful(self, pairs: DataFrame) -> DataFrame:
+        """Of different pairs (a, b) those whose prefixes share enough tokens for the sets to be alike.
 
         Of two sets, the one whose prefix ends first in the order shares with the other its common prefix tokens and at most all that stands behind its prefix.
         """
         t = self.alike
         behind = lambda n: F.floor((n * t.numerator + (t.denominator - 1)) / t.denominator) - 1
-        x, y = F.col("x"), F.col("y")
-        counted = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("x").alias("x"), F.min("y").alias("y"))
-        most = F.col("c") + F.greatest(behind(x), behind(y))
-        return counted.where(most * (t.numerator + t.denominator) >= (x + y) * t.numerator).select("a", "b")
+        ends = [self.sets.select(F.col("s").alias(s), F.col("n").alias(n), F.col("prefix").alias(f"p{s}")) for s, n in (("a", "x"), ("b", "y"))]
+        both = pairs.join(ends[0], "a").join(ends[1], "b")
+        most = F.size(F.array_intersect("pa", "pb")) + F.greatest(behind(F.col("x")), behind(F.col("y")))
+        return both.where(most * (t.numerator + t.denominator) >= (F.col("x") + F.col("y")) * t.numerator).select("a", "b")
 
     def _of_like_size(self, pairs: DataFrame) -> DataFrame:
         ends = self.sets.select(F.col("s").alias("a"), F.col("n").alias("x")), self.sets.select(F.col("s").alias("b"), F.col("n").alias("y"))

@@ -9,7 +9,7 @@ Candidates. simhash.links joins the fingerprints of the five-word shingles throu
 finds the rest: texts that are alike share a shingle of their prefixes, whatever the size of the crowd that shares it, so no link is lost.
 
 Rows. Of each component the row of the smallest id stays, null after all others. An id leaves as one row: of several texts that its id makes first in their
-components the smallest digest, and of rows alike in id and text only one, the first by a digest of the row. Texts of null ids are different documents. Columns of any
+components the smallest digest, and of rows alike in id and text only one, the first in the order of the other columns, then of a digest of the row. Texts of null ids are different documents. Columns of any
 name and type are carried along; null counts as an empty text; an empty table stays empty.
 """
 
@@ -82,7 +82,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = first.select("t", F.col("m").isNull().alias("none"), F.coalesce("m", F.lit(0)).alias("id"))
     kept = components(docs.select("doc_id", "text")).join(first, "t").groupBy("root").agg(F.min(F.struct("none", "id", "t")).alias("k")).select("k.*")
     kept = kept.groupBy("none", "id", F.when(F.col("none"), F.col("t"))).agg(F.min("t").alias("t")).select("t", "none", "id")
-    # by a digest, since columns may be of types without an order
-    order = F.md5(F.struct(*names).cast("string"))
-    rank = F.row_number().over(Window.partitionBy("t", "none", "id").orderBy(order))
+    # columns of types without an order count by a digest of the row alone
+    ordered = [n for n, f in zip(names, docs.schema.fields, strict=True) if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant", "interval"))]
+    rank = F.row_number().over(Window.partitionBy("t", "none", "id").orderBy(*ordered, F.md5(F.struct(*names).cast("string"))))
     return rows.join(kept, ["t", "none", "id"], "left_semi").withColumn("rank", rank).where("rank = 1").select(*names).toDF(*docs.columns)

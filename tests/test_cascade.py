@@ -79,3 +79,16 @@ def test_best_document_against_a_loop(spark):
         key = (r.a, r.b, r.c, r.d, r.e, -r.document_id)
         want[(r.ord, r.docket_id)] = max(want.get((r.ord, r.docket_id), key), key)
     assert got == {k: (-want[k][5] if k in want else None) for k in got} and len(got) == 30 * 7
+
+
+def test_orders_a_hundred_thousand_apart_keep_their_locations(spark, tmp_path):
+    from datetime import datetime
+
+    from verilane.plans import catalog
+
+    rows = [(k, 7, "F", datetime(1996, 5, 4), "1-URGENT") for k in (5, 100_005, 200_005)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = "l_orderkey long, l_linenumber int, l_returnflag string, l_shipdate timestamp, l_quantity double, l_tax double"
+    spark.createDataFrame([(5, 1, "R", datetime(1996, 5, 6), 9.0, 0.01)], lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.queries()["resolve_cascade"](spark, str(tmp_path)).select("ord", "status", "cluster_id").collect()
+    assert sorted(map(tuple, got)) == [(k, "VERIFIED", k) for k, *_ in rows]

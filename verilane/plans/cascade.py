@@ -44,7 +44,7 @@ def cases(spark, d):
     name = lambda key: F.concat(F.lit("P"), word(key), F.lit(" v. D"), word(key))
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
     at = lambda page: F.format_string("%d F.3d %d", F.col("o_custkey") % 900 + 1, page)
-    right, wrong = at(key % 100_000 + 1), at(key % 100_000 + 500_001)
+    right, wrong = at(key + 1), at(key + _OTHER + 1)  # an order's pages are its own, however many orders there are
     number = F.format_string("1:%s-cv-%05d", F.date_format(day, "yy"), key)
     year, full = F.date_format(day, "yyyy"), F.concat(F.date_format(day, "MMM. "), F.dayofmonth(day).cast("string"), F.date_format(day, ", yyyy"))
     court = lambda when: F.concat(F.lit(" (S.D.N.Y. "), when, F.lit(")"))

@@ -146,3 +146,14 @@ def test_components_of_chains_stars_and_loops(spark):
             parent[y] = x
     frame = spark.createDataFrame(edges + edges[:5], "a long, b long")
     assert {(r.node, r.root) for r in component_labels(frame).collect()} == {(x, root(x)) for x in list(parent)}
+
+
+def test_pairs_by_centres_are_those_of_whole_sets(spark):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(base) if rng.random() < 0.04 * (k % 3) else w for w in base) for k in range(30)] + [" ".join(f"x{k}y{j}" for j in range(20)) for k in range(3)] + ["one two", ""]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    found = similar.TextSets(docs, any_id="doc_id")
+    every = found.sets.select(F.col("s").alias("a")).crossJoin(found.sets.select(F.col("s").alias("b"))).where("a < b").localCheckpoint()
+    want = sorted(map(tuple, found.verified(every).collect()))
+    assert want and sorted(map(tuple, found._by_centres(every).collect())) == want

@@ -58,3 +58,30 @@ def test_dup_finder_at_the_edges_of_ten(spark, tmp_path):
         want |= {(k, o, -s, "high" if -s >= 0.90 else "possible") for s, o in sorted(own)[:10]}
     got = catalog.queries()["dup_finder_tiers"](spark, str(tmp_path)).select("doc_id", "other", "score", "tier").collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_weighted_score_compares_names_not_parts(spark, tmp_path, monkeypatch):
+    # 40 parts of two names: the similarity join gets the names alone, and all pairs of a name's parts are scored
+    from verilane.plans import joins
+
+    rows = [(k, ["red bolt", "bolt red", "hot gear", "a"][k % 4], "A", f"T{k % 3}", k % 7) for k in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    met, join = [], joins.set_pairs
+    monkeypatch.setattr(joins, "set_pairs", lambda sets, *more: (met.append(sets.count()), join(sets, *more))[1])
+    classes = {}
+    for k, n, _, t, z in rows:
+        classes.setdefault((frozenset(tokens(n, 3)), t, z), []).append(k)
+    own = [(min(ks), *c) for c, ks in classes.items() if c[0]]
+    want = {(a, b, round(0.5 + 0.2 * (t == u) + 0.2 * (1.0 if y == z else 0.5 if abs(y - z) == 1 else 0.0), 3)) for a, n, t, y in own for b, m, u, z in own if a < b and n == m}
+    got = catalog.queries()["weighted_score"](spark, str(tmp_path)).select("p_partkey", "candidate", "score").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want and met == [2]
+
+
+def test_monthly_rates_reads_a_claim_once(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(k, 4, datetime(1997, 11, 3)) for k in range(8)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    out = catalog.queries()["monthly_rates"](spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("month") <= 20
+    assert sorted((r.o_orderkey, r.rate, r.total, r.months, r.flagged, r.implied) for r in out.collect()) == [(k, 104, 104 * (k + 1 + k % 4), k + 1, k % 4 == 2, float(k + 1 + k % 4)) for k in range(8) if k % 4 < 3]

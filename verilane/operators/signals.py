@@ -48,18 +48,29 @@ def monthly_claim(text: Column) -> Column:
     What stands before "per month" ends in the rate; after it come the total and, behind "from", two months with their years. The total is flagged if it differs from
     the rate times the months, both ends included, by more than one rate and a twentieth of the product.
     """
-    amounts = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"\$(\d[\d,]*)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("long"))
-    sides = F.split(F.lower(text), r"(?:/ *|\bper\s+)month", 2)
-    rest = F.get(sides, F.lit(1))
-    rate, total = F.try_element_at(amounts(F.get(sides, F.lit(0))), F.lit(-1)), F.get(amounts(rest), F.lit(0))
-    words = F.split(F.get(F.split(rest, r"\bfrom\s+", 2), F.lit(1)), r"[\s,.;]+")
-    month = lambda k: F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.get(words, F.lit(k))), F.lit(0).cast("long"))
-    year = lambda k: F.get(words, F.lit(k)).try_cast("int")
-    months = F.when(F.get(words, F.lit(2)) == "to", (year(4) - year(1)) * 12 + month(3) - month(0) + 1).cast("int")
-    want = rate * months
-    flagged = (rate > 0) & (months > 0) & (F.abs(want - total) > F.greatest(rate.cast("double"), 0.05 * want))
-    made = F.struct(rate.alias("rate"), total.alias("total"), months.alias("months"), flagged.alias("flagged"), F.round(F.try_divide(total, rate), 1).alias("implied"))
-    return F.when(rate.isNotNull() & total.isNotNull() & months.isNotNull(), made)
+    # each step is worked out once, then read by the next
+    then = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    amount = lambda c, before: F.replace(F.regexp_extract(c, before + r"\$(\d[\d,]*)", 1), F.lit(","), F.lit("")).try_cast("long")
+
+    def read(sides):
+        rest = F.get(sides, F.lit(1))
+        words = F.split(F.get(F.split(rest, r"\bfrom\s+", 2), F.lit(1)), r"[\s,.;]+")
+        return F.struct(amount(F.get(sides, F.lit(0)), "(?s).*").alias("rate"), amount(rest, "").alias("total"), words.alias("words"))
+
+    def counted(p):
+        month = lambda k: F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.get(p["words"], F.lit(k))), F.lit(0).cast("long"))
+        year = lambda k: F.get(p["words"], F.lit(k)).try_cast("int")
+        months = F.when(F.get(p["words"], F.lit(2)) == "to", (year(4) - year(1)) * 12 + month(3) - month(0) + 1).cast("int")
+        return F.struct(p["rate"].alias("rate"), p["total"].alias("total"), months.alias("months"))
+
+    def reckoned(q):
+        rate, total, months = q["rate"], q["total"], q["months"]
+        want = rate * months
+        flagged = (rate > 0) & (months > 0) & (F.abs(want - total) > F.greatest(rate.cast("double"), 0.05 * want))
+        made = F.struct(rate.alias("rate"), total.alias("total"), months.alias("months"), flagged.alias("flagged"), F.round(F.try_divide(total, rate), 1).alias("implied"))
+        return F.when(rate.isNotNull() & total.isNotNull() & months.isNotNull(), made)
+
+    return then(then(then(F.split(F.lower(text), r"(?:/ *|\bper\s+)month", 2), read), counted), reckoned)
 
 
 def cited(text: Column) -> Column:

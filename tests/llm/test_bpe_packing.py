@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -109,3 +110,13 @@ def test_query_columns(spark, tmp_path, library):
     assert sorted(r.n_tokens for r in bpe.query(spark, str(tmp_path)).collect()) == sorted(len(library.encode(t or "", add_special_tokens=False).ids) for _, t in ROWS)
     out = packing.query(spark, str(tmp_path)).collect()
     assert sum(r.length for r in out) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ROWS)
+
+
+def test_what_a_worker_remembers_is_bounded_within_a_batch_too(library):
+    texts = [" ".join(f"w{k}x{n}" for k in range(50)) for n in range(4)]
+    ids = packing.RunIds(PATH, 20)
+    for _ in range(2):
+        found, bounds = ids.of(pa.array(texts))
+        for text, start, end in zip(texts, bounds, bounds[1:], strict=False):
+            assert found[start:end].tolist() == library.encode(text, add_special_tokens=False).ids + [packing.END]
+    assert len(ids.runs) <= 20 and len(ids.pieces) <= 20

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 #: Rows with this remainder of crc32(doc_id) by FOLDS are never learned from.
 FOLDS, HELD_OUT = 4, 2
-#: A batch that crosses to Python has at most this many rows and about this many bytes, so that long texts stay bounded.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: A batch that crosses to Python has at most this many rows and about this many bytes, so that long texts stay bounded. What a task holds of it,
+#: on both sides and in arrays of 64-bit numbers, is several times as much.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Slices of a stratum within which sampled rows are ranked.
 SLICES = 64
 

@@ -19,6 +19,7 @@ import json
 import unicodedata
 import zlib
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .common import map_batches, spread, table
 CAPACITY, END = 2048, 1
 #: Reciprocal classes; the last one holds all shorter rests.
 CLASSES = 32
-#: Runs of text, and of their pieces, whose ids a worker remembers; about 0.4 kB each. Fewer cost time, not results.
+#: The most runs of text, and the most of their pieces, whose ids a worker remembers; about 0.4 kB each. Fewer cost time, not results.
 REMEMBERED = 600_000
 #: White space of Unicode beyond ASCII, as the tokenizer's pattern sees it.
 _WIDE_SPACE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -171,16 +172,15 @@ class RunIds:
                 for piece, end in zip(group, ends.tolist(), strict=True):
                     new[piece] = data[start:end]
                     start = end
-        if len(known) < self.bound:
-            known.update(new)
+        known.update(islice(new.items(), max(0, self.bound - len(known))))
         out = []
         for run, own in zip(wanted, cut, strict=True):
             if own is None:
                 out.append(np.array(self.library.encode(run, add_special_tokens=False).ids, "<u4").tobytes())
             else:
                 out.append(b"".join([known.get(p) or new[p] for p in own]))
-        if len(self.runs) < self.bound:  # the frequent runs come early and stay
-            self.runs.update(zip(wanted, out, strict=True))
+        # the frequent runs come early and stay; a batch's runs are taken up to the bound, not all of them
+        self.runs.update(islice(zip(wanted, out, strict=True), max(0, self.bound - len(self.runs))))
         return out
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -115,3 +115,11 @@ def test_null_and_repeated_ids_keep_one_row_by_a_total_order(spark):
     both = [(5, words[0]), (5, words[1])]
     for keep in (simhash.keep_one, resemblance.keep_one):
         assert len({tuple(keep(spark.createDataFrame(order, "doc_id long, text string")).first()) for order in (both, both[::-1])}) == 1
+
+
+def test_keys_never_pass_through_the_driver(spark):
+    fps = spark.range(3000).select(F.xxhash64("id").alias("fp")).distinct()
+    shared = simhash._shared_keys(fps)
+    shared.collect()
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

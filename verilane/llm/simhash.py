@@ -99,11 +99,17 @@ def _keyed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps[owners], pa.int64())], ["key", "fp"])
 
 
+def _shared_keys(distinct: DataFrame) -> DataFrame:
+    """key, fp and n, how many fingerprints share the key, of all keys that several share."""
+    # counts come from an aggregation, so that a crowded key isn't gathered in one task; its rows are split by the skew join. Spark takes the keys
+    # for as few as the fingerprints, of which each has 33: without the hint it would send all of them through the driver as a small table
+    keyed = map_batches(distinct.select("fp"), _keyed, "key long, fp long")
+    return keyed.hint("merge").join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
 def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs (a, b) of different fingerprints whose links connect all that the definition connects. distinct: one column fp."""
-    # counts come from an aggregation, so that a crowded key isn't gathered in one task; its rows are split by the skew join
-    keyed = map_batches(distinct.select("fp"), _keyed, "key long, fp long")
-    busy = checkpointed(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    busy = checkpointed(_shared_keys(distinct))
     mild = busy.where(F.col("n") <= hot)
     pairs = mild.select("key", F.col("fp").alias("a")).join(mild.select("key", F.col("fp").alias("b")), "key").where("a < b")
     near = pairs.select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
@@ -111,7 +117,7 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(BITS)])
     ball = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))
     centre = ball.groupBy("middle").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("middle", "a")
-    linked = ball.join(centre, "middle").where("fp <> a").select("a", F.col("fp").alias("b"))
+    linked = ball.hint("merge").join(centre, "middle").where("fp <> a").select("a", F.col("fp").alias("b"))
     return near.unionByName(linked).distinct()
 
 

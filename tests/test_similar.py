@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from verilane.operators import similar
+from verilane.operators import clusters, similar
 from verilane.operators.components import component_labels
 
 
@@ -157,3 +157,21 @@ def test_pairs_by_centres_are_those_of_whole_sets(spark):
     every = found.sets.select(F.col("s").alias("a")).crossJoin(found.sets.select(F.col("s").alias("b"))).where("a < b").localCheckpoint()
     want = sorted(map(tuple, found.verified(every).collect()))
     assert want and sorted(map(tuple, found._by_centres(every).collect())) == want
+
+
+@pytest.mark.parametrize("most", [99, 6])
+def test_clusters_of_rows_equal_those_of_exploded_lines(spark, most):
+    rng = random.Random(9)
+    line = lambda: rng.sample("abcdefghijkl", rng.randrange(2, 9))
+    rows = [(None if k % 14 == 0 else k % 60, [line() for _ in range(rng.randrange(12))]) for k in range(90)] + [(7, None), (2000, None)]
+    docs = spark.createDataFrame(rows, "d long, lines array<array<string>>").repartition(3)
+    got = clusters.largest_clusters_of_rows(docs, "d", F.col("lines"), F.size("lines") > most)
+    want = clusters.largest_clusters(docs.select("d", F.explode("lines").alias("t")), "d", "t")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_document_in_one_row_is_clustered_without_a_shuffle_of_its_tokens(spark):
+    docs = spark.createDataFrame([(k, [["a", "b", "c", "d"], ["a", "b", "c", "e"], ["x", "y", "z", "w"]]) for k in range(20)], "d long, lines array<array<string>>")
+    got = clusters.largest_clusters_of_rows(docs, "d", F.col("lines"), F.lit(False))
+    assert {tuple(r)[1:] for r in got.collect()} == {(2, 2)} and got.count() == 20
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()

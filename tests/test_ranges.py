@@ -20,6 +20,22 @@ def test_occurrences_of_many_passages(spark, at_once, held):
     assert got == sorted((t, n, text.find(n) + 1) for t, text in texts if text for n in set(needles) if n and n in text)
 
 
+def test_words_are_read_only_for_passages_with_inner_words(spark, monkeypatch):
+    def never(*args):
+        raise AssertionError("the texts' words were read")
+
+    monkeypatch.setattr(passages, "_by_word", never)
+    frame = spark.createDataFrame([(n,) for n in ("b c", "ab", "c d", "x", "zz")], "needle string")
+    got = passages.occurrences(frame, spark.createDataFrame([(1, "ab cd"), (2, "b c d x")], "t int, haystack string"), "t", at_once=4)
+    assert sorted(map(tuple, got.collect())) == [(1, "ab", 1), (1, "b c", 2), (2, "b c", 1), (2, "c d", 3), (2, "x", 7)]
+
+
+def test_a_short_passage_costs_the_automaton_a_number_alone():
+    machine, others = passages.automaton(["ab", "abc", "x" * 40 + "ab", "x" * 50])
+    assert set(others) and all(k >= 4 for k in others) and machine.get("ab") == 0 and machine.get("abc") == 1
+    assert passages.first_places(machine, others, ["ab", "abc", "x" * 40 + "ab", "x" * 50], "abc" + "x" * 50 + "ab") == {0: 0, 1: 0, 2: 13, 3: 3}
+
+
 def test_intervals(spark):
     rng = random.Random(2)
     spans = [(rng.choice("ab"), k, s, s + rng.choice([0, 1, 2, 3, 7, 8, 9, 100, 5000, -4])) for k, s in enumerate(rng.randrange(-200, 200) for _ in range(120))] + [("a", 900, -(2**61), 2**61), ("c", 901, 0, 5), ("a", 902, None, 5)]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 
 from verilane.sources.session import cut
 
-ANCHOR, CHARACTERS = 32, 1 << 20
+ANCHOR, CHARACTERS = 32, 12 << 20
 #: Passages themselves, which are checked at the places found, have at most this many characters.
 HELD = 16 << 20
-_BUILT: dict[str, ahocorasick.Automaton] = {}
+_BUILT: dict[str, tuple] = {}
 
 
 def anchors(passages: list[str]) -> list[tuple[int, int]]:
@@ -36,23 +37,39 @@ def anchors(passages: list[str]) -> list[tuple[int, int]]:
     return [min(own, key=lambda s, p=p: (shared[p[s[0] : s[1]]], s)) for p, own in zip(passages, spans, strict=True)]
 
 
-def automaton(passages: list[str]) -> ahocorasick.Automaton:
-    """Anchors, each with the numbers of its passages and where in them it begins."""
-    by_anchor: dict[str, list[tuple[int, int]]] = {}
+def automaton(passages: list[str]) -> tuple[ahocorasick.Automaton, dict[int, list[tuple[int, int, int]]]]:
+    """Anchors. One that is a whole passage and no other's anchor has that passage's number, so that short passages cost no object each; any other one
+    a number from len(passages) on, of its size, its passages' numbers and where in them it begins."""
+    by_anchor: dict[str, int | list[tuple[int, int, int]]] = {}
     for k, (a, b) in enumerate(anchors(passages)):
-        by_anchor.setdefault(passages[k][a:b], []).append((k, a))
-    out = ahocorasick.Automaton()
+        word = passages[k][a:b]
+        before = by_anchor.get(word)
+        if before is None and b - a == len(passages[k]):
+            by_anchor[word] = k
+            continue
+        own = before if isinstance(before, list) else [] if before is None else [(b - a, before, 0)]
+        own.append((b - a, k, a))
+        by_anchor[word] = own
+    out, others = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}
     for word, own in by_anchor.items():
-        out.add_word(word, (len(word), own))
+        if isinstance(own, list):
+            others[len(passages) + len(others)] = own
+            own = len(passages) + len(others) - 1
+        out.add_word(word, own)
+    by_anchor.clear()
     out.make_automaton()
-    return out
+    return out, others
 
 
-def first_places(machine: ahocorasick.Automaton, passages: list[str], text: str) -> dict[int, int]:
+def first_places(machine: ahocorasick.Automaton, others: dict[int, list[tuple[int, int, int]]], passages: list[str], text: str) -> dict[int, int]:
     """By number, the place from 0 of the first occurrence of each passage that text holds."""
     found: dict[int, int] = {}
-    for end, (size, own) in machine.iter(text):
-        for k, offset in own:
+    for end, number in machine.iter(text):
+        if number < len(passages):
+            if number not in found:
+                found[number] = end + 1 - len(passages[number])
+            continue
+        for size, k, offset in others[number]:
             if k not in found:
                 start = end + 1 - size - offset
                 if start >= 0 and text.startswith(passages[k], start):
@@ -62,7 +79,7 @@ def first_places(machine: ahocorasick.Automaton, passages: list[str], text: str)
 
 def _by_automaton(passages: DataFrame, texts: DataFrame, key: str, passage: str, text: str) -> DataFrame:
     spark = texts.sparkSession
-    words = sorted(r[0] for r in passages.collect())
+    words = sorted(passages.toArrow().column(0).to_pylist())
     if not words:
         return texts.select(key, F.lit("").alias(passage), F.lit(1).alias("at")).limit(0)
     shared, name = spark.sparkContext.broadcast(words), uuid.uuid4().hex
@@ -71,22 +88,22 @@ def _by_automaton(passages: DataFrame, texts: DataFrame, key: str, passage: str,
         own = shared.value
         if name not in _BUILT:
             _BUILT.clear()
-            _BUILT[name] = automaton(own)
+            _BUILT[name] = (*automaton(own), own)
         for batch in batches:
             rows, numbers, places = [], [], []
             for k, x in enumerate(batch.column(1)):
-                for number, at in first_places(_BUILT[name], own, x.as_py() or "").items():
+                for number, at in first_places(*_BUILT[name], x.as_py() or "").items():
                     rows.append(k)
                     numbers.append(number)
                     places.append(at + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(places, pa.int32())], [key, "_number", "at"])
+            # the passages themselves, so that what is found needs no join
+            held = pa.array([own[n] for n in numbers], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), held, pa.array(places, pa.int32())], [key, passage, "at"])
 
     conf = spark.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    found = texts.select(key, text).mapInArrow(find, f"{key} {dict(texts.dtypes)[key]}, _number int, at int")
-    names = spark.createDataFrame(pa.table({"_number": pa.array(range(len(words)), pa.int32()), passage: pa.array(words, pa.string())}))
-    return found.join(names, "_number").select(key, passage, "at")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return texts.select(key, text).mapInArrow(find, f"{key} {dict(texts.dtypes)[key]}, {passage} string, at int")
 
 
 def _by_word(passages: DataFrame, texts: DataFrame, key: str, passage: str, text: str) -> DataFrame:
@@ -105,19 +122,17 @@ def occurrences(passages: DataFrame, texts: DataFrame, key: str, passage: str =
     Nothing holds an empty or null passage, and a null text holds nothing. Texts are told apart by key; rows of one key each count.
     """
     different = passages.select(passage).where(F.length(passage) > 0).distinct()
+    inner = F.size(F.split(F.col(passage), " ")) > 2
     size = F.sum(F.least(F.length(passage), F.lit(ANCHOR)))
-    taken = different.agg(size.alias("anchors"), F.sum(F.length(passage)).alias("all")).first()
-    if (taken["anchors"] or 0) <= at_once and (taken["all"] or 0) <= held:
+    taken = {r["inner"]: r for r in different.groupBy(inner.alias("inner")).agg(size.alias("anchors"), F.sum(F.length(passage)).alias("all")).collect()}
+    if sum(r["anchors"] for r in taken.values()) <= at_once and sum(r["all"] for r in taken.values()) <= held:
         return _by_automaton(different, texts, key, passage, text)
-    inner = F.size(F.split(F.col(passage), " ")) > 2
-    found = _by_word(different.where(inner), texts, key, passage, text)
-    short = different.where(~inner)
-    left = short.agg(size.alias("anchors"), F.sum(F.length(passage)).alias("all")).first()
-    blocks = max(-(-(left["anchors"] or 0) // at_once), -(-(left["all"] or 0) // held))
-    for block in range(blocks):
-        some = short.where(F.pmod(F.xxhash64(passage), F.lit(blocks)) == block)
-        found = found.unionByName(_by_automaton(some, texts, key, passage, text))
-    return found
+    # without passages of inner words the texts' words aren't read at all
+    parts = [_by_word(different.where(inner), texts, key, passage, text)] if True in taken else []
+    if False in taken:
+        short, blocks = different.where(~inner), max(-(-taken[False]["anchors"] // at_once), -(-taken[False]["all"] // held))
+        parts += [_by_automaton(short.where(F.pmod(F.xxhash64(passage), F.lit(blocks)) == block), texts, key, passage, text) for block in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def passages_in(passages: DataFrame, texts: DataFrame, passage: str = "needle", text: str = "haystack", key: str | None = None) -> DataFrame:

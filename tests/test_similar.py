@@ -115,6 +115,19 @@ def test_a_crowd_isn_t_compared_pair_by_pair(spark, monkeypatch):
     assert sum(compared) < 20 * len(texts)  # all pairs are 124,750
 
 
+def test_a_passage_that_the_sample_misses_brings_no_texts_together(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(20)]
+    texts = [" ".join([f"w{rng.randrange(10**9)}" for _ in range(80)] + passage) for _ in range(60)]
+    near = texts[0].replace(" p19", " other")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, near])], "id long, text string").repartition(4)
+    monkeypatch.setattr(similar, "SAMPLE_ROWS", 1)
+    found = similar.TextSets(docs, any_id="id")
+    assert found.lists().select("s").distinct().count() == 2  # the two near copies, not the passage's texts
+    got = {bytes(r.t): bytes(r.root) for r in found.groups().collect()}
+    assert got[md5(near)] == got[md5(texts[0])] and len(set(got.values())) == 60
+
+
 def test_sets_of_columns(spark):
     rng = random.Random(2)
     rows = [(k, rng.choice("ab"), rng.sample("c d e f g h i j k l".split(), rng.randrange(0, 7))) for k in range(150)] + [(200, "a", ["c", "c", "d"]), (201, "a", ["d", "c"]), (202, "b", None)]

@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from verilane.sources.session import cut
 
+#: Edges that a partition of a round holds at least, if there are so many.
+EDGES = 50_000
+
 
 def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node and root (the smallest node of its component) for every node of edges (a, b); loops and repeated edges are allowed.
 
     Both stars replace each edge by one that points at a smaller node, so the table never grows beyond twice its edges; the number of rounds grows
     with the logarithm of the longest chain. Smallest neighbours come from aggregations and the joins to them can be split, so a node with very
-    many neighbours isn't gathered in one task. Every round is checkpointed.
+    many neighbours isn't gathered in one task. Every round is checkpointed. Rounds begin with as few partitions as their edges fill: a round over few edges
+    needs no shuffle, whose files, one or more for each of its partitions, would take far more disk than the edges.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(edges)
     for _ in range(max_rounds):
         if mark[0] == 0:
             break
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges.coalesce(-(-mark[0] // EDGES)))))
         now = _mark(edges)
         if now == mark:
             break

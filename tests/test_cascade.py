@@ -92,3 +92,22 @@ def test_orders_a_hundred_thousand_apart_keep_their_locations(spark, tmp_path):
     spark.createDataFrame([(5, 1, "R", datetime(1996, 5, 6), 9.0, 0.01)], lines).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = catalog.queries()["resolve_cascade"](spark, str(tmp_path)).select("ord", "status", "cluster_id").collect()
     assert sorted(map(tuple, got)) == [(k, "VERIFIED", k) for k, *_ in rows]
+
+
+def test_what_no_stage_reads_is_not_written(spark):
+    import glob
+    import os
+    import random
+
+    # an opinion's text of 300 kB, found by name: no candidate carries it
+    rng = random.Random(3)
+    long = [("%030x" % rng.getrandbits(120)) * 10_000 for _ in range(4)]
+    rows = [(k, "Thornton v. Whitfield", "ca2", "1996-04-02", [f"{80 + k} F.3d 77"], None, t) for k, t in enumerate(long)]
+    clusters = spark.createDataFrame(rows, "cluster_id long, case_name string, court_id string, date_filed string, citations array<string>, docket_case_name string, opinion_text string")
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir
+    written = lambda: {f: os.path.getsize(f) for f in glob.glob(f"{folder().get().removeprefix('file:')}/**/part-*", recursive=True)} if folder().isDefined() else {}
+    before = written()
+    out = resolve.resolve(cites_of(spark, [(3, "Thornton v. Whitfield, 99 F.3d 12 (2d Cir. 1996)")]), clusters, tables(spark)[1])
+    assert [(r.status, r.cluster_id) for r in out.collect()] == [("CITE_UNCONFIRMED", 0)]
+    fresh = [n for f, n in written().items() if f not in before]
+    assert fresh and sum(fresh) < 20_000

@@ -5,7 +5,8 @@ date_filed, page_count and is_free. Dates are ISO strings.
 
 Dockets are found by equal numbers, after normalisation, and by shared distinctive name tokens; the gates apply to both. A docket's documents are all known
 here, so no range of dates is fetched first: one equi-join on the docket and one aggregation give the best document of every citation and docket, whatever
-number of documents a docket holds; nothing is sorted or listed by docket.
+number of documents a docket holds; nothing is sorted or listed by docket. Pairs are found as two numbers, and what both sides hold is joined to them
+once, after repeated pairs are gone.
 """
 
 from __future__ import annotations
@@ -16,18 +17,28 @@ from pyspark.sql import functions as F
 from verilane.functions import rules, text
 
 
-def name_pairs(citations: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Pairs that share a distinctive token of their names, once for each such token."""
-    a = citations.withColumn("_tok", F.explode(text.name_tokens(F.col("parsed.case_name"))))
-    b = candidates.withColumn("_tok", F.explode(text.name_tokens(F.col("case_name"))))
-    return a.join(b, "_tok").drop("_tok")
+def name_pairs(citations: DataFrame, candidates: DataFrame, key: str, gate) -> DataFrame:
+    """Different pairs (ord, key) whose names share the hash of a distinctive token and whose years pass gate(filed, cited)."""
+    hashes = lambda c: F.explode(F.transform(text.name_tokens(c), lambda t: F.xxhash64(t))).alias("_tok")
+    a = citations.select("ord", F.col("parsed.year").alias("_year"), hashes(F.col("parsed.case_name")))
+    b = candidates.select(key, rules.year_of(F.col("date_filed")).alias("_filed"), hashes(F.col("case_name")))
+    return a.join(b, "_tok").where(gate(F.col("_filed"), F.col("_year"))).select("ord", key).distinct()
 
 
 def number_pairs(citations: DataFrame, dockets: DataFrame) -> DataFrame:
-    """Pairs whose docket numbers are equal after normalisation; a citation or docket without a number has none."""
-    asked = citations.withColumn("_number", F.nullif(text.docket_number(F.col("parsed.docket_number")), F.lit("")))
-    kept = dockets.withColumn("_number", F.nullif(text.docket_number(F.col("docket_number")), F.lit("")))
-    return asked.join(kept, "_number").drop("_number")
+    """Pairs (ord, docket_id) whose docket numbers are equal after normalisation; a citation or docket without a number has none."""
+    number = lambda c: F.nullif(text.docket_number(c), F.lit("")).alias("_number")
+    return citations.select("ord", number(F.col("parsed.docket_number"))).join(dockets.select("docket_id", number(F.col("docket_number"))), "_number").select("ord", "docket_id")
+
+
+def with_rows(pairs: DataFrame, citations: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """Pairs (ord, key) with the columns of both."""
+    return pairs.join(citations, "ord").join(candidates.withColumnRenamed(key, "_own"), F.col(key).eqNullSafe(F.col("_own"))).drop("_own")
+
+
+def share_a_token(cited: Column, caption: Column) -> Column:
+    """Whether two names share a distinctive token."""
+    return F.coalesce(F.arrays_overlap(text.name_tokens(cited), text.name_tokens(caption)), F.lit(False))
 
 
 def gated(pairs: DataFrame) -> DataFrame:
@@ -40,7 +51,9 @@ def gated(pairs: DataFrame) -> DataFrame:
 
 def docket_pairs(citations: DataFrame, dockets: DataFrame) -> DataFrame:
     """Every citation with every docket found by number or name, once."""
-    return gated(number_pairs(citations, dockets).unionByName(name_pairs(citations, dockets))).dropDuplicates(["ord", "docket_id"])
+    possible = lambda filed, cited: rules.filing_gate(filed, cited) & rules.era_gate(cited)
+    met = number_pairs(citations, dockets).unionByName(name_pairs(citations, dockets, "docket_id", possible)).distinct()
+    return gated(with_rows(met, citations, dockets, "docket_id"))
 
 
 #: Pages beyond which a document isn't taken for a likelier opinion.
@@ -54,7 +67,7 @@ def with_best_document(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     of opinion, the longer one, and the smaller id.
     """
     p, day = F.col("parsed"), F.col("_d.date_filed")
-    cited = (p["year"], p["month"], p["day"])
+    cited = (F.col("_y"), F.col("_m"), F.col("_n"))
     free, pages = F.coalesce("_d.is_free", F.lit(False)), F.coalesce(F.col("_d.page_count").cast("int"), F.lit(0))
     described = F.coalesce("_d.description", F.lit(""))
     ruling = text.is_substantive(F.lower(described)) | free
@@ -63,7 +76,7 @@ def with_best_document(pairs: DataFrame, documents: DataFrame) -> DataFrame:
         text.opinion_tier(described, free).alias("tier"), F.least(pages, F.lit(MOST_PAGES)).alias("pages"), (-F.col("_d.document_id")).alias("id"),
     )
     docs = documents.select("docket_id", F.struct("document_id", "description", "date_filed", F.coalesce("page_count", F.lit(0)).cast("int").alias("page_count"), F.coalesce("is_free", F.lit(False)).alias("is_free")).alias("_d"))
-    best = pairs.select("ord", "docket_id", "parsed").join(docs, "docket_id").groupBy("ord", "docket_id").agg(F.max_by("_d", rank).alias("document"))
+    best = pairs.select("ord", "docket_id", p["year"].alias("_y"), p["month"].alias("_m"), p["day"].alias("_n")).join(docs, "docket_id").groupBy("ord", "docket_id").agg(F.max_by("_d", rank).alias("document"))
     return pairs.join(best, ["ord", "docket_id"], "left")
 
 

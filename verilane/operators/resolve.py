@@ -17,13 +17,17 @@ from verilane.functions.similarity import with_name_similarity
 
 from verilane.sources.session import cut
 
-from .dockets import docket_pairs, is_opinion, name_pairs, with_best_document
+from .dockets import docket_pairs, is_opinion, name_pairs, share_a_token, with_best_document, with_rows
 from .relational import first_wins, pending
 
 
 DOCUMENT = "struct<document_id:long,description:string,date_filed:string,page_count:int,is_free:boolean>"
 #: Characters of an opinion that hold its caption. Fixed value.
 HEAD = 500
+#: Fields of a parsed citation that no stage reads, and those that nothing reads after a candidate is scored.
+UNREAD, COMPARED = ("raw_text", "is_westlaw", "ecf_document_number"), ("case_name", "plaintiff", "defendant", "docket_number")
+#: What the stages read of a record.
+OF_CLUSTERS, OF_DOCKETS = ("cluster_id", "case_name", "court_id", "date_filed", "citations"), ("docket_id", "case_name", "court_id", "date_filed", "docket_number")
 
 
 def location_key(volume: Column, reporter: Column, page: Column) -> Column:
@@ -33,7 +37,7 @@ def location_key(volume: Column, reporter: Column, page: Column) -> Column:
 def exact_lookup(citations: DataFrame, clusters: DataFrame) -> DataFrame:
     """ord and the first cluster on record at the cited location."""
     record = clusters.withColumn("_c", F.explode("citations")).withColumn("_r", text.record_cite(F.col("_c")))
-    keyed = record.withColumn("_key", location_key(*(F.nullif(F.col(f"_r.{k}"), F.lit("")) for k in ("volume", "reporter", "page"))))
+    keyed = record.withColumn("_key", location_key(*(F.nullif(F.col(f"_r.{k}"), F.lit("")) for k in ("volume", "reporter", "page")))).drop("_c", "_r", "citations", "court_id", "date_filed")
     p = F.col("parsed")
     asked = citations.withColumn("_key", location_key(p["volume"], p["reporter"], p["page"])).where(F.col("_key").isNotNull())
     return first_wins(asked.join(keyed, "_key"), ["ord"], [F.col("cluster_id")])
@@ -55,7 +59,8 @@ def scored(pairs: DataFrame, record: Column, docket: Column) -> DataFrame:
     facts = pairs.withColumn("cite_check", check).withColumn("_date", date).withColumn("_docket", docket_hit).withColumn("_contra", contradicted)
     facts = facts.withColumn("_parties", _parties(names.party_overlap, F.col("case_name")))
     # the similarity is worked out once and then read by the score
-    ready = cut(with_name_similarity(facts, p["case_name"], F.col("case_name"), "name_sim"))
+    ready = with_name_similarity(facts, p["case_name"], F.col("case_name"), "name_sim").withColumn("parsed", p.dropFields(*COMPARED))
+    ready = cut(ready.drop("citations", "docket_number", "date_filed", "_state"))
     score = rules.candidate_score(
         p["court"], p["year"], F.col("name_sim"), F.coalesce(F.col("_court") == F.col("court_id"), F.lit(False)), F.coalesce(F.col("_date"), F.lit(0.0)),
         F.col("_docket"), F.col("cite_check") == "CORROBORATED", F.col("_parties"), F.col("_contra"),
@@ -81,19 +86,21 @@ def resolve(citations: DataFrame, clusters: DataFrame, dockets: DataFrame, docum
     VERIFIED_DOCKET_ONLY. A docket without documents has its score discounted unless its number is the cited one.
     """
     p = F.col("parsed")
-    citations = cut(citations.withColumn("_court", courts.court_id(p["court"])).withColumn("_state", courts.is_state_citation(p["court"], p["reporter"])))  # else every use of a field would parse the text again
+    citations = cut(citations.select("ord", p.dropFields(*UNREAD).alias("parsed"), courts.court_id(p["court"]).alias("_court"), courts.is_state_citation(p["court"], p["reporter"]).alias("_state")))  # else every use of a field would parse the text again
     lookup = exact_lookup(citations, with_captions(clusters)).withColumn("_ok", _parties(names.lookup_name_match, F.col("case_name")))
     hits = names.caption_hits(p["case_name"], p["plaintiff"], p["defendant"], {c: F.col(c) for c in names.CAPTION_SOURCES})
-    lookup = cut(lookup.withColumn("_shown", F.when(F.col("_ok"), False).otherwise(F.size(hits) > 0)))  # the hits are worked out once
-    differs = F.when(names.formatting_only(p["case_name"], F.col("case_name")), "name_formatting_noise").otherwise("cl_display_name_data_bug")
-    unnamed = (F.coalesce(p["case_name"], F.lit("")) == "") | (F.coalesce("case_name", F.lit("")) == "")
+    shown = F.when(F.col("_ok"), False).otherwise(F.size(hits) > 0).alias("_shown")
+    lookup = cut(lookup.select("ord", p["case_name"].alias("_cited"), "cluster_id", "case_name", "_ok", shown))  # the hits are worked out once
+    differs = F.when(names.formatting_only(F.col("_cited"), F.col("case_name")), "name_formatting_noise").otherwise("cl_display_name_data_bug")
+    unnamed = (F.coalesce("_cited", F.lit("")) == "") | (F.coalesce("case_name", F.lit("")) == "")
     done = lookup.select(
         "ord", F.when(unnamed, "VERIFIED_PARTIAL").when(F.col("_ok") | F.col("_shown"), "VERIFIED").otherwise("WRONG_CASE").alias("status"), "cluster_id", F.lit(None).cast("long").alias("docket_id"), F.lit(None).cast("long").alias("document_id"), F.col("case_name").alias("matched_name"),
         F.lit(1.0).alias("score"), F.lit("citation_lookup").alias("stage"), F.when(unnamed, "name_unverified").when(F.col("_shown"), differs).alias("warning"),
     )
     left = pending(citations, done, ["ord"])
     anchored = left.where(p["court"].isNotNull() | p["year"].isNotNull())
-    opinions = name_pairs(anchored, clusters).where(rules.temporal_gate(rules.year_of(F.col("date_filed")), p["year"])).dropDuplicates(["ord", "cluster_id"])
+    clusters, dockets = clusters.select(*OF_CLUSTERS), dockets.select(*OF_DOCKETS)
+    opinions = with_rows(name_pairs(anchored, clusters, "cluster_id", rules.temporal_gate), anchored, clusters, "cluster_id").where(share_a_token(p["case_name"], F.col("case_name")))
     best = first_wins(scored(opinions, F.col("citations"), F.lit(None).cast("string")), ["ord"], [F.desc("score"), F.col("cluster_id")])
     credible = best.where(F.col("score") >= rules.STOPS_CASCADE)
     deeper = pending(anchored, credible, ["ord"]).where(~F.col("_state"))

@@ -61,7 +61,8 @@ def cases(spark, d):
     shared = [name(key).alias("case_name"), F.lit("nysd").alias("court_id"), iso.alias("date_filed")]
     clusters = own.where("o_orderstatus = 'F'").select(key.alias("cluster_id"), *shared, F.array(right).alias("citations"))
     dockets = own.where("o_orderstatus <> 'F'").select(key.alias("docket_id"), *shared, number.alias("docket_number"))
-    lines = T(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.min("l_shipdate").alias("day"), F.max("l_quantity").alias("pages"), F.max("l_tax").alias("tax"))
+    # dealt by the order, so that neither the lines' aggregation nor the join to dockets shuffles them again
+    lines = T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_quantity", "l_tax").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.min("l_shipdate").alias("day"), F.max("l_quantity").alias("pages"), F.max("l_tax").alias("tax"))
     kinds = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
     documents = lines.select(
         F.col("l_orderkey").alias("docket_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("document_id"), F.try_element_at(kinds, F.col("flag")).alias("description"),

@@ -128,6 +128,28 @@ def test_a_passage_that_the_sample_misses_brings_no_texts_together(spark, monkey
     assert got[md5(near)] == got[md5(texts[0])] and len(set(got.values())) == 60
 
 
+def test_partitions_do_not_each_send_their_most_frequent_tokens_to_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans = []
+    inner = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or inner(self))
+    docs = spark.createDataFrame([(k, " ".join(f"w{k // 6}x{j}" for j in range(30))) for k in range(120)], "id long, text string")
+    assert similar.TextSets(docs, any_id="id").groups().count() == 20
+    assert plans and not [p for p in plans if "TakeOrdered" in p]
+
+
+def test_the_most_frequent_tokens(spark):
+    rng = random.Random(8)
+    rows = [(rng.getrandbits(63) - (1 << 62), n) for n, k in ((9, 3), (7, 40), (5, 4000)) for _ in range(k)]
+    counts = spark.createDataFrame(rows, "token long, n long").repartition(5)
+    for most in (0, 3, 43, 2000, 5000):
+        got = [tuple(r) for r in similar.most_frequent(counts, most)]
+        assert got == sorted(got) and set(got) <= set(rows)
+        whole = [r for r in rows if sum(n >= r[1] for _, n in rows) <= most]
+        assert set(whole) <= set(got) and abs(len(got) - min(most, len(rows))) <= 150
+
+
 def test_sets_of_columns(spark):
     rng = random.Random(2)
     rows = [(k, rng.choice("ab"), rng.sample("c d e f g h i j k l".split(), rng.randrange(0, 7))) for k in range(150)] + [(200, "a", ["c", "c", "d"]), (201, "a", ["d", "c"]), (202, "b", None)]

@@ -101,7 +101,7 @@ def test_what_no_stage_reads_is_not_written(spark):
 
     # an opinion's text of 300 kB, found by name: no candidate carries it
     rng = random.Random(3)
-    long = [("%030x" % rng.getrandbits(120)) * 10_000 for _ in range(4)]
+    long = ["%0300000x" % rng.getrandbits(1_200_000) for _ in range(4)]
     rows = [(k, "Thornton v. Whitfield", "ca2", "1996-04-02", [f"{80 + k} F.3d 77"], None, t) for k, t in enumerate(long)]
     clusters = spark.createDataFrame(rows, "cluster_id long, case_name string, court_id string, date_filed string, citations array<string>, docket_case_name string, opinion_text string")
     folder = spark.sparkContext._jsc.sc().getCheckpointDir
